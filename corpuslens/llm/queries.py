@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
+from . import chatformat, linededup, packing, quality, simhash
 from .common import table
 
 
@@ -27,9 +28,68 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chatformat.read_back(chatformat.format_chats(chats))
+    told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+OP4_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), chats AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns, list(role ORDER BY turn, role, text) AS roles FROM rows GROUP BY conv_id
+)
+SELECT conv_id, CAST(len(turns) AS BIGINT) AS n_turns,
+  sha256(array_to_string(list_transform(turns, lambda x: x.role || chr(10) || x.text || chr(10)), '')) AS turns_sha256,
+  CAST(length(array_to_string(list_transform(list_filter(turns, lambda x: x.role = 'assistant'), lambda x: x.text), '')) AS BIGINT) AS loss_chars,
+  sha256(array_to_string(list_transform(list_filter(turns, lambda x: x.role = 'assistant'), lambda x: x.text), '')) AS loss_sha256,
+  CAST(list_sum(list_transform(turns, lambda x: 14 + length(x.role) + length(x.text)
+    + length(regexp_replace(x.role || x.text, '[^\\#:<]', '', 'g')))) AS BIGINT) AS formatted_chars,
+  regexp_full_match(array_to_string(roles, ','), '(system,)?user,assistant(,user,assistant)*') AS valid
+FROM chats
+"""
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_n_gone").alias("n_removed"))
+
+
+OP6_SQL = r"""
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+runs AS (
+  SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS run
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM lines WHERE len(ls) >= 3)
+),
+later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs WHERE regexp_matches(run, '[^\x20\x09-\x0D]')
+  ) WHERE k > 1
+),
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS g FROM later GROUP BY doc_id)
+SELECT d.doc_id,
+  CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(g, i)), lambda i: ls[i + 1]), chr(10)) END AS text,
+  CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed
+FROM lines d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op6_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL}
