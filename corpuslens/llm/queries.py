@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, linededup, packing, quality, simhash
+from . import chatformat, decontaminate, linededup, packing, quality, simhash
 from .common import table
 
 
@@ -63,6 +63,10 @@ FROM chats
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.col("_n_gone").alias("n_removed"))
@@ -88,7 +92,7 @@ FROM lines d LEFT JOIN gone USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op6_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
