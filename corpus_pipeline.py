@@ -1,8 +1,55 @@
-"""Stages that clean and pack the documents table."""
+"""The documents table cleaned and packed: quality rules, line dedup, near-dedup, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs, which are what the stage before it kept. All but the last
+return the columns of documents; what a stage decides takes effect: rejected, repeated and contaminated documents are gone, and
+repeated lines are cut out of texts (n_chars is counted anew). The last stage gives a row for each piece of a packed sequence.
+Cases of nulls, empty and long texts, repeats and empty tables are those of the operators that the stages call.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpuslens.llm import decontaminate, linededup, packing, quality, simhash
+from corpuslens.llm.common import durable, table
+from corpuslens.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeats(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fingerprints, alignments and packing are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
