@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, linededup, packing, quality, simhash
+from . import chatformat, decontaminate, linededup, packing, quality, simhash, toxicity
 from .common import table
 
 
@@ -91,8 +91,15 @@ FROM lines d LEFT JOIN gone USING (doc_id)
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs.filter(~out), labels.filter(~out))
+    return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
