@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, linededup, packing, quality, simhash, toxicity
+from . import chatformat, decontaminate, linededup, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -98,8 +98,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), secret="corpuslens").select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op9_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
