@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, linededup, packing, pii, quality, simhash, toxicity
+from . import chatformat, decontaminate, linededup, packing, pii, quality, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -91,6 +91,19 @@ FROM lines d LEFT JOIN gone USING (doc_id)
 """
 
 
+#: What op7 edits: addresses, card numbers and secrets give way to a mask.
+MASKED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b[0-9]{13,19}\b|\b[0-9a-fA-F]{32,}\b|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+MASK = "<masked>"
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document, and of its form with masks, counted again from the edits alone."""
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokencount.masks(F.col("text"), MASKED, MASK).alias("edits"))
+    out = tokencount.recount(tokencount.count(docs, path, further=("edits",)), path)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_chars_encoded")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"))
@@ -103,7 +116,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_token_counts, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
