@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, linededup, packing, pii, quality, simhash, tokencount, toxicity
+from . import chatformat, decontaminate, htmltext, linededup, packing, pii, quality, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -104,6 +104,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_chars_encoded")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"))
@@ -116,7 +121,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_token_counts, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_token_counts, op8_html_text, op9_toxicity, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
