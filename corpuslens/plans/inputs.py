@@ -37,11 +37,10 @@ LINES_SQL = r"""list_filter(list_transform(list_zip(regexp_split_to_array(conten
   lambda z: {'i': z[2], 't': z[1]}), lambda z: NOT (z.t = '' AND z.i = len(regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'))))"""
 
 
-def part_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> tuple[DataFrame, DataFrame]:
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parts of consecutive lines of an order as a graph; the customer's nation is the repository."""
-    keep = "l_linenumber = 1 and l_orderkey % 4 = 0" if sparse else "true"
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    a = line.filter(keep)
+    a = line
     b = line.select(F.col("l_orderkey").alias("_o"), (F.col("l_linenumber") - 1).alias("_n"), F.col("l_partkey").alias("dst"))
     home = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").cast("string").alias("repository_id"))
     pairs = a.join(b, (F.col("l_orderkey") == F.col("_o")) & (F.col("l_linenumber") == F.col("_n"))).join(home, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -50,11 +49,10 @@ def part_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> tuple[
     return nodes, edges
 
 
-def part_graph_sql(sparse: bool = False) -> str:
-    keep = "AND a.l_linenumber = 1 AND a.l_orderkey % 4 = 0" if sparse else ""
-    return f"""edges AS (
+def part_graph_sql() -> str:
+    return """edges AS (
   SELECT CAST(c_nationkey AS VARCHAR) AS repository_id, a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey || '-' || a.l_linenumber AS import_name, a.l_orderkey * 10 + a.l_linenumber AS ordinal
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 {keep}
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   JOIN orders ON o_orderkey = a.l_orderkey JOIN customer ON c_custkey = o_custkey),
 nodes AS (SELECT repository_id, src AS node FROM edges UNION SELECT repository_id, dst FROM edges),
 d AS (SELECT DISTINCT repository_id, src, dst FROM edges)"""

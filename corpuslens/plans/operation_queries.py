@@ -43,11 +43,11 @@ def b22_stages(spark, sf_dir):
 @query(
     """SELECT c_custkey AS repository_id, CASE WHEN j.o_custkey IS NOT NULL THEN CAST(k % 100 AS INT) WHEN c_custkey % 2 = 0 THEN 100 ELSE 0 END AS progress,
   CASE WHEN j.o_custkey IS NOT NULL THEN 'graph' WHEN c_custkey % 2 = 0 THEN 'indexing' ELSE 'ingestion' END AS phase
-FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, -o_orderkey)) AS k FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) j ON j.o_custkey = c_custkey"""
+FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, -o_orderkey)) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) j ON j.o_custkey = c_custkey"""
 )
 def b23_status_fallback(spark, sf_dir):
     repos = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repository_id"), F.when(F.col("c_custkey") % 2 == 0, "ready").otherwise("pending").alias("status"))
-    j = metrics.latest_job(jobs(spark, sf_dir).filter("job_id % 3 = 0")).select("repository_id", (F.col("job_id") % 100).cast("int").alias("progress"), F.lit("graph").alias("phase"))
+    j = metrics.latest_job(jobs(spark, sf_dir).filter("state = 'F'")).select("repository_id", (F.col("job_id") % 100).cast("int").alias("progress"), F.lit("graph").alias("phase"))
     return metrics.status_fallback(repos, j).select("repository_id", "progress", "phase")
 
 
@@ -180,6 +180,34 @@ def _run(stream, mode="append"):
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _progress(spark, sf_dir):
+    e = _stream(spark, sf_dir)
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "error").when(kind == "purchase", "ready").otherwise("running")
+    return e.select("key", "event_id", "ts", status.alias("status"), (F.col("event_id") % 100).cast("int").alias("progress"), kind.alias("phase"))
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT key, s.status, s.progress, s.phase FROM (SELECT key, coalesce(min({{'ts': ts, 'event_id': event_id, 'status': status, 'progress': progress, 'phase': phase}}) FILTER (status IN ('ready', 'error')),
+  max({{'ts': ts, 'event_id': event_id, 'status': status, 'progress': progress, 'phase': phase}})) AS s FROM ev GROUP BY key)"""
+)
+def l1_progress_stream(spark, sf_dir):
+    """The stateful stream's last row of each key."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    out = _run(streams.progress_stream(_progress(spark, sf_dir)), "update")
+    return out.groupBy("key").agg(F.max_by(F.struct("status", "progress", "phase"), "ts").alias("s")).select("key", "s.*")
+
+
+@query()
+def l2_stalled_stream(spark, sf_dir):
+    """Keep-alive rows of keys that are silent for 15 s of event time when the stream's watermark passes."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return _run(streams.progress_stream(_progress(spark, sf_dir), stall_ms=15_000), "update")
+
+
 @query("SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events")
 def l6_once_each_stream(spark, sf_dir):
     """The event stream joined with itself: each event comes twice and leaves once."""

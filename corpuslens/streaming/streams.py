@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
 
 TERMINAL = ("ready", "error")
 PROGRESS = "key string, status string, progress int, phase string, ts timestamp, stalled boolean"
@@ -22,7 +21,7 @@ class Progress(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType.fromDDL("status string, progress int, phase string, ts timestamp, ended boolean"))
+        self.last = handle.getValueState("last", "status string, progress int, phase string, ts timestamp, ended boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         before = self.last.get() if self.last.exists() else None
