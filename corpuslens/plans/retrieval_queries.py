@@ -74,15 +74,15 @@ def b19_cosine_similarity(spark, sf_dir):
 def j5_ivf_recall(spark, sf_dir):
     """Recall of the approximate index against exact search."""
     v, q = _search(spark, sf_dir)
-    indexed, centres = vectors.ivf_index(v)
-    return vectors.recall(vectors.nearest(q, v), vectors.ivf_search(q, indexed, centres, probes=30))
+    indexed, centres = vectors.ivf_index(v, lists=32, rounds=5)
+    return vectors.recall(vectors.nearest(q, v), vectors.ivf_search(q, indexed, centres, probes=22))
 
 
 @query()
 def j5_ivf_search(spark, sf_dir):
     v, q = _search(spark, sf_dir)
-    indexed, centres = vectors.ivf_index(v)
-    return vectors.ivf_search(q, indexed, centres, probes=30)
+    indexed, centres = vectors.ivf_index(v, lists=32, rounds=5)
+    return vectors.ivf_search(q, indexed, centres, probes=22)
 
 
 @query()
