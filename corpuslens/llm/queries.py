@@ -20,6 +20,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM l WHERE len(ws) >= 3),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+top AS (SELECT doc_id, max(c) AS c FROM (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM l) GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT l.doc_id, ls, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(top.c, 0) AS top
+  FROM l LEFT JOIN rep ON rep.doc_id = l.doc_id LEFT JOIN top ON top.doc_id = l.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_symbols > 0.1 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_dup_lines > 0.5 * len(ls) OR top > 0.3 * n_words
+    OR len(list_filter(ws, lambda x: strlen(x) > 3 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) > 0.5 * n_words
+    OR len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) < 0.7 * n_words) AS kept
+FROM f
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -125,4 +144,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL}
