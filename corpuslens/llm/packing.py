@@ -248,7 +248,7 @@ def places(cut: DataFrame, length: int = 1024, key: str = "doc_id", buckets: int
     rank = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(key, "piece", "ids_crc32")) - 1
     placed = (
         short.withColumn("_rank", rank)
-        .join(F.broadcast(base.drop("_n")), ["length", "_bucket"])
+        .join(base.drop("_n"), ["length", "_bucket"])  # both sides are dealt out by length and bucket already
         .withColumn("_place", place("length", (F.col("_rank") + F.col("_before")).cast("long")))
         .select(*cut.columns, "_place.sequence_id", "_place.offset")
     )
