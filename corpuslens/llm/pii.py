@@ -145,16 +145,28 @@ def _name(shown: Column, stream: Column) -> Column:
 def surrogate(kind: Column, shown: Column, attempt: Column, key: str) -> Column:
     """shown as it is to be replaced, in shown's own format."""
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(kind, shown), attempt.cast("string")), 512)
-    makers = {"email": _email, "secret": _secret, "phone": _phone, "card": _card}
-    out = F.when(kind == "ip", _ip(stream)).when(kind == "name", _name(shown, stream))
-    for k, f in makers.items():
-        out = out.when(kind == k, f(shown, stream))
-    return out
+
+    def made(st: Column) -> Column:
+        out = F.when(kind == "ip", _ip(st)).when(kind == "name", _name(shown, st))
+        for k, f in {"email": _email, "secret": _secret, "phone": _phone, "card": _card}.items():
+            out = out.when(kind == k, f(shown, st))
+        return out
+
+    return F.get(F.transform(F.array(stream), made), F.lit(0))  # the hash is bound once, however often a maker reads it
+
+
+def entities_in(text: Column) -> Column:
+    """All entities of a text, in order. Texts without a digit, an @ and a form of address can't hold any, which is quicker to see."""
+    may = text.rlike("[0-9@]")
+    for title in FEMALE + MALE:
+        may = may | text.contains(title)
+    return F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def attempts(entities: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
     """kind, canon and attempt of distinct entities (kind, canon), such that no surrogate is shared or is an entity itself."""
-    entities = durable(entities.distinct(), "pii-entities")
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entities = durable(entities.distinct(), "pii-entities").repartition(tasks, "kind", "canon")  # few bytes, but much work for each
     originals = entities.select("kind", F.col("canon").alias("made"))
     settled, waiting = None, entities.withColumn("attempt", F.lit(0))
     for _ in range(most_rounds):
@@ -172,7 +184,7 @@ def attempts(entities: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
 
 def replace(df: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with surrogates in text, and _n_entities. secret: the key of the hash."""
-    found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
+    found = entities_in(F.col(text))
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.posexplode(found).alias("_pos", "shown")).withColumn("kind", kind_of(F.col("shown"))).withColumn("canon", canonical(F.col("kind"), F.col("shown")))
     rows = durable(rows, "pii-found")
     further = durable(attempts(rows.select("kind", "canon"), secret).filter("attempt > 0"), "pii-further")
