@@ -113,7 +113,7 @@ def _named(nodes):
     return nodes.select("repository_id", "node", F.concat(F.col("node").cast("string"), F.lit(".py")).alias("path"), F.lit("Python").alias("language"))
 
 
-@query(f"{DEG} SELECT repository_id, node, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, in_degree = 0 AND out_degree > 0 AS is_entry, out_degree = 0 AS is_leaf, CASE WHEN node % 2 = 0 THEN 0.5 ELSE 0.0 END AS pagerank, CAST(out_degree AS BIGINT) AS symbol_count FROM deg")
+@query(f"{DEG} SELECT repository_id, node, CAST(in_degree AS BIGINT) AS in_degree, CAST(out_degree AS BIGINT) AS out_degree, in_degree = 0 AND out_degree > 0 AS is_entry, out_degree = 0 AS is_leaf, CAST(CASE WHEN node % 2 = 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS pagerank, CAST(out_degree AS BIGINT) AS symbol_count FROM deg")
 def c14_d3_g6_node_detail(spark, sf_dir):
     """Even nodes are in the stored graph; a node's symbols stand in as its edges out."""
     nodes, edges = part_graph(spark, sf_dir)
