@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
+#: The share of an item's own score from which a passage counts as a copy. Two words in ten may be edited; chance reaches 0.3.
+LEAST_SCORE = 0.5
 MARKS = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
@@ -138,7 +140,7 @@ def _hits(s: Seeds, text: str | None) -> list[tuple]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    n: int = 3, expected: float = 0.01, least_score: float = 0.6, block_items: int = 20_000,
+    n: int = 3, expected: float = 0.01, least_score: float = LEAST_SCORE, block_items: int = 20_000,
 ) -> DataFrame:
     """key, item_key, score (of the item's full score), first_word and last_word (exclusive), for scores of least_score and more."""
     spark = docs.sparkSession

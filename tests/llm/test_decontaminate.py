@@ -69,6 +69,6 @@ def test_whole_table_against_all_pairs(spark, sf_dir):
         words = dc.numbers(r["text"], known)
         for k, item in items:
             score = dc.align(np.array([known[w] for w in item]), words)[0] / len(item)
-            if score >= 0.6:
+            if score >= dc.LEAST_SCORE:
                 want[r["doc_id"], k] = round(score, 6)
     assert want and want.items() <= got.items()
