@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import scalars
 from corpuslens.operators import chunking, context, vectors
+from corpuslens.sources import files as sources
+from corpuslens.sources.durable import shared_path
 
 from .inputs import LINES_SQL, MESSAGES_SQL, RANKED_SQL, files, files_sql, messages, ranked, table
 from .registry import query
@@ -96,6 +98,15 @@ def d14_chunks_indexed(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir)).groupBy("repository_id").agg(F.count("*").alias("chunks"))
 
 
+@query(f"WITH {files_sql()} SELECT repository_id, CAST(sum(len(range(0, n, 40))) AS BIGINT) AS chunks FROM (SELECT repository_id, len({LINES_SQL}) AS n FROM files) GROUP BY 1")
+def a7_a8_replace_chunks(spark, sf_dir):
+    """Chunks written twice by repository: the second time replaces the first."""
+    path, chunks = shared_path(spark, "chunks"), chunking.chunk_files(files(spark, sf_dir))
+    for _ in range(2):
+        sources.replace_partitions(chunks, path)
+    return spark.read.parquet(path).groupBy(F.col("repository_id").cast("string").alias("repository_id")).agg(F.count("*").alias("chunks"))
+
+
 PAST = f"""WITH {MESSAGES_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS k FROM messages),
 h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS r FROM m WHERE k > 1 AND role IN ('user', 'assistant'))"""
 
