@@ -40,19 +40,25 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """df with the covered lines removed from text, and _n_gone, how many went."""
-    gone = covered(df, key, text, width).withColumnRenamed("_key", "_gone_key")
-    lines = F.split(F.col(text), "\n", -1)
+    """df with the covered lines removed from text, and _n_gone, how many went (in place of a column of that name).
+
+    A row travels as one struct, so its columns can have any names.
+    """
+    gone = covered(df, key, text, width)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), df[key].alias("_id"), df[text].alias("_text"))
+    lines = F.split("_text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = df.join(gone, df[key] == gone["_gone_key"], "left")
-    new = F.when(F.col("_gone").isNotNull(), shorter).otherwise(F.col(text))
-    return out.select(*(new.alias(c) if c == text else df[c] for c in df.columns), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_gone"))
+    out = rows.join(gone, rows["_id"] == gone["_key"], "left")
+    new = F.when(F.col("_gone").isNotNull(), shorter).otherwise(F.col("_text"))
+    row = F.col("_row")
+    return out.select(*(new.alias(c) if c == text else row[c].alias(c) for c in df.columns if c != "_n_gone"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_gone"))
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", width: int = 3) -> DataFrame:
     """df's own columns after dedup; documents of which every line went are dropped. n_chars, where df has it, is counted anew."""
-    out = dedup(df, key, text, width).filter((F.col("_n_gone") == 0) | (F.col(text).rlike(r"[^\x20\x09-\x0D]"))).drop("_n_gone")
+    told = df.withColumnRenamed("_n_gone", "_n_gone_before")
+    out = dedup(told, key, text, width).filter((F.col("_n_gone") == 0) | (F.col(text).rlike(r"[^\x20\x09-\x0D]"))).drop("_n_gone").withColumnRenamed("_n_gone_before", "_n_gone")
     if n_chars in df.columns:
         out = out.withColumn(n_chars, F.char_length(text).cast(df.schema[n_chars].dataType))
     return out

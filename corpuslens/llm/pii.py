@@ -183,17 +183,20 @@ def attempts(entities: DataFrame, key: str, most_rounds: int = 50) -> DataFrame:
 
 
 def replace(df: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with surrogates in text, and _n_entities. secret: the key of the hash."""
+    """df with surrogates in text, and _n_entities (in place of a column of that name). secret: the key of the hash."""
     found = entities_in(F.col(text))
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.posexplode(found).alias("_pos", "shown")).withColumn("kind", kind_of(F.col("shown"))).withColumn("canon", canonical(F.col("kind"), F.col("shown")))
     rows = durable(rows, "pii-found")
     further = durable(attempts(rows.select("kind", "canon"), secret).filter("attempt > 0"), "pii-further")
-    out, tries = df.withColumn("_found", found), F.create_map().cast("map<int,int>")
+    # a row travels as one struct, so its columns can have any names
+    out = df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), df[key].alias("_id"), df[text].alias("_text"), found.alias("_found"))
+    tries = F.create_map().cast("map<int,int>")
     if not further.isEmpty():
         by_doc = rows.join(further, ["kind", "canon"]).filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("_pos", "attempt"))).alias("_tries"))
-        out = out.join(by_doc, df[key] == by_doc["_key"], "left").drop("_key")
+        out = out.join(by_doc, out["_id"] == by_doc["_key"], "left")
         tries = F.coalesce(F.col("_tries"), tries)
     made = F.transform("_found", lambda s, i: surrogate(kind_of(s), s, F.coalesce(F.element_at(tries, i), F.lit(0)), secret))
-    between = F.split(F.col(text), ANY, -1)
-    new = F.when(F.size("_found") > 0, F.array_join(F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(F.col(text))
-    return out.select(*(new.alias(c) if c == text else df[c] for c in df.columns), F.greatest(F.size("_found"), F.lit(0)).cast("long").alias("_n_entities"))
+    between = F.split("_text", ANY, -1)
+    new = F.when(F.size("_found") > 0, F.array_join(F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).otherwise(F.col("_text"))
+    row = F.col("_row")
+    return out.select(*(new.alias(c) if c == text else row[c].alias(c) for c in df.columns if c != "_n_entities"), F.greatest(F.size("_found"), F.lit(0)).cast("long").alias("_n_entities"))

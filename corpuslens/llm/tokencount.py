@@ -178,7 +178,7 @@ def recount(counted: DataFrame, vocabulary: str, edits: str = "edits", key: str
 def with_edits(df: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
     """df with the column edits: the rows of `edits` (key, start, stop, new) of each document."""
     lists = edits.groupBy(F.col(key).alias("_edited")).agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("stop").cast("int"), F.col("new").cast("string"))).cast(EDITS).alias("edits"))
-    return df.join(lists, df[key] == lists["_edited"], "left").drop("_edited")
+    return df.join(lists, df[key] == lists["_edited"], "left").select(*(df[c] for c in df.columns if c != "edits"), lists["edits"])
 
 
 def masks(text: Column, pattern: str, new: str) -> Column:

@@ -31,8 +31,7 @@ def test_whole_table(spark, sf_dir):
 
 def test_edges(spark):
     texts = [None, "", "a\nb", "a\nb\nc\nd", "x\na\nb\nc\nd\ny", "a\nb\nc\na\nb\nc\nz", "\n\n\n\n", "\n\n\n\n", "q\n" * 3000 + "r", "k\na\nb\nc"]
-    df = clash(docs(spark, texts), "_key", "_at", "_gone", "_h")
-    df = df.withColumnsRenamed({"_gone": "gone", "_key": "key"})
+    df = clash(docs(spark, texts), "_key", "_at", "_gone", "_h", "_row", "_id", "_text", "_n_gone")
     got = {r["doc_id"]: (r["text"], r["_n_gone"]) for r in linededup.dedup(df).collect()}
     assert got == brute(dict(enumerate(texts)))
     assert got[4] == ("x\ny", 4) and got[9] == ("k", 3)

@@ -77,7 +77,7 @@ def test_whole_table(spark, sf_dir):
 
 
 def test_repeats_and_clashing_names(spark):
-    df = clash(docs(spark, [(1, "a@b.com"), (1, "a@b.com"), (None, "a@b.com")]), "kind", "canon", "attempt", "shown", "made")
+    df = clash(docs(spark, [(1, "a@b.com"), (1, "a@b.com"), (None, "a@b.com")]), "kind", "canon", "attempt", "shown", "made", "_found", "_row", "_id", "_key", "_tries")
     rows = pii.replace(df, "k").collect()
     assert len({r["text"] for r in rows}) == 1 and rows[0]["kind"] == "x"
     assert pii.replace(df.limit(0), "k").count() == 0

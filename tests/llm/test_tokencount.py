@@ -55,7 +55,7 @@ def test_frames(spark):
     texts = [None, "", "one two three", " \n ", "x " * 5000]
     edits = spark.createDataFrame([(0, 0, 0, "new"), (1, 0, 0, "a b"), (2, 4, 7, "2"), (2, 5, 6, "overlaps"), (4, 9990, 10_000, None), (77, 0, 1, "none")], "doc_id long, start int, stop int, new string")
     df = clash(docs(spark, texts), "n_tokens", "tree", "_edited")
-    got = {r["doc_id"]: r for r in tokencount.recount(tokencount.count(tokencount.with_edits(docs(spark, texts), edits), TIK, further=("edits",)), TIK).collect()}
+    got = {r["doc_id"]: r for r in tokencount.recount(tokencount.count(tokencount.with_edits(clash(docs(spark, texts), "_edited", "edits"), edits), TIK, further=("edits",)), TIK).collect()}
     assert {k: r["text"] for k, r in got.items()} == {0: "new", 1: "a b", 2: "one 2 three", 3: " \n ", 4: "x " * 4995}
     assert all(r["n_tokens"] == n_tokens(r["text"]) for r in got.values()) and [got[i]["n_edits"] for i in range(5)] == [1, 1, 1, 0, 1]
     assert {r["doc_id"]: r["n_tokens"] for r in tokencount.count(df, TIK).collect()} == {i: n_tokens(t) for i, t in enumerate(texts)}
