@@ -37,7 +37,7 @@ def build_graph(files: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, D
     return nodes, edges
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, cut_every: int = 1) -> DataFrame:
     """nodes with pagerank; sums to 1 in each repository.
 
     Rank of nodes without edges out is spread evenly. Rounds end when the change of each repository is below its number of nodes times
