@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
 Entities are e-mail addresses, IPv4 addresses, phone numbers, card numbers, hexadecimal secrets and names behind a form of address. An
-entity's canonical form leaves case and separators out. Its surrogate comes from a keyed hash of type, canonical form and attempt, so
+entity's canonical form leaves case, separators and the dot of a form of address out. Its surrogate comes from a keyed hash of type, canonical form and attempt, so
 one entity has one surrogate in every document and every way of writing it (coreference), and keeps its format: separators, case,
 lengths, country code, top-level domain, the Luhn check of card numbers, and for names the form of address, the number of
 names, gender and script (Latin, Cyrillic or Greek).
@@ -48,8 +48,19 @@ def kind_of(shown: Column) -> Column:
     return out
 
 
+def _only(shown: Column) -> Column:
+    return F.regexp_replace(shown, "[^0-9]", "")
+
+
+def _prefix(shown: Column) -> Column:
+    """The digits of a phone number that stay: its country code, or the zero before an area code. A canonical form has the same as its number."""
+    return F.regexp_extract(shown, r"^\+?([0-9]{1,3})(?=[ .(-])", 1)
+
+
 def canonical(kind: Column, shown: Column) -> Column:
-    return F.when(kind.isin("card", "phone"), F.regexp_replace(shown, "[^0-9]", "")).otherwise(F.lower(shown))
+    """What all ways of writing an entity share. It is a way of writing it too, so its surrogate is the canonical form of what is written."""
+    phone = F.concat_ws(" ", _prefix(shown), F.substring(_only(shown), F.char_length(_prefix(shown)) + 1, F.char_length(shown)))
+    return F.when(kind == "card", _only(shown)).when(kind == "phone", phone).when(kind == "name", F.regexp_replace(F.lower(shown), r"^(\p{L}+)\. ", "$1 ")).otherwise(F.lower(shown))
 
 
 def _chars(shown: Column, each) -> Column:
@@ -94,14 +105,13 @@ def _digits(shown: Column, stream: Column, kept: Column) -> Column:
 
 def _card(shown: Column, stream: Column) -> Column:
     new = _digits(shown, stream, F.lit(0))
-    only = lambda s: F.regexp_replace(s, "[^0-9]", "")
-    last = F.pmod(F.lit(10) - _luhn(F.concat(F.regexp_replace(only(new), "[0-9]$", ""), F.lit("0"))), F.lit(10))
+    last = F.pmod(F.lit(10) - _luhn(F.concat(F.regexp_replace(_only(new), "[0-9]$", ""), F.lit("0"))), F.lit(10))
     odd = F.pmod(last + 1 + F.pmod(_number(stream, F.lit(29)), F.lit(9)), F.lit(10))  # any but the check digit
-    return F.concat(F.regexp_replace(new, "[0-9]$", ""), F.when(_luhn(only(shown)) == 0, last).otherwise(odd).cast("string"))
+    return F.concat(F.regexp_replace(new, "[0-9]$", ""), F.when(_luhn(_only(shown)) == 0, last).otherwise(odd).cast("string"))
 
 
 def _phone(shown: Column, stream: Column) -> Column:
-    return _digits(shown, stream, F.char_length(F.regexp_replace(F.regexp_extract(shown, r"^\+?[0-9]{1,3}(?=[ .(-])", 0), "[^0-9]", "")))
+    return _digits(shown, stream, F.char_length(_prefix(shown)))
 
 
 def _ip(stream: Column) -> Column:
@@ -124,7 +134,8 @@ def _secret(shown: Column, stream: Column) -> Column:
     return _chars(shown, lambda c, i: F.when(c.rlike("[A-F]"), F.upper(_hex(stream, i))).when(F.lower(shown) == shown, _hex(stream, i)).otherwise(F.upper(_hex(stream, i))))
 
 
-def _name(shown: Column, stream: Column) -> Column:
+def _name(shown: Column, stream: Column, attempt: Column) -> Column:
+    """Names of three syllables and one more for each further attempt, so there are always enough of them."""
     words = F.split(shown, " ")
     title = F.get(words, F.lit(0))
     female = F.regexp_replace(F.lower(title), r"\.$", "").isin(*(x.lower() for x in FEMALE))
@@ -132,9 +143,9 @@ def _name(shown: Column, stream: Column) -> Column:
     def one(word: Column, k: Column) -> Column:
         def by_script(script: str) -> Column:
             syllables = F.array(*(F.lit(x) for x in SYLLABLES[script]))
-            pick = lambda j: F.get(syllables, F.pmod(_number(stream, k * 7 + j), F.lit(len(SYLLABLES[script]))))
+            pick = lambda j: F.get(syllables, F.pmod(_number(stream, k * 16 + j), F.lit(len(SYLLABLES[script]))))
             last = F.when(female, F.lit(ENDINGS[script][0])).otherwise(F.lit(ENDINGS[script][1]))
-            return F.concat(*(pick(F.lit(j)) for j in range(3)), last)
+            return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), pick), ""), last)
 
         made = F.when(word.rlike(r"\p{IsCyrillic}"), by_script("Cyrillic")).when(word.rlike(r"\p{IsGreek}"), by_script("Greek")).otherwise(by_script("Latin"))
         return F.when(F.upper(word) == word, F.upper(made)).when(F.lower(word) == word, made).otherwise(F.initcap(made))
@@ -147,7 +158,7 @@ def surrogate(kind: Column, shown: Column, attempt: Column, key: str) -> Column:
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical(kind, shown), attempt.cast("string")), 512)
 
     def made(st: Column) -> Column:
-        out = F.when(kind == "ip", _ip(st)).when(kind == "name", _name(shown, st))
+        out = F.when(kind == "ip", _ip(st)).when(kind == "name", _name(shown, st, attempt))
         for k, f in {"email": _email, "secret": _secret, "phone": _phone, "card": _card}.items():
             out = out.when(kind == k, f(shown, st))
         return out

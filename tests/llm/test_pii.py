@@ -81,3 +81,26 @@ def test_repeats_and_clashing_names(spark):
     rows = pii.replace(df, "k").collect()
     assert len({r["text"] for r in rows}) == 1 and rows[0]["kind"] == "x"
     assert pii.replace(df.limit(0), "k").count() == 0
+
+
+def test_collision_check_sees_what_is_written(spark):
+    """A canonical form's surrogate is the canonical form of what each way of writing it gets; names are never used up."""
+    from pyspark.sql import functions as F
+
+    shown = [("phone", "+1 (017) 555-7713"), ("phone", "1(22)333-4444"), ("phone", "+49.(30) 1234 5678"), ("name", "Mr. Keller"), ("name", "Mr KELLER"), ("name", "Госпожа Иванова"), ("card", "4539 5787 6362 1486"), ("email", "A.b1@C.org"), ("ip", "1.2.3.4")]
+    df = spark.createDataFrame([(k, x, a) for k, x in shown for a in (0, 1, 5)], "kind string, shown string, attempt int")
+    kind, canon = F.col("kind"), pii.canonical(F.col("kind"), F.col("shown"))
+    written = pii.canonical(kind, pii.surrogate(kind, F.col("shown"), F.col("attempt"), "k"))
+    rows = df.select("*", canon.alias("canon"), written.alias("written"), pii.canonical(kind, pii.surrogate(kind, canon, F.col("attempt"), "k")).alias("checked")).collect()
+    assert all(r["written"] == r["checked"] for r in rows)
+    keller = [r for r in rows if r["shown"] in ("Mr. Keller", "Mr KELLER")]
+    assert len({r["canon"] for r in keller}) == 1 and len({r["written"] for r in keller}) == 3
+    assert len(max((r["written"] for r in keller), key=len)) >= len("mr ") + 8 * 2 + len("rin")
+
+
+def test_short_phones_stay_distinct(spark):
+    """So many numbers of eight digits behind a country code that surrogates meet each other and originals."""
+    texts = [f"+1 (22) {i // 1000:03d}-{i % 1000:03d}" for i in range(30_000)]
+    got = pii.replace(docs(spark, texts), "k").select("text").collect()
+    made = {r["text"] for r in got}
+    assert len(made) == len(texts) and not made & set(texts)
