@@ -1,6 +1,7 @@
 """Personal data replaced by surrogates, with DataFrame functions alone.
 
-Entities are e-mail addresses, IPv4 addresses, phone numbers, card numbers, hexadecimal secrets and names behind a form of address. An
+Entities are e-mail addresses, IPv4 and IPv6 addresses, phone numbers (with a country code, a bracketed area code, groups of 3-3-4 digits or a zero
+in front; other bare digits are no phone number), card numbers, hexadecimal secrets and names behind a form of address. An
 entity's canonical form leaves case, separators and the dot of a form of address out. Its surrogate comes from a keyed hash of type, canonical form and attempt, so
 one entity has one surrogate in every document and every way of writing it (coreference), and keeps its format: separators, case,
 lengths, country code, top-level domain, the Luhn check of card numbers, and for names the form of address, the number of
@@ -30,10 +31,17 @@ SYLLABLES = {
 }
 ENDINGS = {"Latin": ("na", "rin"), "Cyrillic": ("на", "рин"), "Greek": ("να", "ρις")}  # female, male
 
+#: Country codes behind a plus: one digit, two digits, and three for all others.
+CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
 PARTS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
+    "secret": r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
+    # with a bracketed area code; 3-3-4 digits; a zero and an area code; eight to fifteen digits behind a plus
+    "phone": r"(?<![0-9A-Za-z])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+    r"|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\+[0-9](?:(?:[ .-]?\(|\)[ .-]?|[ .-])?[0-9]){7,14})(?![0-9A-Za-z])",
+    # all eight groups, or fewer about a double colon and a digit among them, so that scopes of program text stay
+    "ip6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:{'|'.join(sorted(FEMALE + MALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
@@ -43,24 +51,44 @@ ANY = "|".join(f"(?:{x})" for x in PARTS.values())
 
 def kind_of(shown: Column) -> Column:
     out = F.lit("name")
-    for k in ("card", "ip", "phone", "secret", "email"):
+    for k in ("card", "ip", "ip6", "phone", "secret", "email"):
         out = F.when(shown.rlike(rf"^(?:{PARTS[k]})$"), F.lit(k)).otherwise(out)
     return out
 
 
+def _bind(value: Column, fn) -> Column:
+    """fn(value), where value is computed once however often fn reads it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _only(shown: Column) -> Column:
     return F.regexp_replace(shown, "[^0-9]", "")
 
 
 def _prefix(shown: Column) -> Column:
     """The digits of a phone number that stay: its country code, or the zero before an area code. A canonical form has the same as its number."""
-    return F.regexp_extract(shown, r"^\+?([0-9]{1,3})(?=[ .(-])", 1)
+    code = F.regexp_extract(_only(shown), f"^(?:{CODES})", 0)
+    led = F.regexp_extract(shown, r"^([0-9]{1,3})(?=[ .-]?\(|[ .-][0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$| [0-9]+$)", 1)
+    return F.when(shown.startswith("+"), code).when(led != "", led).otherwise(F.regexp_extract(shown, "^0", 0))
+
+
+def _groups(shown: Column) -> Column:
+    """The eight groups of an IPv6 address, of four digits each."""
+    split = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = split(F.substring_index(F.lower(shown), "::", 1)), F.when(shown.contains("::"), split(F.substring_index(F.lower(shown), "::", -1))).otherwise(F.array().cast("array<string>"))
+    full = lambda s: F.concat(s["l"], F.array_repeat(F.lit("0"), F.lit(8) - F.size(s["l"]) - F.size(s["r"])), s["r"])
+    return F.transform(_bind(F.struct(left.alias("l"), right.alias("r")), full), lambda g: F.lpad(g, 4, "0"))
 
 
 def canonical(kind: Column, shown: Column) -> Column:
     """What all ways of writing an entity share. It is a way of writing it too, so its surrogate is the canonical form of what is written."""
-    phone = F.concat_ws(" ", _prefix(shown), F.substring(_only(shown), F.char_length(_prefix(shown)) + 1, F.char_length(shown)))
-    return F.when(kind == "card", _only(shown)).when(kind == "phone", phone).when(kind == "name", F.regexp_replace(F.lower(shown), r"^(\p{L}+)\. ", "$1 ")).otherwise(F.lower(shown))
+
+    def of(x: Column) -> Column:
+        phone = _bind(_prefix(x), lambda p: F.concat(p, F.lit(" "), F.substring(_only(x), F.char_length(p) + 1, F.char_length(x))))
+        name = F.regexp_replace(F.lower(x), r"^(\p{L}+)\. ", "$1 ")
+        return F.when(kind == "card", _only(x)).when(kind == "phone", phone).when(kind == "ip6", F.array_join(_groups(x), ":")).when(kind == "name", name).otherwise(F.lower(x))
+
+    return _bind(shown, of)
 
 
 def _chars(shown: Column, each) -> Column:
@@ -118,6 +146,31 @@ def _ip(stream: Column) -> Column:
     return F.concat_ws(".", *((F.pmod(_number(stream, F.lit(k)), F.lit(254)) + 1).cast("string") for k in range(4)))
 
 
+def _ip6(shown: Column, stream: Column) -> Column:
+    """Groups keep their leading zeros and their number of digits, so all forms of an address become forms of one other."""
+
+    def new(group: Column, at: Column) -> Column:
+        zeros = F.char_length(F.regexp_extract(group, "^0*", 0))
+
+        def digit(i: Column) -> Column:
+            n = at * 4 + i
+            first = F.lower(F.hex(F.pmod(_number(stream, n), F.lit(15)) + 1))
+            return F.when(i <= zeros, F.lit("0")).when(i == zeros + 1, first).otherwise(_hex(stream, n))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), digit), "")
+
+    def written(made: Column) -> Column:
+        def side(part: Column, right: bool) -> Column:
+            own = F.filter(F.split(part, ":"), lambda g: g != "")
+            return F.array_join(_bind(own, lambda gs: F.transform(gs, lambda g, k: F.right(F.get(made, k + 8 - F.size(gs) if right else k), F.char_length(g)))), ":")
+
+        short = F.concat(side(F.substring_index(shown, "::", 1), False), F.lit("::"), side(F.substring_index(shown, "::", -1), True))
+        return F.when(shown.contains("::"), short).otherwise(side(shown, False))
+
+    out = _bind(F.transform(_groups(shown), new), written)
+    return _bind(out, lambda x: F.when(F.lower(shown) == shown, x).otherwise(F.upper(x)))
+
+
 def _email(shown: Column, stream: Column) -> Column:
     top = F.regexp_extract(shown, r"\.[A-Za-z]{2,}$", 0)
     rest = F.substring(shown, F.lit(1), F.char_length(shown) - F.char_length(top))
@@ -131,7 +184,7 @@ def _email(shown: Column, stream: Column) -> Column:
 
 
 def _secret(shown: Column, stream: Column) -> Column:
-    return _chars(shown, lambda c, i: F.when(c.rlike("[A-F]"), F.upper(_hex(stream, i))).when(F.lower(shown) == shown, _hex(stream, i)).otherwise(F.upper(_hex(stream, i))))
+    return _chars(shown, lambda c, i: F.when(c.rlike("[a-f]") | (c.rlike("[0-9]") & (F.upper(shown) != shown)), _hex(stream, i)).otherwise(F.upper(_hex(stream, i))))
 
 
 def _name(shown: Column, stream: Column, attempt: Column) -> Column:
@@ -159,11 +212,11 @@ def surrogate(kind: Column, shown: Column, attempt: Column, key: str) -> Column:
 
     def made(st: Column) -> Column:
         out = F.when(kind == "ip", _ip(st)).when(kind == "name", _name(shown, st, attempt))
-        for k, f in {"email": _email, "secret": _secret, "phone": _phone, "card": _card}.items():
+        for k, f in {"email": _email, "secret": _secret, "phone": _phone, "card": _card, "ip6": _ip6}.items():
             out = out.when(kind == k, f(shown, st))
         return out
 
-    return F.get(F.transform(F.array(stream), made), F.lit(0))  # the hash is bound once, however often a maker reads it
+    return _bind(stream, made)
 
 
 def entities_in(text: Column) -> Column:

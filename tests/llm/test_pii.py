@@ -104,3 +104,20 @@ def test_short_phones_stay_distinct(spark):
     got = pii.replace(docs(spark, texts), "k").select("text").collect()
     made = {r["text"] for r in got}
     assert len(made) == len(texts) and not made & set(texts)
+
+
+def test_forms_that_no_table_holds(spark):
+    phones = ["(555) 123-4567", "555-123-4567", "555.123.4567", "+44 20 7946 0958", "+1 555 123 4567", "+15551234567", "1-800-555-1234", "020 7946 0958", "+44 (0)20 7946 0958"]
+    others = ["2001:db8::8a2e:370:7334", "2001:0DB8:0000:0000:0000:8A2E:0370:7334", "fe80::1", "b44E15e09fd311c3cf3163B66d5a9875b883d8ce", "0xb44e15e09fd311c3cf3163b66d5a9875b883d8ce"]
+    plain = ["on 2024-01-15 at 12:30:45", "std::abs, abc::def", "1.2.3.4.5", "version 10.20.30", "1 234 567 890", "pages 100-200-300", "550e8400-e29b-41d4-a716-446655440000"]
+    texts = [f"see {x}, please." for x in phones + others] + plain
+    got = run(spark, texts)
+    for i, x in enumerate(phones + others):
+        new, n = got[i]
+        body = x.removeprefix("0x")
+        assert n == 1 and body not in new and re.sub("[0-9A-Za-z]", "x", new.replace("see", "").replace("please", "")) == re.sub("[0-9A-Za-z]", "x", texts[i].replace("see", "").replace("please", "")), (x, new)
+    assert [got[len(phones + others) + i] for i in range(len(plain))] == [(x, 0) for x in plain]
+    digits = [re.sub(r"\D", "", got[i][0]) for i in range(len(phones))]
+    assert digits[4] == digits[5] and digits[0] == digits[1] == digits[2] and digits[3].startswith("44")
+    long, short = (got[len(phones) + i][0][4:-9].lower() for i in (1, 0))
+    assert [g.lstrip("0") for g in long.split(":") if g != "0000"] == [g for g in short.split(":") if g]
