@@ -10,7 +10,12 @@ still too large by every choice of two of the 16 open bits (linked pairs agree o
 No posting emits its pairs: it emits edges to the first fingerprint of each of its groups, so output grows with the input.
 
 Null and empty texts have no words and the fingerprint zero, which is linked like any other. Repeated texts and rows share a
-fingerprint and so a component. An empty table gives an empty result. Only the named columns are read.
+fingerprint and so a component. An empty table gives an empty result. Texts of any length are read whole. Only the named columns are
+read, so further columns can have any names.
+
+`similar` and `keep_one` find near copies by similarity instead: at 0.8 on five-word shingles a tenth of the bits of one fingerprint
+differ, which leaves no byte sure to agree. So a document gets a fingerprint of many positions, each the SimHash of the few shingles that
+fall there; the index, the tally and the verification work on these in the same manner.
 """
 
 from __future__ import annotations
@@ -139,8 +144,213 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return prints.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of df whose key is the smallest of their component; rows without a key stay."""
-    found = near_duplicates(df.filter(F.col(key).isNotNull()), key, text, **options)
-    others = found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_other")).distinct()
-    return df.join(others, df[key] == others["_other"], "left_anti")
+# ---- near copies by similarity: positional SimHash over sets of shingles ----
+
+_P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_S31, _S27, _S30, _ONE = (np.uint64(x) for x in (31, 27, 30, 1))
+
+
+class _Words(dict):
+    """Hashes of words, remembered up to 500,000 of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+_WORDS = _Words()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _S30)) * _Q
+    x = (x ^ (x >> _S27)) * _R
+    return x ^ (x >> _S31)
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the lower-cased shingles of `width` words; of all words, if they are fewer; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    x, n = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words)), max(1, len(words) - width + 1)
+    out = np.full(n, min(len(words), width), np.uint64)
+    for k in range(min(width, len(words))):
+        out *= _P
+        out += x[k : k + n]
+    out = _mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
+
+
+def marks(shingles: np.ndarray, places: int = 24) -> list[tuple[int, list[int]]]:
+    """(level, marks) of a set: a SimHash for each of its first `places` places, hashed with level and place.
+
+    At level v, shingles fall into 2**v places by their low bits; v is such that two to four fall into each. A place's SimHash is equal in
+    two sets unless one of its few shingles changed. Sets that a fourth more shingles would lift to the next level have
+    the marks of that level too, so sets of similarity 0.8 and more, whose sizes differ by a fourth at most, share a level.
+    """
+    n, out = len(shingles), []
+    for level in sorted({max(0, int(np.log2(max(1, m / 2)))) for m in (n, n * 1.25)}) if n else ():
+        place = shingles & np.uint64((1 << level) - 1)
+        at = np.flatnonzero(place < places)
+        place = place[at]
+        order = np.argsort(place, kind="stable")
+        place, h = place[order], _mix(shingles[at[order]] + _P)
+        if not len(h):
+            continue
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        size = np.diff(np.r_[first, len(h)])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits.astype(np.int32), first, axis=0)
+        value = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        out.append((level, _mix(_mix(value + _P * (place[first] + _ONE)) + np.uint64(level)).view(np.int64).tolist()))
+    return out
+
+
+def _class(shingles: np.ndarray) -> bytes:
+    """128 bits for a set, equal for equal sets."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _tally(lists: list, needed: dict[int, int]) -> tuple[list, list]:
+    """Pairs of the members (class, component, level, marks) of a posting that share enough marks, lie in different components, and share no
+    earlier mark, so that each pair comes from one posting alone."""
+    left, right = [], []
+    for mark, members in lists:
+        table: dict[int, int] = {}
+        rows = [[table.setdefault(x, len(table)) for x in m["marks"]] for m in members]
+        if len(table) == 1:
+            continue
+        own, least = table[mark], needed[members[0]["level"]]
+        has = np.zeros((len(rows), len(table)), np.uint8)
+        for i, r in enumerate(rows):
+            has[i, r] = 1
+        # a mark's rank among all marks orders them alike in every posting
+        rank = np.argsort(np.argsort(np.fromiter(table, np.int64, len(table))))
+        has = has[:, np.argsort(rank)]
+        before = has[:, : rank[own]].astype(np.float32)
+        all_marks = has.astype(np.float32)
+        component = np.unique([m["component"].hex() for m in members], return_inverse=True)[1]
+        for at in range(0, len(rows), 256):
+            shared = all_marks[at : at + 256] @ all_marks.T
+            earlier = before[at : at + 256] @ before.T
+            good = (shared >= least) & (earlier == 0) & (component[at : at + 256, None] != component[None, :])
+            for i, j in zip(*np.nonzero(good), strict=True):
+                if at + i < j:
+                    left.append(members[at + i]["cls"])
+                    right.append(members[j]["cls"])
+    return left, right
+
+
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, places: int = 24, most: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(prints: key and cls of each row of df; components: node (a cls) and component, for classes that are linked to others).
+
+    Rows with equal shingle sets are one class. Classes link at a similarity of `least` and more. The index holds each class under its positional
+    marks; within a posting, shared marks are tallied, pairs below the needed number are dropped, and the rest is
+    verified on the whole shingle sets. At a similarity of 0.8 a mark is shared with probability 0.41 to 0.64, so of 24 marks three are
+    shared but for one pair in 2000; sets of fewer places need fewer. Each posting first tests its members against its least one; only
+    members that this leaves in different components are tallied pair by pair, in blocks where a posting has more than `most`.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    needed = {v: 3 if v >= 5 else 2 if v == 4 else 1 for v in range(64)}
+
+    def rows(keys: list, texts: list) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in (key, "cls", "level", "marks")}
+        for k, t in zip(keys, texts, strict=True):
+            s = shingle_set(t, width)
+            for level, m in marks(s, places) or [(0, [])]:
+                for c, v in zip(out, (k, _class(s), level, m), strict=True):
+                    out[c].append(v)
+        return out
+
+    prints = durable(map_columns(df, [key, text], f"`{key}` {kind}, cls binary, level int, marks array<long>", rows), "near-prints")
+    classes = prints.groupBy("cls", "level").agg(F.min(key).alias("rep"), F.first("marks").alias("marks")).filter("rep is not null")
+    classes = durable(classes, "near-classes")
+    index = classes.select("cls", "level", F.explode("marks").alias("mark"))
+    heads = index.groupBy("mark").agg(F.min("cls").alias("head"), F.max("cls").alias("_tail"), F.count("*").alias("n")).filter("head <> _tail").drop("_tail")
+    postings = durable(index.join(heads, "mark").select("mark", "level", "cls", "head", "n"), "near-postings")
+    stars = postings.filter("cls <> head").select("level", F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    own = lambda c: classes.select("level", F.col("cls").alias(c), F.col("marks").alias(f"_{c}"))
+    enough = F.size(F.array_intersect("_a", "_b")) >= F.when(F.col("level") >= 5, 3).when(F.col("level") == 4, 2).otherwise(1)
+    edges = _verified(df, classes, stars.join(own("a"), ["level", "a"]).join(own("b"), ["level", "b"]).filter(enough).select("a", "b").distinct(), key, text, width, least)
+    found = components(edges)
+    # what stars leave open: postings of three and more members in more than one component
+    named = postings.filter("n > 2").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    mixed = named.groupBy("mark").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("mark")
+    rest = named.join(mixed, "mark").join(classes.select("cls", "level", "marks"), ["cls", "level"])
+    blocks = F.ceil(F.col("n") / most).cast("int")
+    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    rest = rest.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.groupBy("mark", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("cls", "component", "level", "marks")).alias("members"))
+
+    def pairs(keys: list, members: list) -> dict[str, list]:
+        a, b = _tally(list(zip(keys, members, strict=True)), needed)
+        return {"a": a, "b": b}
+
+    more = map_columns(rest, ["mark", "members"], "a binary, b binary", pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = durable(more, "near-pairs")
+    if more.isEmpty():
+        return prints, found
+    further = _verified(df, classes, more, key, text, width, least)
+    return prints, components(edges.unionByName(further))
+
+
+def _verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets, of one document each, have a similarity of `least` and more."""
+    pairs = durable(pairs, "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    reps = classes.join(ends, "cls").select("cls", F.col("rep").alias("_rep")).distinct()
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(reps, F.col("_key") == F.col("_rep")).select("cls", "_text")
+
+    def sets(wanted: list, texts: list) -> dict[str, list]:
+        got = [(c, s) for c, t in zip(wanted, texts, strict=True) if _class(s := shingle_set(t, width)) == c]
+        return {"cls": [c for c, _ in got], "shingles": [s.view(np.int64) for _, s in got]}
+
+    known = durable(map_columns(texts, ["cls", "_text"], "cls binary, shingles array<long>", sets).dropDuplicates(["cls"]), "near-sets")
+    a, b = (known.select(F.col("cls").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+
+    def check(a: list, b: list, x: list, y: list) -> dict[str, list]:
+        good = [similarity(np.asarray(s, np.int64), np.asarray(t, np.int64)) >= least for s, t in zip(x, y, strict=True)]
+        return {"a": [v for v, g in zip(a, good, strict=True) if g], "b": [v for v, g in zip(b, good, strict=True) if g]}
+
+    return durable(map_columns(pairs.join(a, "a").join(b, "b"), ["a", "b", "_a", "_b"], "a binary, b binary", check), "near-links")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, **options) -> DataFrame:
+    """df with one row of each group of near copies: the one with the smallest key.
+
+    Rows without a key and repeated keys are told apart by their shingle sets: of rows with equal key and set one stays, the first by text.
+    Rows without a key are never verified against others, so of these equal sets alone are a group, behind rows with a key.
+    """
+    prints, found = similar(df, key, text, width, least, **options)
+    docs = prints.select(key, "cls").distinct()
+    named = docs.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("cls"))
+    best = named.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n"))
+    out = durable(named.join(best.filter("n > 1"), "component").filter(order != F.col("best")).select(F.col(key).alias("_other"), F.col("cls").alias("_cls")), "near-others")
+    often = prints.groupBy(key, "level").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_often")).distinct()
+    often = durable(often, "near-often")
+    single = df.join(out.select("_other").distinct(), df[key] == out["_other"], "left_anti")
+    if often.isEmpty():
+        return single
+    single = single.join(often, single[key].eqNullSafe(often["_often"]), "left_anti")
+    several = df.join(often, df[key].eqNullSafe(often["_often"]), "left_semi")
+
+    @F.pandas_udf("binary")
+    def own(texts):
+        import pandas as pd
+
+        return pd.Series([_class(shingle_set(t, width)) for t in texts], dtype="object")
+
+    several = several.select(F.struct(*(several[c] for c in df.columns)).alias("_row"), several[key].alias("_k"), several[text].alias("_t"), own(several[text]).alias("_c"))
+    several = several.join(out, F.col("_k").eqNullSafe(out["_other"]) & (F.col("_c") == out["_cls"]), "left_anti")
+    first = several.groupBy("_k", "_c").agg(F.min_by("_row", F.struct("_t", F.xxhash64("_row"))).alias("_row")).select("_row")
+    return single.unionByName(first.select(*(F.col("_row")[c].alias(c) for c in df.columns)))

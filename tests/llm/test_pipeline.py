@@ -12,8 +12,7 @@ from corpuslens.llm.packing import encoder
 
 from .helpers import clash, docs
 from .test_linededup import brute as brute_lines
-from .test_simhash import brute as brute_print
-from .test_simhash import groups
+from .test_simhash import near_groups
 
 
 def brute(texts: dict, bench: dict) -> list[dict]:
@@ -24,7 +23,7 @@ def brute(texts: dict, bench: dict) -> list[dict]:
     cut = brute_lines(kept)
     kept = {k: t for k, (t, n) in cut.items() if not n or t.strip(" \t\n\v\f\r")}
     out.append(kept)
-    ids = groups({k: brute_print(t) for k, t in kept.items()})
+    ids = near_groups(kept)
     kept = {k: t for k, t in kept.items() if ids[k] == k}
     out.append(kept)
     items = [decontaminate.tokens(t) for t in bench.values()]
