@@ -8,8 +8,9 @@ Their mean decides.
 
 Training reads a bounded sample of labelled and unlabelled documents (most_positive, most_unlabelled) with the features that tell them apart best; the prior is counted
 over all labels. Every document is scored over its whole text. Null and empty texts get the score of a text without words. Repeated
-rows get equal scores; repeated labels of a document count once, as toxic if any says so. Without a positive label, the score is the prior.
-Labels, ids and sources never are features.
+rows get equal scores; repeated labels of a document count once, as toxic if any says so. Without a positive label, the score is the prior;
+so it is without training documents. An empty table gives an empty result. Features that tell classes apart equally well are taken in
+their own order. Labels, ids and sources never are features; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,30 @@ def vector(text: str | None, numbers: dict[bytes, int], view: str) -> tuple[np.n
     return np.fromiter(got, np.int64, len(got)), np.fromiter(got.values(), float, len(got))
 
 
+class Rows:
+    """Sparse rows: how many features each has, and all their numbers and values."""
+
+    def __init__(self, sizes: np.ndarray, col: np.ndarray, val: np.ndarray):
+        self.sizes, self.col, self.val = np.asarray(sizes, np.int64), np.asarray(col, np.int32), np.asarray(val, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+
+class _Sums:
+    """Sums of values by a group that each has, over groups in order."""
+
+    def __init__(self, group: np.ndarray, size: int):
+        self.order, self.size = np.argsort(group, kind="stable"), size
+        self.groups, self.first = np.unique(group[self.order], return_index=True)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size, np.float32)
+        if len(self.first):
+            out[self.groups] = np.add.reduceat(values, self.first)
+        return out
+
+
 class Linear:
     """A linear classifier on numbered features, with the non-negative risk. Values are multiplied by `scale`."""
 
@@ -61,31 +87,37 @@ class Linear:
     def _sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
-    def fit(self, positive: list, unlabelled: list, prior: float, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-5) -> Linear:
-        """Adam over full batches, with the logistic loss."""
-        rows = positive + unlabelled
-        n, p = len(rows), len(positive)
-        row = np.repeat(np.arange(n), [len(i) for i, _ in rows])
-        col, val = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
-        val = val * self.scale
-        w, b, size = self.w, float(np.log(prior / (1 - prior))), len(self.w)
+    def fit(self, positive: Rows, unlabelled: Rows, prior: float, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-5, settled: float = 1e-4) -> Linear:
+        """Adam over full batches, with the logistic loss, until the risk has fallen by less than `settled` of itself in 20 rounds."""
+        p, n = len(positive), len(positive) + len(unlabelled)
+        rows = Rows(*(np.concatenate([getattr(positive, k), getattr(unlabelled, k)]) for k in ("sizes", "col", "val")))
+        row, size = np.repeat(np.arange(n, dtype=np.int32), rows.sizes), len(self.w)
+        val = (rows.val * self.scale).astype(np.float32)
+        by_row, by_col = _Sums(row, n), _Sums(rows.col, size)
+        order = by_col.order
+        row_c, val_c = row[order], val[order]
+        w, b = self.w.astype(np.float32), float(np.log(prior / (1 - prior)))
         m, s = np.zeros(size + 1), np.zeros(size + 1)
+        self.risks: list[float] = []
         for t in range(1, rounds + 1):
-            z = np.bincount(row, val * w[col], n) + b
+            z = by_row(val * w[rows.col]) + b
             q = self._sigmoid(z)
             negative = np.logaddexp(0, z[p:]).mean() - prior * np.logaddexp(0, z[:p]).mean()
-            gz = np.zeros(n)
+            self.risks.append(float(prior * np.logaddexp(0, -z[:p]).mean() + max(0.0, negative)))
+            gz = np.zeros(n, np.float32)
             if negative >= 0:
                 gz[:p] = -prior / p  # of prior * (loss as positive - loss as negative)
                 gz[p:] = q[p:] / (n - p)
             else:
                 gz[:p] = prior * q[:p] / p
                 gz[p:] = -q[p:] / (n - p)
-            g = np.append(np.bincount(col, val * gz[row], size) + ridge * w, gz.sum())
+            g = np.append(by_col(val_c * gz[row_c]) + ridge * w, gz.sum(dtype=float))
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             step = rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8) / np.sqrt(1 + t / 20)
-            w, b = w - step[:-1], b - step[-1]
-        self.w, self.b = w, b
+            w, b = w - step[:-1].astype(np.float32), b - step[-1]
+            if t > 40 and min(self.risks[-20:]) > (1 - settled) * min(self.risks[:-20]):
+                break
+        self.w, self.b = w.astype(float), float(b)
         return self
 
 
@@ -148,11 +180,12 @@ def train(
         return Model((), (), prior if prior is not None else 0.0)
     prior = min(0.9, max(1e-3, prior if prior is not None else n["p"] / n["n"]))
     total = docs.count()
-    drawn = lambda what, share: F.pmod(F.xxhash64(F.lit(what + seed), F.col("_key")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    positive = rows.join(told.filter("_y = 1").select(F.col(key).alias("_key")).filter(drawn(0, most_positive / n["p"])), "_key", "left_semi").dropDuplicates(["_text"])
-    unlabelled = rows.filter(drawn(1, most_unlabelled / max(1, total)))
-    sample = durable(positive.select("_text", F.lit(1).alias("_y")).unionByName(unlabelled.select("_text", F.lit(0).alias("_y"))), "toxic-sample")
+    positive = rows.join(told.filter("_y = 1").select(F.col(key).alias("_key")), "_key", "left_semi").filter(drawn(seed, most_positive / n["p"], "_key", "_text"))
+    unlabelled = rows.filter(drawn(seed + 1, most_unlabelled / max(1, total), "_key", "_text"))
+    # equal texts count once, so a text of which there are very many can't fill the sample
+    parts = [x.select("_text").distinct().withColumn("_y", F.lit(y)) for x, y in ((positive, 1), (unlabelled, 0))]
+    sample = durable(parts[0].unionByName(parts[1]), "toxic-sample")
     if sample.select("_y").distinct().count() < 2:
         return Model((), (), prior)
     numbers = telling(sample, most_features)
@@ -164,9 +197,19 @@ def train(
             out |= {f"i{v}": [i for i, _ in got], f"v{v}": [x for _, x in got]}
         return out
 
-    found = map_columns(sample, ["_text", "_y"], "y int, i0 array<int>, v0 array<float>, i1 array<int>, v1 array<float>", vectors).toPandas()
-    side = [[[(np.asarray(r[f"i{v}"], np.int64), np.asarray(r[f"v{v}"], float)) for _, r in found[found.y == y].iterrows()] for y in (1, 0)] for v in range(len(VIEWS))]
-    return Model(numbers, tuple(Linear(len(numbers[v])).fit(*side[v], prior, **fit) for v in range(len(VIEWS))), prior)
+    found = map_columns(sample, ["_text", "_y"], "y int, i0 array<int>, v0 array<float>, i1 array<int>, v1 array<float>", vectors).toArrow()
+
+    def side(view: int, y: int) -> Rows:
+        part = found.filter(pc.equal(found["y"], y)).combine_chunks()
+        col, val = part[f"i{view}"], part[f"v{view}"]
+        return Rows(pc.list_value_length(col).to_numpy(), pc.list_flatten(col).to_numpy(), pc.list_flatten(val).to_numpy())
+
+    return Model(numbers, tuple(Linear(len(numbers[v])).fit(side(v, 1), side(v, 0), prior, **fit) for v in range(len(VIEWS))), prior)
+
+
+def drawn(seed: int, share: float, *columns: str) -> Column:
+    """True for this share of all rows, by a hash of these columns; a share of 2**-50 is still exact."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1) < int(min(1.0, share) * (2**63 - 1024))
 
 
 def held_out(key: Column, folds: int = 5) -> Column:

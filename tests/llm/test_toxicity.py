@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -39,13 +41,50 @@ def test_learns_words_and_beginnings_from_positives(spark):
     assert long["predicted"] == 0
 
 
+def rows_of(lists):
+    return toxicity.Rows([len(x) for x in lists], [c for x in lists for c, _ in x], [v for x in lists for _, v in x])
+
+
 def test_risk_falls_and_stays_sane():
     rng = np.random.default_rng(0)
-    row = lambda f: (np.array([f, 2 + rng.integers(5)]), np.ones(2))
+    row = lambda f: [(f, 1.0), (2 + int(rng.integers(5)), 1.0)]
     positive, unlabelled = [row(0) for _ in range(50)], [row(0) for _ in range(20)] + [row(1) for _ in range(180)]
-    m = toxicity.Linear(7).fit(positive, unlabelled, 0.1)
+    m = toxicity.Linear(7).fit(rows_of(positive), rows_of(unlabelled), 0.1)
     p = lambda f: float(m._sigmoid(np.array([m.scale * m.w[f] + m.b]))[0])
-    assert p(0) > 0.9 > 0.1 > p(1)
+    assert p(0) > 0.9 > 0.1 > p(1) and m.risks[-1] < m.risks[0]
+    # the last risk but one step, written out over single rows
+    one = toxicity.Linear(7).fit(rows_of(positive), rows_of(unlabelled), 0.1, rounds=5)
+    before = toxicity.Linear(7).fit(rows_of(positive), rows_of(unlabelled), 0.1, rounds=4)
+    z = lambda x: before.b + sum(before.scale * before.w[c] * v for c, v in x)
+    loss = lambda rows, sign: sum(math.log1p(math.exp(sign * z(x))) for x in rows) / len(rows)
+    want = 0.1 * loss(positive, -1) + max(0, loss(unlabelled, 1) - 0.1 * loss(positive, 1))
+    assert abs(one.risks[-1] - want) < 1e-4
+
+
+def test_scores_equal_the_sums_over_features(spark):
+    """A document's score is the mean of two logistic functions of its features' weights."""
+    rows, labels, _ = corpus(600, 3)
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows[:40]), model).collect()}
+    for k, t in rows[:40]:
+        c = Counter(t.lower().translate(str.maketrans("", "", ".,;:!?")).split())
+        value = {w: 1 + math.log(n) for w, n in c.items()}
+        length, score = math.sqrt(sum(v * v for v in value.values())), 0.0
+        for view, part, numbers in zip(toxicity.VIEWS, model.parts, model.numbers, strict=True):
+            z = part.b + sum(part.scale * v / length * part.w[numbers[f]] for w, v in value.items() for f in toxicity.features(w.encode(), view) if f in numbers)
+            score += 0.5 / (1 + math.exp(-z))
+        assert abs(score - got[k]) < 1e-9
+
+
+def test_draws_any_share(spark):
+    """Shares of one in ten million and less are drawn, also of one key's rows; repeated labels and rows count once."""
+    n = spark.range(200_000).select(F.lit(1).alias("_key"), F.col("id").alias("_text"))
+    assert 60 < n.filter(toxicity.drawn(3, 0.0005, "_key", "_text")).count() < 140
+    assert spark.range(1).filter(toxicity.drawn(1, 1.0, "id")).count() == 1 and spark.range(1000).filter(toxicity.drawn(1, 1e-11, "id")).count() == 0
+    rows, labels, _ = corpus(600, 3)
+    once = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    twice = toxicity.train(docs(spark, rows), spark.createDataFrame([*labels, *labels, *((k, 0) for k, _ in labels)], "doc_id long, toxic int"))
+    assert once.numbers == twice.numbers and once.prior == twice.prior
 
 
 def test_query(spark, sf_dir):
