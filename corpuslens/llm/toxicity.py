@@ -29,11 +29,11 @@ VIEWS = ("words", "runs")
 
 
 def features(word: bytes, view: str) -> list[bytes]:
-    """Of a lower-cased word: itself and its first 3 to 5 bytes, or its runs of 4 bytes with a mark at the start."""
+    """Of a lower-cased word: itself with a mark at the end and its first 3 to 5 bytes, or its runs of 4 bytes with a mark at the start."""
     if view == "words":
-        return [b"w" + word, *(b"p" + word[:k] for k in (3, 4, 5) if len(word) > k)]
+        return [word + b"$", *(word[:k] for k in (3, 4, 5) if len(word) > k)]
     x = b"^" + word
-    return [b"r" + x[i : i + 4] for i in range(max(1, len(x) - 3))]
+    return [x[i : i + 4] for i in range(max(1, len(x) - 3))]
 
 
 def counts(text: str | None) -> tuple[list[bytes], np.ndarray]:
@@ -122,39 +122,42 @@ class Linear:
 
 
 class Model(dict):
-    """Scores texts. It remembers each word's weights by view, up to `most` words."""
+    """Scores texts. It remembers each word's weights by view (None where all are zero), up to `most` words."""
 
     def __init__(self, numbers: tuple[dict[bytes, int], ...], parts: tuple[Linear, ...], prior: float, most: int = 300_000):
         self.numbers, self.parts, self.prior, self.most = numbers, parts, prior, most
+        self.weights = [{f: p.scale * float(p.w[i]) for f, i in n.items()} for n, p in zip(numbers, parts, strict=True)]
 
     def __reduce__(self):
         return Model, (self.numbers, self.parts, self.prior, self.most)
 
-    def __missing__(self, word: bytes) -> tuple[float, ...]:
+    def __missing__(self, word: bytes) -> tuple[float, ...] | None:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = tuple(p.scale * sum(p.w[i] for f in features(word, v) if (i := n.get(f)) is not None) for n, p, v in zip(self.numbers, self.parts, VIEWS, strict=True))
+        sums = tuple(sum(known[f] for f in features(word, v) if f in known) for v, known in zip(VIEWS, self.weights, strict=True))
+        got = self[word] = sums if any(sums) else None
         return got
 
     def score(self, text: str | None) -> float:
         if not self.parts:
             return self.prior
         words, value = counts(text)
-        weights = np.array([self[w] for w in words]).reshape(-1, len(self.parts))
-        return float(Linear._sigmoid(value @ weights + [p.b for p in self.parts]).mean())
+        told = [(i, x) for i, x in enumerate(map(self.__getitem__, words)) if x is not None]
+        z = [p.b + sum(value[i] * x[v] for i, x in told) for v, p in enumerate(self.parts)]
+        return float(Linear._sigmoid(np.array(z)).mean())
 
 
 def telling(sample: DataFrame, most_features: int) -> tuple[dict[bytes, int], ...]:
     """By view, numbers of the features whose shares among positives (_y 1) and unlabelled texts (_y 0) differ most beyond chance."""
 
     def tally(texts: list, ys: list) -> dict[str, list]:
-        sums: dict[tuple, list[int]] = {}
+        sums = [[Counter(), Counter()] for _ in VIEWS]
         for t, y in zip(texts, ys, strict=True):
             words = set(tokens(t))
-            for v, view in enumerate(VIEWS):
-                for f in {f for w in words for f in features(w, view)}:
-                    sums.setdefault((v, f), [0, 0])[1 - y] += 1
-        return {"view": [v for v, _ in sums], "feature": [f for _, f in sums], "p": [n[0] for n in sums.values()], "u": [n[1] for n in sums.values()]}
+            for view, by_class in zip(VIEWS, sums, strict=True):
+                by_class[1 - y].update({f for w in words for f in features(w, view)})
+        rows = [(v, f, p[f], u[f]) for v, (p, u) in enumerate(sums) for f in p.keys() | u.keys()]
+        return {c: [r[i] for r in rows] for i, c in enumerate(("view", "feature", "p", "u"))}
 
     n = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     found = map_columns(sample, ["_text", "_y"], "view int, feature binary, p long, u long", tally).groupBy("view", "feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
@@ -185,7 +188,7 @@ def train(
     unlabelled = rows.filter(drawn(seed + 1, most_unlabelled / max(1, total), "_key", "_text"))
     # equal texts count once, so a text of which there are very many can't fill the sample
     parts = [x.select("_text").distinct().withColumn("_y", F.lit(y)) for x, y in ((positive, 1), (unlabelled, 0))]
-    sample = durable(parts[0].unionByName(parts[1]), "toxic-sample")
+    sample = durable(parts[0].unionByName(parts[1]).repartition(docs.sparkSession.sparkContext.defaultParallelism), "toxic-sample")
     if sample.select("_y").distinct().count() < 2:
         return Model((), (), prior)
     numbers = telling(sample, most_features)
