@@ -4,11 +4,11 @@ Documents longer than a sequence are cut into whole sequences behind a first pie
 bin-packing problem over at most `length` piece lengths, whatever the number of documents. Its configuration linear program
 is solved on the driver from the length histogram (at most `length` counts): multiplicative weights give each length a price, a
 knapsack dynamic program finds the configurations of highest worth under these prices, and the weighted configurations are
-rounded down to whole sequences. What rounding leaves over is packed best-fit. Pieces then take their places in the plan by
+rounded to whole sequences. What rounding leaves over is packed best-fit. Pieces then take their places in the plan by
 their rank among the pieces of the same length, which Spark computes from counts per bucket, so no length is ever gathered in one task.
 
-Null texts count as empty and make one piece of the end id. Repeated rows are packed each for itself. An empty table gives an
-empty result. Only the named columns are read; a text is tokenized whole, in stretches cut where the tokenizer cuts anyway.
+Null texts count as empty and make one piece of the end id. Repeated rows are packed each for itself; ties of length go by key. An empty
+table gives an empty result. Only the named columns are read, so others can have any names; a text is tokenized whole, in stretches cut where the tokenizer cuts anyway.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ _BESIDE_SPACE = re.compile(r"\s | \s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: Fixed value: the special token of the vocabulary, with the number behind all others.
+END_OF_TEXT = "<|endoftext|>"
+
+
 def stretches(text: str) -> list[str]:
     """text cut before single spaces between other characters. A byte-level pre-tokenizer cuts there too, so ids just add up."""
     if "\0" in text or _BESIDE_SPACE.search(text):
@@ -51,12 +55,14 @@ class Encoder(dict):
 
             with open(vocabulary, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            end = [len(ranks)]
+            # the tokenizers library takes this string out of a text before anything else
+            self.ids = lambda s: plain(s) if END_OF_TEXT not in s else [i for k, part in enumerate(s.split(END_OF_TEXT)) for i in ((end if k else []) + plain(part))]
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(vocabulary)
-            t.encode_special_tokens = True
             self.ids = lambda s: t.encode(s, add_special_tokens=False).ids
 
     def __missing__(self, stretch: str) -> bytes:
@@ -109,8 +115,9 @@ def _price(y: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         k = np.searchsorted(sizes, c, "right")
         best[c] = best[c - 1]
         if k:
-            v = worth[:k] + best[c - sizes[:k]]
-            j = int(v.argmax())
+            v = (worth[:k] + best[c - sizes[:k]])[::-1]
+            j = k - 1 - int(v.argmax())  # of equals the longest, as short pieces fill gaps later
+            v = v[::-1]
             if v[j] > best[c] + 1e-15:
                 best[c], last[c] = v[j], sizes[j]
     return best, last
@@ -127,36 +134,47 @@ def _read_back(last: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def configurations(demand: np.ndarray, capacity: int, rounds: int = 80, eta: float = 0.5, tolerance: float = 0.02) -> list[tuple[tuple[tuple[int, int], ...], float]]:
-    """A fractional cover of demand (pieces by length) as [(configuration, weight)], by multiplicative weights.
+def configurations(demand: np.ndarray, capacity: int, rounds: int = 2, eta: float = 0.5) -> tuple[list[tuple[tuple[tuple[int, int], ...], float]], float]:
+    """A fractional cover of demand (pieces by length) as [(configuration, weight)], by multiplicative weights, and a lower bound.
 
-    In each round, the prices of lengths that are covered too well fall and those of others rise. The dynamic program prices
-    all configurations at once: for each length, the best one that holds it; those within tolerance of the best of all gain weight.
+    A round packs all pieces, as fractions of any size. The dynamic program prices all configurations at once; each length, the
+    longest first, goes with the pieces of highest worth beside it, as far as these last, and prices are taken anew over what is left. Lengths
+    whose sequences were left with gaps are dearer in the next round, so they are placed earlier. The mean over rounds is the cover.
+    Prices divided by the worth of the best configuration are a solution of the dual program, so their worth over all
+    pieces bounds the number of sequences from below.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
-        return []
-    b = demand[sizes].astype(float)
-    covered = np.zeros(len(demand))
+        return [], 0.0
+    bound, dear = 0.0, np.ones(len(demand))
     weight: dict[tuple, float] = defaultdict(float)
-    for t in range(1, rounds + 1):
-        y = np.zeros(len(demand))
-        behind = t - covered[sizes] / b
-        y[sizes] = sizes / capacity * np.exp(eta * np.clip(behind - behind.mean(), -4, 4) / np.sqrt(t) * 0.2)
-        best, last = _price(y, capacity)
-        held = y[sizes] + best[capacity - sizes]
-        good = sizes[(held >= (1 - tolerance) * held.max()) | (behind >= np.quantile(behind, 0.9))]
-        for s in good[np.argsort(-(t - covered[good] / demand[good]), kind="stable")]:
-            lack = t * demand[s] - covered[s]
-            if lack <= 0:
-                continue
-            items = [int(s), *_read_back(last, capacity - int(s))]
-            counts = {x: items.count(x) for x in dict.fromkeys(items)}
-            step = min(max(t * demand[x] - covered[x], 0.25 * demand[x]) / n for x, n in counts.items())
-            weight[tuple(sorted(counts.items(), reverse=True))] += step
-            for x, n in counts.items():
-                covered[x] += step * n
-    return [(c, w / rounds) for c, w in weight.items()]
+    for _ in range(rounds):
+        left, gaps, stuck = demand.astype(float), np.zeros(len(demand)), False
+        while len(open_sizes := np.flatnonzero(left > 1e-9)):
+            y = np.zeros(len(demand))
+            y[open_sizes] = open_sizes / capacity * dear[open_sizes]
+            best, last = _price(y, capacity)
+            if len(open_sizes) == len(sizes):
+                bound = max(bound, float(demand[sizes] @ y[sizes] / best[capacity]))
+            moved = False
+            for s in open_sizes[::-1].tolist():
+                if left[s] <= 1e-9:
+                    continue
+                counts: dict[int, int] = defaultdict(int)
+                for x in (s, *_read_back(last, capacity - s)):
+                    counts[x] += 1
+                if any(left[x] <= 1e-9 for x in counts):
+                    continue  # these prices are out of date
+                step = min(left[x] / n for x, n in counts.items())
+                weight[tuple(sorted(counts.items(), reverse=True))] += step
+                gap = 1 - sum(x * n for x, n in counts.items()) / capacity
+                for x, n in counts.items():
+                    left[x] -= step * n
+                    gaps[x] += step * n * gap
+                moved = True
+            assert moved
+        dear *= np.exp(eta * gaps / np.maximum(demand, 1))
+    return [(c, w / rounds) for c, w in weight.items()], bound
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -185,24 +203,43 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
     return [x for room in sorted(by_room) for x in by_room[room]]
 
 
-def plan(demand: np.ndarray, capacity: int, solves: int = 2, **options) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def rounded(demand: np.ndarray, capacity: int, share: float, solves: int = 2, **options) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration, sequences)] that holds every piece exactly once.
 
-    The linear program is solved and rounded down, then solved again over what rounding left, and the rest goes best-fit.
+    The linear program is solved, and of its configurations without a gap the share `share` is taken, rounded to whole sequences as far
+    as pieces last. It is solved again over what is left, and the rest goes best-fit.
     """
     left = demand.astype(np.int64)
-    out: list[tuple[tuple, int]] = []
-    for _ in range(solves):
-        before = len(out)
-        for c, w in sorted(configurations(left, capacity, **options), key=lambda x: -x[1]):
-            times = min(int(w), *(int(left[s]) // n for s, n in c))
-            if times > 0 and sum(s * n for s, n in c) == capacity:
-                out.append((c, times))
+    out: dict[tuple, int] = defaultdict(int)
+    for _ in range(solves if share else 0):
+        full = sorted(((c, w) for c, w in configurations(left, capacity, **options)[0] if sum(s * n for s, n in c) == capacity), reverse=True)
+        # each prefix of the sum is rounded, so neighbours make up for each other and what is left keeps the mixture of lengths
+        ends = np.floor(share * np.cumsum([w for _, w in full]) + 0.5).astype(np.int64)
+        taken = 0
+        for (c, _), times in zip(full, np.diff(ends, prepend=0).tolist(), strict=True):
+            times = min(times, *(int(left[s]) // n for s, n in c))
+            if times > 0:
+                out[c] += times
+                taken += times
                 for s, n in c:
                     left[s] -= n * times
-        if len(out) == before:
+        if not taken:
+            break
+    return [*out.items(), *_best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)]
+
+
+def plan(demand: np.ndarray, capacity: int, shares: tuple[float, ...] = (0.9, 0.6, 0.0), spare: float = 0.001, **options) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The rounded plan of fewest sequences among these shares of the linear program's configurations; the first that comes within
+    `spare` of the least possible number ends the search. With very few pieces, rounding costs most, and a smaller share is better."""
+    least = -(-int((demand * np.arange(len(demand))).sum()) // capacity)
+    best: list[tuple[tuple[tuple[int, int], ...], int]] | None = None
+    for share in shares:
+        got = rounded(demand, capacity, share, **options)
+        if best is None or sum(n for _, n in got) < sum(n for _, n in best):
+            best = got
+        if sum(n for _, n in best) <= least * (1 + spare) + 1:
             break
-    return out + _best_fit({int(s): int(left[s]) for s in np.flatnonzero(left)}, capacity)
+    return best or []
 
 
 def places(cut: DataFrame, length: int = 1024, key: str = "doc_id", buckets: int = 256) -> DataFrame:
