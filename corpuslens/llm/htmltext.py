@@ -1,36 +1,47 @@
-"""Main text of web pages, by markup and by differencing with the nearest page.
+"""Main text of web pages, by differencing with the nearest page.
 
 A page's HTML becomes blocks of text. A block in a menu, page header, footer, sidebar, notice, advert, form or reader comment, as its
-elements, roles and class names say, is no candidate. Pages of a host are sorted by URL path, each page is paired with that neighbour
-whose path has the longer beginning in common, the lines of the two are aligned by a longest common subsequence, and lines that both
-share are deleted as template text. Lines inside an explicit article or main element are the page's own even if another page repeats
-them (mirrored articles, quoted passages), so there differencing deletes nothing; it decides where markup doesn't say.
+elements, roles and class names say, is no candidate. The locations (path and query) of a host are sorted, each is paired with
+that neighbour which has the longer beginning in common, the lines of the two pages are aligned by a longest common
+subsequence, and lines that both share are deleted as template text. A neighbour that leaves less than a tenth of a page's text is a mirror of
+it and no template, so then the other neighbour is taken, or nothing is deleted. Where an article or main element holds at least half of
+a page's text, what stands beside it goes, and its own lines stay even if the neighbour quotes the same passage.
 
-White space inside a block is one space; blocks are joined by an empty line. Null or empty HTML gives an empty text; cut-off markup is
-read as far as it goes. Pages with a null URL, or alone on their host, have no pair. Repeated rows pair with each other and lose what
-they share outside of articles. An empty table gives an empty result. Only the named columns are read.
+White space inside a block is one space; blocks are joined by an empty line. Null or empty HTML gives an empty text; cut-off, unclosed
+and odd markup is read as far as it goes; very long pages are read whole. Pages without a host, or alone on it, have no pair. Rows of one
+location, repeated ones too, have the same neighbours and never each other; of a location, the row with the least key stands for it.
+An empty table gives an empty result. Only the named columns are read, so others can have any names.
 
-Hosts of more than `most` pages are dealt into groups by a hash of the path, and pairs are made within a group, so no host needs a task of its own.
+Locations get ranks in their order over the whole table (a sort by ranges), and neighbours are joined by rank: a host of any size has
+its exact neighbours without a task of its own.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from html import unescape
 
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, map_columns
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+# a tag's quoted values hold no "<", or no ">"; a tag with an odd quote ends at its first ">"
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*|(?:[^<>"']|"[^">]*"|'[^'>]*')*|[^>]*)>|<[!?][^>]*>""", re.S
+)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
 # Elements of HTML by what they mean here.
 SKIPPED = frozenset("script style noscript template textarea select svg math iframe object canvas audio video title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OF_HEAD = frozenset("title meta link style script base noscript template".split())
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}  # p by any block
 CHROME = frozenset("nav footer aside form dialog menu button head".split())
 MAIN = frozenset("article main".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -39,6 +50,7 @@ CHROME_NAMES = re.compile(
     r"|respond|disqus|related|recommended|subscribe|newsletter|signup|login|popup|modal|overlay|widget|search|pagination|pager|skip|toolbar)(?:$|[-_\s])",
     re.I,
 )
+_OWN_HEADER = re.compile(r"(?:^|[-_])(?:header|masthead)$", re.I)
 _STATE = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:open|closed)$", re.I)  # classes that say what else a page has
 _COMMENT = re.compile(r"(?:^|\s)(?:comments?|reply|response)(?:$|\s)", re.I)
 
@@ -85,7 +97,7 @@ def blocks(html: str | None) -> tuple[list[str], list[bool]]:
             if tag not in ("svg", "math"):
                 flush() if tag not in INLINE else None
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
+            at = close.end() if close else end if tag in ("script", "style") else at  # others without an end hold nothing
             continue
         if tag == "br":
             held.append(" ")
@@ -95,8 +107,18 @@ def blocks(html: str | None) -> tuple[list[str], list[bool]]:
             continue
         if tag in INLINE and not m[3]:
             continue
+        if tag not in INLINE and stack:
+            opened = next((k for k, x in enumerate(stack) if x[0] == "head"), None)
+            if opened is not None and tag not in OF_HEAD:
+                flush()
+                del stack[opened:]
+            elif stack[-1][0] == "p" or tag in ENDED_BY.get(stack[-1][0], ()):
+                flush()
+                stack.pop()
+            _, chrome, main = stack[-1] if stack else ("", False, False)
         attributes = {a[0].lower(): a[1].strip("\"'") for a in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        named = " ".join(x for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not _STATE.search(x))
+        names = [x for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not _STATE.search(x)]
+        named = " ".join(x for x in names if not ((main or tag in HEADINGS) and _OWN_HEADER.search(x)))
         is_main = tag in MAIN or attributes.get("role", "").lower() == "main"
         is_chrome = (
             tag in CHROME
@@ -165,36 +187,76 @@ def _shared_beginning(a: str | None, b: str | None) -> int:
     return n
 
 
-def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", most: int = 256) -> DataFrame:
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)"
+
+
+def neighbours(lines: DataFrame, per_bucket: int = 4096) -> DataFrame:
+    """lines (_host, _loc, _lines; distinct _host and _loc) with what lies before and after each on its host: _loc0, _lines0, _loc1, _lines1.
+
+    A sort by ranges gives each row its place in its partition; with the partitions' sizes, of which there are as many as
+    partitions, places become ranks. Runs of per_bucket ranks are shuffled once, with the rows at their ends in both runs.
+    """
+    spark = lines.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(lines.repartitionByRange(tasks, "_host", "_loc").sortWithinPartitions("_host", "_loc").withColumn("_id", F.monotonically_increasing_id()), "page-lines")
+    part = F.shiftright("_id", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(sizes):
+        starts.append((p, total))
+        total += sizes[p]
+    starts = spark.createDataFrame(starts, "_p long, _start long")
+    ranked = placed.join(F.broadcast(starts), part == F.col("_p")).withColumn("_rank", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_start", "_id")
+    bucket = F.floor(F.col("_rank") / per_bucket)
+    also = F.when(F.col("_rank") % per_bucket == 0, bucket - 1).when(F.col("_rank") % per_bucket == per_bucket - 1, bucket + 1)
+    dealt = ranked.select("*", bucket.alias("_own"), F.explode(F.array_compact(F.array(bucket, also))).alias("_bucket"))
+    order = Window.partitionBy("_bucket").orderBy("_rank")
+    near = {f"_{n}{k}": f(n_, 1).over(order) for k, f in ((0, F.lag), (1, F.lead)) for n, n_ in (("host", "_host"), ("loc", "_loc"), ("lines", "_lines"))}
+    out = dealt.withColumns(near).filter(F.col("_own") == F.col("_bucket"))
+    same = lambda c, k: F.when(F.col(f"_host{k}") == F.col("_host"), F.col(c)).alias(c)
+    return out.select("_host", "_loc", same("_loc0", 0), same("_lines0", 0), same("_loc1", 1), same("_lines1", 1))
+
+
+def chosen(texts: list[str], inside: list[bool], lines: list[int], pairs: list[list[int] | None], mirror: float = 0.9, bulk: float = 0.5) -> list[str]:
+    """The texts that are left after differencing with the first of pairs that is no mirror."""
+    size = [len(t) for t in texts]
+    total, shared = sum(size), set()
+    for pair in pairs:
+        found = aligned(lines, pair) if pair else set()
+        if found and sum(size[i] for i in found) <= mirror * total:
+            shared = found
+            break
+    if sum(n for n, i in zip(size, inside, strict=True) if i) >= bulk * total:
+        return [t for t, i in zip(texts, inside, strict=True) if i]
+    return [t for i, t in enumerate(texts) if i not in shared]
+
+
+def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, url and text for each row of df."""
     kind = df.schema[key].dataType.simpleString()
-    place = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", 1)), F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", 2)
-    located = df.select(F.col(key), F.col(url), F.col(html), F.coalesce(place[0], F.lit("")).alias("_host"), F.coalesce(place[1], F.lit("")).alias("_path"))
-
-    def parse(keys: list, urls: list, htmls: list, hosts: list, paths: list) -> dict[str, list]:
-        got = [blocks(h) for h in htmls]
-        lines = [[xxhash.xxh64_intdigest(t) >> 1 for t in texts] for texts, _ in got]
-        return {key: keys, url: urls, "_host": hosts, "_path": paths, "_texts": [t for t, _ in got], "_inside": [i for _, i in got], "_lines": lines}
-
-    parsed = map_columns(located, [key, url, html, "_host", "_path"], f"`{key}` {kind}, `{url}` string, _host string, _path string, _texts array<string>, _inside array<boolean>, _lines array<bigint>", parse)
-    large = located.groupBy("_host").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).withColumnRenamed("_host", "_large")
-    large = durable(large, "large-hosts")
-    few = large.count() <= 10_000
-    groups = parsed.join(F.broadcast(large) if few else large, parsed["_host"] == large["_large"], "left").withColumn("_group", F.coalesce(F.pmod(F.xxhash64("_path"), F.ceil(F.col("_n") / most)), F.lit(0)))
-    groups = groups.withColumn("_group", F.when(F.col("_host") == "", F.xxhash64(key, "_path")).otherwise(F.col("_group")))  # pages without a host have no pair in common
-    if not few:
-        groups = groups.repartition("_host", "_group")  # a join by host would leave a large host in one task
-    order = Window.partitionBy("_host", "_group").orderBy("_path", url, key, F.xxhash64("_lines"))
-    near = [f(c, 1).over(order).alias(f"_{n}{c}") for n, f in (("before", F.lag), ("after", F.lead)) for c in ("_path", "_lines")]
-    paired = groups.select(key, url, "_host", "_path", "_texts", "_inside", "_lines", *near)
-
-    def own(keys: list, urls: list, hosts: list, paths: list, texts: list, inside: list, lines: list, path0: list, lines0: list, path1: list, lines1: list) -> dict[str, list]:
+    place = F.lower(F.regexp_extract(F.col(url), _URL, 1)), F.regexp_extract(F.col(url), _URL, 2)
+    located = df.select(F.col(key), F.col(url), F.col(html), F.coalesce(place[0], F.lit("")).alias("_host"), F.coalesce(place[1], F.lit("")).alias("_loc"))
+    hashed = lambda texts: [xxhash.xxh64_intdigest(t) >> 1 for t in texts]
+
+    def lines_of(keys: list, htmls: list, hosts: list, locs: list) -> dict[str, list]:
+        return {"_key": keys, "_host": hosts, "_loc": locs, "_lines": [hashed(blocks(h)[0]) for h in htmls]}
+
+    lines = map_columns(located.filter("_host <> ''"), [key, html, "_host", "_loc"], f"_key {kind}, _host string, _loc string, _lines array<bigint>", lines_of)
+    near = neighbours(lines.groupBy("_host", "_loc").agg(F.min_by("_lines", F.struct("_key", "_lines")).alias("_lines")))
+
+    def parse(keys: list, urls: list, htmls: list, hosts: list, locs: list) -> dict[str, list]:
+        got = [zstandard.compress(json.dumps(blocks(h)).encode("utf-8", "surrogatepass")) for h in htmls]
+        return {key: keys, url: urls, "_host": hosts, "_loc": locs, "_blocks": got}
+
+    parsed = map_columns(located, [key, url, html, "_host", "_loc"], f"`{key}` {kind}, `{url}` string, _host string, _loc string, _blocks binary", parse)
+    paired = parsed.join(near, ["_host", "_loc"], "left").select(key, url, "_loc", "_blocks", "_loc0", "_lines0", "_loc1", "_lines1")
+
+    def own(keys: list, urls: list, locs: list, packed: list, loc0: list, lines0: list, loc1: list, lines1: list) -> dict[str, list]:
         out = []
-        for host, path, ts, ins, ls, p0, l0, p1, l1 in zip(hosts, paths, texts, inside, lines, path0, lines0, path1, lines1, strict=True):
-            pair = None if not host else l0 if l0 is not None and (l1 is None or _shared_beginning(path, p0) >= _shared_beginning(path, p1)) else l1
-            shared = aligned(ls, pair) if pair else set()
-            marked = any(ins)
-            out.append("\n\n".join(t for i, t in enumerate(ts) if (ins[i] if marked else i not in shared)))
+        for loc, b, p0, l0, p1, l1 in zip(locs, packed, loc0, lines0, loc1, lines1, strict=True):
+            texts, inside = json.loads(zstandard.decompress(b))
+            before_first = _shared_beginning(loc, p0) >= _shared_beginning(loc, p1)
+            out.append("\n\n".join(chosen(texts, inside, hashed(texts), [l0, l1] if before_first else [l1, l0])))
         return {key: keys, url: urls, "text": out}
 
     return map_columns(paired, paired.columns, f"`{key}` {kind}, `{url}` string, text string", own)

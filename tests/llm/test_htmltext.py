@@ -1,14 +1,21 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from html.parser import HTMLParser
 
+import xxhash
+
 from corpuslens.llm import htmltext, queries
 
 from .helpers import clash
 
 
+def xx(t):
+    return xxhash.xxh64_intdigest(t) >> 1
+
+
 class Article(HTMLParser):
     """Blocks of article elements by the standard parser."""
 
@@ -63,6 +70,57 @@ def test_lcs_equals_the_table():
         assert len(got) == t[-1][-1] and all(x in it for x in got)
 
 
+def test_markup_that_isnt_well_formed():
+    kept = {
+        "<html><head><title>t</title><body><p>a</p>": ["a"], "<head><meta name=x><p>a": ["a"], "<body><p class=ad>buy<p>a</p><p>b": ["a", "b"], "<ul><li class=menu>m<li>a</ul>": ["a"], "<p class=ad>buy<div>a</div>": ["a"],
+        '<article><div class="entry-header"><h1>T</h1></div><h2 class="section-header">S</h2><p>a</article>': ["T", "S", "a"], '<p>see <a href="x>this</a> a</p><p>b</p>': ["see this a", "b"], "<p>a</p><textarea>b<p>c": ["a", "b", "c"],
+        "<p>a</p><script>b<p>c": ["a"], '<p>x <img alt="1 < 2"> y <img alt="2 > 1"> z</p>': ["x y z"], '<div class="header">no</div><h1 class="header">yes</h1>': ["yes"], "<table><tr><td class=ad>n<td>a<tr><td>b</table>": ["a", "b"],
+    }
+    assert {k: htmltext.blocks(k)[0] for k in kept} == kept
+
+
+def test_what_a_page_keeps():
+    t = ["top", "a" * 50, "b" * 60, "end"]
+    none = [False] * 4
+    assert htmltext.chosen(t, none, [1, 2, 3, 4], [[1, 9, 4], [2]]) == t[1:3]
+    assert htmltext.chosen(t, none, [1, 2, 3, 4], [[1, 2, 3, 4], [4, 8]]) == t[:3]  # a mirror, then the other neighbour
+    assert htmltext.chosen(t, none, [1, 2, 3, 4], [[2, 3], None]) == t
+    assert htmltext.chosen(t, [True, False, False, False], [1, 2, 3, 4], [[4], None]) == t[:3]  # a teaser is not the page
+    assert htmltext.chosen(t, [False, True, True, False], [1, 2, 3, 4], [[2, 4], None]) == t[1:3]
+    assert htmltext.chosen(t, none, [1, 2, 3, 4], [[1, 2, 3, 7], None]) == t  # all but a short line
+
+
+def test_nearest_of_a_whole_table(spark):
+    """Neighbours by rank equal those of a sorted list, whatever the partitions and buckets, and differencing equals the plain loop."""
+    rng = random.Random(5)
+    rows, words = {}, [f"w{i}" for i in range(400)]
+    for i in range(600):
+        host, section = rng.choice(["a.org", "a.org", "b.org", "c.org"]), rng.randrange(6)
+        own = "".join(f"<p>{' '.join(rng.sample(words, 9))}</p>" for _ in range(3))
+        rows[i] = (f"http://{host}/s{section}/{rng.randrange(150)}?q={rng.randrange(2)}#x", f"<div>{host} home</div><p>section {section}</p>{own}<div>terms of {host}</div>")
+    df = spark.createDataFrame([(k, *v) for k, v in rows.items()] + [(700, *rows[0]), (701, *rows[1])], "page_id long, url string, html string")
+    rows |= {700: rows[0], 701: rows[1]}
+    split = lambda u: (u.split("/")[2], "/" + u.split("/", 3)[3].split("#")[0])
+    first = {}
+    for k in sorted(rows):
+        first.setdefault(split(rows[k][0]), k)
+    order = sorted(first, key=lambda x: tuple(s.encode() for s in x))
+    lines = {p: [xx(t) for t in htmltext.blocks(rows[k][1])[0]] for p, k in first.items()}
+    slim = spark.createDataFrame([(*p, lines[p]) for p in order], "_host string, _loc string, _lines array<bigint>")
+    near = {(r["_host"], r["_loc"]): (r["_loc0"], r["_loc1"]) for r in htmltext.neighbours(slim, per_bucket=7).collect()}
+    want = {}
+    for i, p in enumerate(order):
+        side = [order[j] if 0 <= j < len(order) and order[j][0] == p[0] else None for j in (i - 1, i + 1)]
+        assert near[p] == tuple(x and x[1] for x in side)
+        common = [sum(1 for _ in itertools.takewhile(lambda z: z[0] == z[1], zip(p[1], x[1] if x else "", strict=False))) for x in side]
+        want[p] = side if common[0] >= common[1] else side[::-1]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
+    for k, (u, h) in rows.items():
+        texts, inside = htmltext.blocks(h)
+        assert got[k] == "\n\n".join(htmltext.chosen(texts, inside, [xx(t) for t in texts], [lines.get(x) for x in want[split(u)]]))
+    assert sum("home" in t for t in got.values()) < 5 and got[700] == got[0]
+
+
 PAGE = '<html><head><title>t</title></head><body><div id=top>Site name</div>{}<p>Imprint and terms</p></body></html>'
 
 
@@ -79,13 +137,13 @@ def test_differencing_and_markup(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
     assert got == {
         1: "Own text one\n\nmore & more x", 2: "Own text two\n\nSite name", 3: "Title\n\nOne two boldtext\n\nThree", 4: "Site name\n\nalone\n\nImprint and terms", 5: "", 6: "", 7: "mirrored", 8: "mirrored",
-        9: "cut <tag> 1 < 2", 10: "", 11: "", 12: "x", 13: "x", 14: "kept",
+        9: "cut <tag> 1 < 2", 10: ("long " * 100_000).strip(), 11: "", 12: "x", 13: "x", 14: "kept",
     }
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
 def test_large_hosts_are_dealt_out(spark):
     rows = [(i, f"https://a.org/{i // 10}/{i}", PAGE.format(f"<p>own {i}</p>")) for i in range(300)]
-    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most=40).collect()}
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"own {i}" for i in range(300)}
     assert re.match("own", got[0])
