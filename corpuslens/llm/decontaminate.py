@@ -1,15 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment by Smith and Waterman.
 
-Each test item is cut into n-grams of lower-cased words. The words of the test items are counted over the whole corpus, and a
-seed is an n-gram that chance would hardly put into a corpus of that size: the product of its words' frequencies says how often to
-expect it. So a test passage that itself occurs in thousands of documents still has rare seeds. Items whose n-grams all are common keep
-their rarest as seeds, so every item can be found. Seeds are looked up in every document; where seeds of an item meet
-about the same diagonal, the item is aligned to that stretch of the document, and the best alignment's score, as a share of the item's
-score with itself, decides.
-
-Test items are taken in blocks of at most block_items items, so what is broadcast is bounded whatever the size of the
-benchmark; each block costs one pass over the corpus. Null and empty texts and items match nothing. Items of fewer words than an
-n-gram are one seed as a whole. Repeated rows and items are treated each for itself. Very long texts are read whole.
+Each test item is cut into n-grams of lower-cased words. The words of the test items are counted over the whole corpus; the product of its
+words' frequencies says how much an n-gram tells. Of every stretch of a few places an item keeps the rarest n-gram as a seed, so seeds lie
+all over it, whatever the size of the corpus, and edits here and there leave some. Seeds are looked up in every document;
+where the seeds of an item that meet about one diagonal tell enough together - one rare one, or several common ones -
+the item is aligned to that stretch of the document, and the best alignment's score, as a share of the item's score with itself, decides.
+
+Test items are taken in blocks of at most block_items items and about block_chars characters, so what is broadcast is bounded whatever the
+size of the benchmark; each block costs one pass over the corpus. Null and empty texts and items match nothing. Items of fewer words
+than an n-gram are one seed as a whole. Repeated rows and items are treated each for itself; of equal alignments the first in the text
+counts. Very long texts are read whole. Empty tables give an empty result. Only the named columns are read, so others can have any names.
 """
 
 from __future__ import annotations
@@ -90,18 +90,32 @@ class Seeds:
         x = self.items[i].tolist()
         return [tuple(x[j : j + self.n]) for j in range(max(1, len(x) - self.n + 1))] if x else []
 
-    def choose(self, counts: np.ndarray, total: int, expected: float) -> None:
-        """self.seeds: gram -> [(item, place)], of grams that are expected less than `expected` times, or an item's rarest three."""
-        share = np.log(np.maximum(counts, 1) / max(total, 1))
+    def choose(self, counts: np.ndarray, total: int, enough: float, stretch: int = 3) -> None:
+        """self.seeds: gram -> [(item, place)], the rarest gram of each `stretch` places; self.told: by item, what each place tells;
+        self.needed: what a diagonal must tell, `enough` or half of all that the item's seeds tell."""
+        tell = -np.log(np.maximum(counts, 1) / max(total, 1))
         self.seeds: dict[tuple, list] = defaultdict(list)
+        self.told: list[dict[int, float]] = []
+        self.needed: list[float] = []
         for i in range(len(self.items)):
             grams = self.grams(i)
-            odds = np.array([share[list(g)].sum() + np.log(max(total, 1)) for g in grams])
-            rare = odds <= np.log(expected)
-            if len(odds) and rare.sum() < 3:
-                rare = odds <= np.sort(odds)[min(2, len(odds) - 1)]
-            for j in np.flatnonzero(rare):
-                self.seeds[grams[j]].append((i, int(j)))
+            each = np.array([tell[list(g)].sum() for g in grams])
+            own = {j + int(each[j : j + stretch].argmax()): 0.0 for j in range(0, len(grams), stretch)}
+            own = {j: float(each[j]) for j in own}
+            for j in own:
+                self.seeds[grams[j]].append((i, j))
+            self.told.append(own)
+            self.needed.append(min(enough, 0.5 * self.sum_of(i, own)))
+
+    def sum_of(self, item: int, places) -> float:
+        """What these places of an item tell together; overlapping grams count once."""
+        out, last = 0.0, -self.n
+        for j in sorted(places):
+            if j - last >= self.n:
+                out, last = out + self.told[item][j], j
+        return out
+
+    def index(self) -> None:
         by_size = defaultdict(list)
         for g in self.seeds:
             by_size[len(g)].append(g)
@@ -119,17 +133,21 @@ def _hits(s: Seeds, text: str | None) -> list[tuple]:
             near = seeds[np.minimum(np.searchsorted(seeds, keys), len(seeds) - 1)] == keys
             for at in places[near].tolist():
                 for item, place in s.seeds.get(tuple(words[at : at + n].tolist()), ()):
-                    found[item].append(at - place)
+                    found[item].append((at - place, place))
     out = []
     for item, diagonals in found.items():
         x = s.items[item]
         slack, best, diagonals = len(x) // 2 + 3, (0.0, 0, 0), sorted(set(diagonals))
         k = 0
         while k < len(diagonals):  # diagonals close to each other are one stretch
-            low = high = diagonals[k]
-            while k < len(diagonals) and diagonals[k] <= high + slack:
-                high = diagonals[k]
+            low = high = diagonals[k][0]
+            places = set()
+            while k < len(diagonals) and diagonals[k][0] <= high + slack:
+                high = diagonals[k][0]
+                places.add(diagonals[k][1])
                 k += 1
+            if s.sum_of(item, places) < s.needed[item]:
+                continue
             a, b = max(0, low - slack), min(len(words), high + len(x) + slack)
             score, i, j = align(x, words[a:b])
             if score > best[0]:
@@ -140,12 +158,12 @@ def _hits(s: Seeds, text: str | None) -> list[tuple]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    n: int = 3, expected: float = 0.01, least_score: float = LEAST_SCORE, block_items: int = 20_000,
+    n: int = 3, least_score: float = LEAST_SCORE, block_items: int = 20_000, block_chars: int = 16_000_000,
 ) -> DataFrame:
     """key, item_key, score (of the item's full score), first_word and last_word (exclusive), for scores of least_score and more."""
     spark = docs.sparkSession
-    count = benchmark.count()
-    blocks = max(1, -(-count // block_items))
+    size = benchmark.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length(item_text)), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-size["chars"] // block_chars))
     kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {benchmark.schema[item_key].dataType.simpleString()}"
     schema = f"{kinds}, score double, first_word long, last_word long"
     found = None
@@ -153,7 +171,7 @@ def contaminated(
         part = benchmark.select(item_key, item_text).filter(F.col(item_text).isNotNull())
         if blocks > 1:
             part = part.filter(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == block)
-        s = Seeds([(r[0], r[1]) for r in part.collect()], n)  # about block_items items
+        s = Seeds([(r[0], r[1]) for r in part.collect()], n)  # about block_items items and block_chars characters
         known = spark.sparkContext.broadcast(s.known)
 
         def tally(texts: list, known=known) -> dict[str, list]:
@@ -166,7 +184,9 @@ def contaminated(
             return {"word": [-1, *at.tolist()], "n": [all_words, *sums[at].tolist()]}
 
         sums = {r["word"]: r["n"] for r in map_columns(docs, [text], "word long, n long", tally).groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row for each word of the block
-        s.choose(np.array([sums.get(i, 0) for i in range(len(s.known))]), sums.get(-1, 0), expected)
+        # one chance meeting of an item in a thousand words is cheap beside reading them
+        s.choose(np.array([sums.get(i, 0) for i in range(len(s.known))]), sums.get(-1, 0), float(np.log(1000 * max(1, len(s.items)))))
+        s.index()
         shared = spark.sparkContext.broadcast(s)
 
         def scan(keys: list, texts: list, shared=shared) -> dict[str, list]:

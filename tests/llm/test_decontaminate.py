@@ -72,3 +72,21 @@ def test_whole_table_against_all_pairs(spark, sf_dir):
             if score >= dc.LEAST_SCORE:
                 want[r["doc_id"], k] = round(score, 6)
     assert want and want.items() <= got.items()
+
+
+def test_edited_items_keep_seeds_at_any_size(spark):
+    """Items of frequent words with up to one word in six edited are found, however often their words occur elsewhere."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    items = {i: [rng.choice(common) for _ in range(40)] for i in range(30)}
+    texts = {}
+    for i, words in items.items():
+        for k in range(4):
+            at = sorted(rng.sample(range(40), 6)) if k else []
+            copy = [f"x{k}" if j in at else w for j, w in enumerate(words)]
+            texts[i * 10 + k] = " ".join([rng.choice(common) for _ in range(60)] + copy + [rng.choice(common) for _ in range(60)])
+    filler = [(10_000 + j, " ".join(rng.choice(common) for _ in range(2000))) for j in range(60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.contaminated(docs(spark, [*texts.items(), *filler]), bench).collect()}
+    missed = [(k, k // 10) for k in texts if (k, k // 10) not in got and brute_align(items[k // 10], texts[k].split()) >= dc.LEAST_SCORE * 40]
+    assert len(missed) <= 1 and not any(d >= 10_000 for d, _ in got)
