@@ -55,35 +55,37 @@ def unescaped(text: Column, t: Template) -> Column:
     return F.regexp_replace(text, f"(?s)\\{t.escape}(.)", "$1")
 
 
-def valid_order(roles: Column, t: Template) -> Column:
-    """Whether the state machine takes the array of roles from its start to a final state."""
+SEGMENTS = "array<struct<text:string,loss:boolean,state:string>>"
 
-    def step(state: Column, role: Column) -> Column:
+
+def run_machine(turns: Column, t: Template) -> Column:
+    """The state machine over an array of turns (role, text): a struct of its last state and the segments that its steps emit.
+
+    A step moves from state to state by the turn's role (to `refused`, for good, where no move allows it), and emits the turn's opening, its
+    text and its end, each with the loss flag of the template's roles and the state that the step reached.
+    """
+
+    def step(held: Column, x: Column) -> Column:
         to = F.lit("refused")
         for a, r, b in t.moves:
-            to = F.when((state == a) & (role == r), F.lit(b)).otherwise(to)
-        return to
+            to = F.when((held["state"] == a) & (x["role"] == r), F.lit(b)).otherwise(to)
+        segment = lambda s, loss: F.struct(s.alias("text"), loss.alias("loss"), to.alias("state"))
+        emitted = F.array(
+            segment(F.concat(F.lit(t.opening), escaped(x["role"], t), F.lit(t.named)), F.lit(False)),
+            segment(escaped(x["text"], t), x["role"].isin(*t.loss_roles)),
+            segment(F.lit(t.closing), F.lit(False)),
+        )
+        return F.struct(to.alias("state"), F.concat(held["segments"], emitted).alias("segments"))
 
-    return F.aggregate(roles, F.lit(t.start), step, lambda s: s.isin(*t.end))
+    return F.aggregate(turns, F.struct(F.lit(t.start).alias("state"), F.array().cast(SEGMENTS).alias("segments")), step)
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", template: Template = Template()) -> DataFrame:
-    """key, valid, segments (text and loss flag, in order) and formatted, a row for each conversation."""
+    """key, valid (the machine ends in a final state), segments (text, loss flag and state, in order) and formatted, a row for each conversation."""
     t = template
     rows = df.select(F.col(key), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("_t"))
     chats = rows.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
-    segment = lambda s, loss: F.struct(s.alias("text"), loss.alias("loss"))
-    segments = F.flatten(
-        F.transform(
-            "_turns",
-            lambda x: F.array(
-                segment(F.concat(F.lit(t.opening), escaped(x["role"], t), F.lit(t.named)), F.lit(False)),
-                segment(escaped(x["text"], t), x["role"].isin(*t.loss_roles)),
-                segment(F.lit(t.closing), F.lit(False)),
-            ),
-        )
-    )
-    out = chats.select(key, valid_order(F.transform("_turns", lambda x: x["role"]), t).alias("valid"), segments.alias("segments"))
+    out = chats.select(key, run_machine(F.col("_turns"), t).alias("_run")).select(key, F.col("_run.state").isin(*t.end).alias("valid"), F.col("_run.segments").alias("segments"))
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 

@@ -182,7 +182,13 @@ def with_edits(df: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def masks(text: Column, pattern: str, new: str) -> Column:
-    """Edits that put `new` in place of each match of pattern."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x))
-    return F.transform(found, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.char_length(x)).alias("stop"), F.lit(new).alias("new"))).cast(EDITS)
+    """Edits that put `new` in place of each match of pattern (of the `re` module). A text is searched once, whatever the number of matches."""
+
+    @F.pandas_udf(EDITS)
+    def found(texts):
+        import pandas as pd
+
+        search = re.compile(pattern).finditer
+        return pd.Series([None if t is None else [{"start": m.start(), "stop": m.end(), "new": new} for m in search(t)] for t in texts], dtype="object")
+
+    return found(text)

@@ -43,3 +43,12 @@ def test_query(spark, sf_dir):
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
     assert not want
+
+
+def test_segments_carry_the_machine_s_states(spark):
+    rows = [(1, i, r, r) for i, r in enumerate(["system", "user", "assistant", "user", "assistant"])] + [(2, i, r, r) for i, r in enumerate(["user", "user", "assistant"])] + [(3, 0, "user", "x")]
+    got = {r["conv_id"]: r for r in chatformat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    states = lambda k: [s["state"] for s in got[k]["segments"]][::3]
+    assert states(1) == ["opened", "asked", "answered", "asked", "answered"] and states(2) == ["asked", "refused", "refused"] and states(3) == ["asked"]
+    assert [got[k]["valid"] for k in (1, 2, 3)] == [True, False, False]
+    assert all([s["loss"] for s in got[k]["segments"]] == [x for r in got[k]["segments"][1::3] for x in (False, r["text"] == "assistant", False)] for k in (1, 2, 3))
