@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets exact base statistics. Documents that pass the base test then run through further rules, one after the
-other, until one rejects. The order of these rules comes from a sample: each rule is timed and its rejections are counted, and
-rules run by falling rejections per second. A document is kept if no rule rejects it, so the order changes the cost alone
-and never the verdict.
+other, until one rejects. The order of these rules comes from a sample of texts that pass the base test: each rule is timed, and of the
+texts that the rules before it leave, the rule with most rejections per second runs next. A document is kept if no
+rule rejects it, so the order changes the cost alone and never the verdict.
 
 Nulls and texts without a word have no words and fail the base test. Repeated rows are judged each for itself; texts of any
 length are read whole. Only the named columns are read, so further columns of any name do no harm. An empty table gives an
@@ -34,6 +34,13 @@ class Text:
         self.text = text or ""
         self.words = self.text.encode("utf-8", "surrogatepass").split()  # splits at \x20 and \x09-\x0D alone
         self._lines: list[str] | None = None
+        self._known: dict[Callable, int] = {}
+
+    def once(self, statistic: Callable[[Text], int]) -> int:
+        """A statistic of this text, made when first asked for."""
+        if statistic not in self._known:
+            self._known[statistic] = statistic(self)
+        return self._known[statistic]
 
     @property
     def lines(self) -> list[str]:
@@ -91,15 +98,15 @@ class Rule:
 
 
 def _symbol_heavy(t: Text) -> bool:
-    return symbols(t) > 0.1 * len(t.words)
+    return t.once(symbols) > 0.1 * len(t.words)
 
 
 def _word_length(t: Text) -> bool:
-    return not 2 * len(t.words) <= word_chars(t) <= 15 * len(t.words)
+    return not 2 * len(t.words) <= t.once(word_chars) <= 15 * len(t.words)
 
 
 def _repeated_lines(t: Text) -> bool:
-    return dup_lines(t) > 0.5 * len(t.lines)
+    return t.once(dup_lines) > 0.5 * len(t.lines)
 
 
 def _one_word_rules(t: Text) -> bool:
@@ -129,7 +136,7 @@ class Cascade:
     """Rules in the order in which they run, with what the sample said of them."""
 
     rules: tuple[Rule, ...] = RULES
-    seen: dict[str, tuple[float, float]] = field(default_factory=dict)  # seconds a text, share rejected
+    seen: dict[str, tuple[float, float]] = field(default_factory=dict)  # seconds a text, share rejected of what comes to the rule
 
     def rejects(self, t: Text) -> bool:
         return any(r.rejects(t) for r in self.rules)
@@ -144,19 +151,34 @@ def plan_cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     share = min(1.0, sample_rows / max(1, rows))
 
     def measure(texts: list) -> dict[str, list]:
-        taken, hit = dict.fromkeys((r.name for r in rules), 0), Counter()
-        ready = [x for x in map(Text, texts) if not base_failed(len(x.words), 0)]
-        for r in rules:
+        ready = [x for x in map(Text, texts) if not base_failed(len(x.words), repeat_words(x))]
+        hit, taken = [0] * len(ready), []
+        for k, r in enumerate(rules):
             began = time.perf_counter_ns()
-            hit[r.name] = sum(bool(r.rejects(x)) for x in ready)
-            taken[r.name] = time.perf_counter_ns() - began
-        return {"rule": list(taken), "ns": list(taken.values()), "n": [len(ready)] * len(taken), "rejected": [hit[k] for k in taken]}
+            for i, x in enumerate(ready):
+                hit[i] |= bool(r.rejects(x)) << k
+            taken.append(time.perf_counter_ns() - began)
+        found = Counter(hit)
+        return {"hit": [*found, *(-1 - k for k in range(len(rules)))], "n": [*found.values(), *taken]}
+
+    sums = {r["hit"]: r["n"] for r in map_columns(df.sample(share, seed), [text], "hit long, n long", measure).groupBy("hit").agg(F.sum("n").alias("n")).collect()}  # at most 2**rules + rules rows
+    return order(rules, {k: n for k, n in sums.items() if k >= 0}, [sums.get(-1 - k, 0) / 1e9 for k in range(len(rules))])
+
 
-    found = map_columns(df.sample(share, seed), [text], "rule string, ns long, n long, rejected long", measure)
-    sums = {r["rule"]: r for r in found.groupBy("rule").agg(F.sum("ns").alias("ns"), F.sum("n").alias("n"), F.sum("rejected").alias("rejected")).collect()}
-    seen = {k: (r["ns"] / 1e9 / r["n"], r["rejected"] / r["n"]) for k, r in sums.items() if r["n"]}
-    worth = lambda r: -(seen[r.name][1] / max(seen[r.name][0], 1e-9)) if r.name in seen else 0.0
-    return Cascade(tuple(sorted(rules, key=worth)), seen)
+def order(rules: tuple[Rule, ...], hits: dict[int, int], seconds: list[float]) -> Cascade:
+    """The cascade of rules by rejections per second, each counted on the texts that those before it leave.
+
+    hits: texts by the rules that reject them, as bits; seconds: by rule, over all these texts.
+    """
+    total, passed, found, seen = sum(hits.values()), 0, [], {}
+    while len(found) < len(rules) and total:
+        left = {k: n for k, n in hits.items() if not k & passed}
+        rejected = {k: sum(n for h, n in left.items() if h >> k & 1) for k in range(len(rules)) if not passed >> k & 1}
+        best = max(rejected, key=lambda k: (rejected[k] / max(seconds[k], 1e-9), -seconds[k], -k))
+        seen[rules[best].name] = (seconds[best] / total, rejected[best] / max(1, sum(left.values())))
+        found.append(rules[best])
+        passed |= 1 << best
+    return Cascade(tuple(found) or rules, seen)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", cascade: Cascade | None = None, **sample) -> DataFrame:
@@ -170,7 +192,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", cascade: Casca
             t = Text(x)
             n, repeat = len(t.words), repeat_words(t)
             bad = base_failed(n, repeat)
-            for c, v in zip(out, (k, n, word_chars(t), symbols(t), dup_lines(t), repeat, bad, not bad and not rules.rejects(t)), strict=True):
+            for c, v in zip(out, (k, n, t.once(word_chars), t.once(symbols), t.once(dup_lines), repeat, bad, not bad and not rules.rejects(t)), strict=True):
                 out[c].append(v)
         return out
 

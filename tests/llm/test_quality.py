@@ -59,3 +59,11 @@ def test_junk_goes_and_clean_stays(spark):
     table = " | ".join(f"cell{i}" for i in range(200))
     got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(spark, [clean, noisy, table, "THE%d" % 1 + " SHOUTED" * 3])).collect()}
     assert got == {0: True, 1: False, 2: False, 3: False}
+
+
+def test_order_counts_what_earlier_rules_leave():
+    """A rule that rejects much, but nothing beyond a cheaper one, runs last."""
+    rules = tuple(quality.Rule(x, lambda t: False) for x in "abc")
+    got = quality.order(rules, {0b000: 50, 0b011: 40, 0b001: 5, 0b100: 5}, [1.0, 1.5, 1.0])
+    assert [r.name for r in got.rules] == ["a", "c", "b"] and got.seen["a"] == (0.01, 0.45) and got.seen["b"][1] == 0
+    assert quality.order(rules, {}, [0, 0, 0]).rules == rules
