@@ -220,34 +220,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _tally(lists: list, needed: dict[int, int]) -> tuple[list, list]:
-    """Pairs of the members (class, component, level, marks) of a posting that share enough marks, lie in different components, and share no
-    earlier mark, so that each pair comes from one posting alone."""
-    left, right = [], []
-    for mark, members in lists:
-        table: dict[int, int] = {}
-        rows = [[table.setdefault(x, len(table)) for x in m["marks"]] for m in members]
-        if len(table) == 1:
-            continue
-        own, least = table[mark], needed[members[0]["level"]]
-        has = np.zeros((len(rows), len(table)), np.uint8)
-        for i, r in enumerate(rows):
-            has[i, r] = 1
-        # a mark's rank among all marks orders them alike in every posting
-        rank = np.argsort(np.argsort(np.fromiter(table, np.int64, len(table))))
-        has = has[:, np.argsort(rank)]
-        before = has[:, : rank[own]].astype(np.float32)
-        all_marks = has.astype(np.float32)
-        component = np.unique([m["component"].hex() for m in members], return_inverse=True)[1]
-        for at in range(0, len(rows), 256):
-            shared = all_marks[at : at + 256] @ all_marks.T
-            earlier = before[at : at + 256] @ before.T
-            good = (shared >= least) & (earlier == 0) & (component[at : at + 256, None] != component[None, :])
-            for i, j in zip(*np.nonzero(good), strict=True):
-                if at + i < j:
-                    left.append(members[at + i]["cls"])
-                    right.append(members[j]["cls"])
-    return left, right
+def _tally(mark: int, members: list[dict], needed: dict[int, int], least: float) -> list[tuple[bytes, bytes]]:
+    """Links between the members (cls, component, level, marks, shingles) of a posting that join different components.
+
+    Pairs that share too few marks are dropped by the tally, and so are pairs that share an earlier mark, which another posting
+    tests. Of a member, the sets of all partners that are left are counted against its own at once.
+    """
+    def numbered(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        ends = np.cumsum([0, *map(len, arrays)])
+        values, ids = np.unique(np.concatenate(arrays), return_inverse=True)
+        return values, [ids[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def shared(flags: np.ndarray, arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        parts = [arrays[k] for k in at]
+        return np.add.reduceat(flags[np.concatenate(parts)].astype(np.int64), np.r_[0, np.cumsum([len(x) for x in parts])[:-1]])
+
+    values, own_marks = numbered([np.asarray(m["marks"], np.int64) for m in members])
+    earlier = values < mark
+    shingles, sets = numbered([np.asarray(m["shingles"], np.int64) for m in members])
+    size = np.array([len(x) for x in sets])
+    group = np.unique([m["component"].hex() for m in members], return_inverse=True)[1]
+    has, own, least_marks, links = np.zeros(len(values), bool), np.zeros(len(shingles), bool), needed[members[0]["level"]], []
+    for i in range(len(members) - 1):
+        j = np.arange(i + 1, len(members))
+        j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
+        if len(j):
+            has[own_marks[i]] = True
+            j = j[(shared(has, own_marks, j) >= least_marks) & (shared(has & earlier, own_marks, j) == 0)]
+            has[own_marks[i]] = False
+        if len(j):
+            own[sets[i]] = True
+            both = shared(own, sets, j)
+            own[sets[i]] = False
+            for k in j[both >= least * (size[i] + size[j] - both)].tolist():
+                if group[k] != group[i]:  # no partner yet has joined the two
+                    links.append((members[i]["cls"], members[k]["cls"]))
+                    group[group == group[k]] = group[i]
+    return links
 
 
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, places: int = 24, most: int = 512) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +264,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     Rows with equal shingle sets are one class. Classes link at a similarity of `least` and more. The index holds each class under its positional
     marks; within a posting, shared marks are tallied, pairs below the needed number are dropped, and the rest is
-    verified on the whole shingle sets. At a similarity of 0.8 a mark is shared with probability 0.41 to 0.64, so of 24 marks three are
+    verified on the whole shingle sets, in the posting's task. At a similarity of 0.8 a mark is shared with probability 0.41 to 0.64, so of 24 marks three are
     shared but for one pair in 2000; sets of fewer places need fewer. Each posting first tests its members against its least one; only
     members that this leaves in different components are tallied pair by pair, in blocks where a posting has more than `most`.
     """
@@ -285,36 +294,38 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # what stars leave open: postings of three and more members in more than one component
     named = postings.filter("n > 2").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = named.groupBy("mark").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y").select("mark")
-    rest = named.join(mixed, "mark").join(classes.select("cls", "level", "marks"), ["cls", "level"])
+    rest = durable(named.join(mixed, "mark"), "near-rest")
+    if rest.isEmpty():
+        return prints, found
+    full = rest.join(classes.select("cls", "level", "marks"), ["cls", "level"]).join(_sets(df, classes, rest, key, text, width), "cls")
     blocks = F.ceil(F.col("n") / most).cast("int")
-    block = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    rest = rest.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.groupBy("mark", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("cls", "component", "level", "marks")).alias("members"))
+    full = full.withColumn("_b", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    full = full.groupBy("mark", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("cls", "component", "level", "marks", "shingles")).alias("members"))
 
     def pairs(keys: list, members: list) -> dict[str, list]:
-        a, b = _tally(list(zip(keys, members, strict=True)), needed)
-        return {"a": a, "b": b}
+        got = [x for k, m in zip(keys, members, strict=True) for x in _tally(k, m, needed, least)]
+        return {"a": [a for a, _ in got], "b": [b for _, b in got]}
 
-    more = map_columns(rest, ["mark", "members"], "a binary, b binary", pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = durable(more, "near-pairs")
-    if more.isEmpty():
-        return prints, found
-    further = _verified(df, classes, more, key, text, width, least)
-    return prints, components(edges.unionByName(further))
+    further = durable(map_columns(full, ["mark", "members"], "a binary, b binary", pairs), "near-links")
+    return prints, found if further.isEmpty() else components(edges.unionByName(further))
 
 
-def _verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets, of one document each, have a similarity of `least` and more."""
-    pairs = durable(pairs, "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    reps = classes.join(ends, "cls").select("cls", F.col("rep").alias("_rep")).distinct()
+def _sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """cls and shingles of the classes in wanted, from one document of each."""
+    reps = classes.join(wanted.select("cls").distinct(), "cls").select("cls", F.col("rep").alias("_rep")).distinct()
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(reps, F.col("_key") == F.col("_rep")).select("cls", "_text")
 
     def sets(wanted: list, texts: list) -> dict[str, list]:
         got = [(c, s) for c, t in zip(wanted, texts, strict=True) if _class(s := shingle_set(t, width)) == c]
         return {"cls": [c for c, _ in got], "shingles": [s.view(np.int64) for _, s in got]}
 
-    known = durable(map_columns(texts, ["cls", "_text"], "cls binary, shingles array<long>", sets).dropDuplicates(["cls"]), "near-sets")
+    return durable(map_columns(texts, ["cls", "_text"], "cls binary, shingles array<long>", sets).dropDuplicates(["cls"]), "near-sets")
+
+
+def _verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets, of one document each, have a similarity of `least` and more."""
+    pairs = durable(pairs, "near-pairs")
+    known = _sets(df, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")), key, text, width)
     a, b = (known.select(F.col("cls").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
 
     def check(a: list, b: list, x: list, y: list) -> dict[str, list]:
