@@ -64,7 +64,8 @@ def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str
     """Rows of texts and items where the text contains the item's text.
 
     Items of seven words and more meet texts on their second to sixth word, which stand whole in any text that contains them, so
-    this is an equi-join. Shorter ones are tested against each text; of these, at most most_short are taken.
+    this is an equi-join. Shorter ones are tested against each text, in
+    blocks of about most_short items, of which each costs a pass over the texts.
     """
     words = lambda c: F.split(c, r"\s+")
     keyed = items.filter(F.trim(F.col(item_text)) != "").withColumn("_w", words(F.trim(F.col(item_text))))
@@ -74,6 +75,8 @@ def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str
     inside, names = F.contains(F.col(text), F.col(item_text)), [*texts.columns, *items.columns]
     out = rows.withColumn("_key", F.explode(F.array_distinct(runs))).join(large.withColumn("_key", F.array_join(F.slice("_w", 2, 5), " ")), "_key").filter(inside).select(*names)
     n = short.count()
-    if n > most_short:
-        raise ValueError(f"{n} items of fewer than seven words; at most {most_short} are tested against each text")
-    return out.unionByName(rows.join(F.broadcast(short), inside).select(*names)) if n else out
+    blocks = -(-n // most_short)
+    for k in range(blocks):
+        part = short.filter(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == k) if blocks > 1 else short
+        out = out.unionByName(rows.join(F.broadcast(part), inside).select(*names))
+    return out

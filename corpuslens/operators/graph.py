@@ -102,7 +102,6 @@ def cycle_count(edges: DataFrame, most: int = 1000, longest: int | None = None)
         k += 1
         if longest is not None and k > longest:
             break
-        # a repository's open paths are bounded: of more than 50 x most, those of the smallest roots grow; the result is marked capped
         grown = open_paths.join(full, REPO, "left_anti").join(step, (open_paths[REPO] == step[REPO]) & (F.col("last") == F.col("src"))).drop(step[REPO])
         grown = grown.filter((F.col("next") == F.col("root")) | ((F.col("next") > F.col("root")) & ~F.array_contains("path", F.col("next"))))
         paths = durable(grown.select(REPO, "root", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path")), "paths")

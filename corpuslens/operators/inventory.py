@@ -97,11 +97,12 @@ def register_repositories(files: DataFrame) -> DataFrame:
     return sums.withColumns({"slug": scalars.slugify_repo(F.col("repository_id"), F.substring(F.sha2(F.col("repository_id"), 256), 1, 8)), "source": F.lit("upload"), "status": F.lit("pending")})
 
 
-def top_directory_name(files: DataFrame) -> DataFrame:
-    """repository_id and the name that a single visible top directory gives, or null."""
-    top = F.element_at(F.split("path", "/"), 1)
-    sums = files.groupBy("repository_id").agg(F.min(top).alias("a"), F.max(top).alias("b"), F.min(F.size(F.split("path", "/"))).alias("depth"))
-    return sums.select("repository_id", F.when((F.col("a") == F.col("b")) & (F.col("depth") > 1) & ~F.col("a").startswith("."), F.col("a")).alias("top_name"))
+def top_directory_name(files: DataFrame, default: str = "repository") -> DataFrame:
+    """repository_id and the name of its only top directory that isn't hidden, or `default`; files beside it and hidden directories don't count."""
+    parts = F.split("path", "/")
+    top = F.when((F.size(parts) > 1) & ~F.get(parts, F.lit(0)).startswith("."), F.get(parts, F.lit(0)))
+    sums = files.groupBy("repository_id").agg(F.min(top).alias("a"), F.max(top).alias("b"))
+    return sums.select("repository_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(default).alias("top_name"))
 
 
 def upsert_files(existing: DataFrame, scanned: DataFrame, keys: tuple[str, ...] = ("repository_id", "path")) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 SYMBOL = "struct<name:string,kind:string,start_line:int,end_line:int,signature:string,docstring:string,is_exported:boolean>"
 IMPORT = "struct<import_name:string,import_path:string,is_relative:boolean>"
 PARSED = f"file_id string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, parse_error string"
-MOST_BYTES = 5_000_000  # a task can't be stopped within a file, so very large files count as errors instead
 
 
 def _signature(f: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
@@ -25,8 +24,6 @@ def _signature(f: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
 
 def parse_python(source: str) -> tuple[list[tuple], list[tuple], str | None]:
     """Symbols, imports and error of a Python text."""
-    if len(source) > MOST_BYTES:
-        return [], [], "FileTooLarge"
     try:
         tree = ast.parse(source)
     except SyntaxError as e:
@@ -92,7 +89,8 @@ NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return", "w
 def _bare(text: Column) -> Column:
     """text without the insides of strings and without comments, line by line the same; braces in template texts may remain, so ends are approximate there."""
     text = F.regexp_replace(text, r'"(?:\\.|[^"\\\n])*"' + "|" + r"'(?:\\.|[^'\\\n])*'", '""')
-    return F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"[{}](?=(?:(?!/\*)[\s\S]){0,2000}?\*/)", "")
+    # a comment goes line by line: from its start, or from where its line before ended, to the line's end or its own
+    return F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"(?:/\*|(?<=\n)\G)(?:(?!\*/)[^\n])*(\n|\*/)", "$1")
 
 
 def script_symbols(files: DataFrame, typed: bool = True) -> DataFrame:
@@ -160,3 +158,8 @@ def parse_repository(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return symbols, imports, python.filter("parse_error is not null").select("file_id", "parse_error")
 
 
+def of_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports of parse_repository as resolve_imports takes them: with import_id, repository_id, from_path, from_language and from_file_id."""
+    own = files.select(F.col("file_id").cast("string").alias("file_id"), "repository_id", F.col("path").alias("from_path"), F.col("language").alias("from_language"))
+    rows = imports.distinct().join(own, "file_id").withColumn("from_file_id", F.col("file_id"))
+    return rows.withColumn("import_id", F.xxhash64("file_id", "import_path", "import_name", "is_relative"))

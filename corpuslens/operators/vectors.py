@@ -71,14 +71,15 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, blocks: int = 16
 
 
 def ivf_index(chunks: DataFrame, lists: int = 100, sample: int = 20_000, seed: int = 5, rounds: int = 10):
-    """(chunks with cell, centres). Centres are fitted on about `sample` vectors; every chunk gets a cell."""
+    """(chunks with cell, centres). Centres are fitted on about `sample` vectors; every chunk gets a cell, zero vectors the first."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = chunks.count()
-    v = chunks.filter(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) > 0).withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
+    some = F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    v = chunks.filter(some).withColumn("_v", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     model = KMeans(k=max(1, min(lists, n)), seed=seed, maxIter=rounds, distanceMeasure="cosine", featuresCol="_v", predictionCol="cell").fit(v.sample(min(1.0, sample / max(1, n)), seed))
-    return model.transform(v).drop("_v"), [c.tolist() for c in model.clusterCenters()]
+    return model.transform(v).drop("_v").unionByName(chunks.filter(~some).withColumn("cell", F.lit(0))), [c.tolist() for c in model.clusterCenters()]
 
 
 def ivf_search(queries: DataFrame, indexed: DataFrame, centres: list[list[float]], k: int = 10, probes: int = 10) -> DataFrame:

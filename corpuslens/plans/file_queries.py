@@ -134,10 +134,14 @@ def b9_b10_names(spark, sf_dir):
     return p.select("p_partkey", scalars.slugify_repo(F.concat_ws(" / ", "p_name", "p_type"), key).alias("slug"), scalars.clean_name(F.concat("p_name", F.lit("(x).zip"))).alias("name"))
 
 
-@query("SELECT source AS repository_id, CASE WHEN min(doc_id % 2) = 0 AND max(doc_id % 2) = 0 THEN 'even' WHEN min(doc_id % 2) = 1 THEN 'odd' END AS top_name FROM documents GROUP BY source")
+@query("""WITH t AS (SELECT source, CASE doc_id % 5 WHEN 0 THEN 'README' WHEN 1 THEN '.github/' || doc_id WHEN 2 THEN 'src/' || lang || '/' || doc_id ELSE lang || '/' || doc_id END AS path FROM documents),
+d AS (SELECT DISTINCT source, split_part(path, '/', 1) AS top FROM t WHERE contains(path, '/') AND path NOT LIKE '.%')
+SELECT s.source AS repository_id, CASE WHEN count(d.top) = 1 THEN max(d.top) ELSE 'repository' END AS top_name FROM (SELECT DISTINCT source FROM t) s LEFT JOIN d ON d.source = s.source GROUP BY s.source""")
 def b10_top_directory(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.concat(F.when(F.col("doc_id") % 2 == 0, "even/").otherwise("odd/"), F.col("doc_id").cast("string")).alias("path"))
-    return inventory.top_directory_name(d)
+    """Root files and hidden directories beside one or more others."""
+    n, key = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    path = F.when(key == 0, "README").when(key == 1, F.concat(F.lit(".github/"), n)).when(key == 2, F.concat(F.lit("src/"), "lang", F.lit("/"), n)).otherwise(F.concat("lang", F.lit("/"), n))
+    return inventory.top_directory_name(table(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), path.alias("path")))
 
 
 @query("SELECT page_id, regexp_matches(trim(url), '^https://[^/?#]+') AS valid FROM pages")

@@ -107,14 +107,38 @@ def pipeline_events(runs: DataFrame) -> DataFrame:
 
 
 def ingest_stream(spark, folder: str, out: str, checkpoint: str, pattern: str = "*"):
-    """New files under folder go through inventory and chunking as they come; each batch replaces the chunks of the repositories it touches."""
-    from corpuslens.operators import chunking, inventory
+    """New files under folder go through inventory, parsing and chunking as they come, into tables files, symbols, imports and chunks below out.
+
+    A micro-batch writes partitions of its own number, which a repeated batch replaces, and touches no other; `current` gives the rows of
+    each file's newest batch. So a batch costs as much as its own files, however many came before. Spark's file source reads a path once, so a newer
+    version of a file comes under a new checkpoint, or by a batch job that writes a further batch number.
+    """
+    from corpuslens.operators import chunking, inventory, parse
     from corpuslens.sources import files
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         rows = inventory.keep_files(inventory.file_facts(inventory.detect_language(files.located(batch, folder))))
-        text = rows.filter("not is_binary").withColumns({"file_id": F.sha2(F.concat_ws("|", "repository_id", "path"), 256), "content": F.decode(F.encode(F.expr("make_valid_utf8(cast(content as string))"), "utf-8"), "utf-8")})
-        files.replace_partitions(chunking.chunk_files(text), f"{out}/chunks", "file_id_bucket", F.pmod(F.xxhash64("file_id"), F.lit(64)))
+        rows = rows.withColumn("file_id", F.sha2(F.concat_ws("|", "repository_id", "path"), 256))
+        text = rows.filter("not is_binary").withColumn("content", F.decode(F.encode(F.expr("make_valid_utf8(cast(content as string))"), "utf-8"), "utf-8"))
+        symbols, imports, _ = parse.parse_repository(text)
+        tables = {"files": rows.drop("content"), "symbols": symbols, "imports": parse.of_files(imports, text), "chunks": chunking.chunk_files(text)}
+        for name, table in tables.items():
+            files.replace_partitions(table, f"{out}/{name}", "batch", F.lit(number))
 
     schema = spark.read.format("binaryFile").load(folder).schema
     return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark, out: str, name: str) -> DataFrame:
+    """Rows of a table of ingest_stream that belong to the newest batch of their file."""
+    newest = spark.read.parquet(f"{out}/files").groupBy("file_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/{name}").join(newest, ["file_id", "batch"]).drop("batch")
+
+
+def current_graph(spark, out: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all repositories, from the imports of what `current` gives."""
+    from corpuslens.operators import graph, resolve
+
+    known = current(spark, out, "files")
+    found = resolve.resolve_imports(current(spark, out, "imports"), known)
+    return graph.build_graph(known, found.withColumn("ordinal", F.col("import_id")))

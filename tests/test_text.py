@@ -215,6 +215,31 @@ def test_trees_archives_and_sinks(spark, tmp_path):
     assert [r["content"] for r in spark.read.parquet(str(tmp_path / "out" / "chunks")).collect()] == ["# File: src/a.py\n\nx = 1"]
 
 
+def test_ingest_in_two_batches_equals_one(spark, tmp_path):
+    """Files of a later batch leave those of earlier ones alone, and the graph spans batches."""
+    root = tmp_path / "tree"
+    for name in ("one", "two"):
+        (root / name).mkdir(parents=True)
+    body = lambda i: f"import m{i - 1}\n\n\ndef f{i}():\n    return {i}\n"
+    run = lambda out, cp: streams.ingest_stream(spark, str(root), str(tmp_path / out), str(tmp_path / cp)).awaitTermination()
+    for i in range(30):
+        (root / "one" / f"m{i}.py").write_text(body(i))
+    run("out", "cp")
+    for i in range(30, 60):
+        (root / "one" / f"m{i}.py").write_text(body(i))
+    (root / "two" / "x.js").write_text("import a from './y'\n")
+    (root / "two" / "y.js").write_text("/* {\n { */\nfunction g() {\n}\n")
+    run("out", "cp")
+    run("once", "cp2")
+    for name in ("files", "symbols", "imports", "chunks"):
+        a, b = (streams.current(spark, str(tmp_path / o), name) for o in ("out", "once"))
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0, name
+    assert streams.current(spark, str(tmp_path / "out"), "files").count() == 62
+    nodes, edges = streams.current_graph(spark, str(tmp_path / "out"))
+    assert nodes.count() == 62 and edges.count() == 60  # m0 can't be parsed; x.js asks for y.js
+    assert {(r["name"], r["start_line"], r["end_line"]) for r in streams.current(spark, str(tmp_path / "out"), "symbols").filter("name = 'g'").collect()} == {("g", 3, 4)}
+
+
 EVENT = "key string, event_id long, ts timestamp, status string, progress int, phase string"
 
 
