@@ -71,9 +71,10 @@ def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str
     keyed = items.filter(F.trim(F.col(item_text)) != "").withColumn("_w", words(F.trim(F.col(item_text))))
     short, large = keyed.filter(F.size("_w") < 7), keyed.filter(F.size("_w") >= 7)
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.array_join(F.slice("_t", i + 1, F.lit(5)), " "))
-    rows = texts.withColumn("_t", words(F.col(text)))
     inside, names = F.contains(F.col(text), F.col(item_text)), [*texts.columns, *items.columns]
-    out = rows.withColumn("_key", F.explode(F.array_distinct(runs))).join(large.withColumn("_key", F.array_join(F.slice("_w", 2, 5), " ")), "_key").filter(inside).select(*names)
+    rows, whole = texts.withColumn("_h", F.xxhash64(text)), large.withColumn("_i", F.xxhash64(item_text))
+    met = rows.withColumn("_t", words(F.col(text))).select("_h", F.explode(F.array_distinct(runs)).alias("_key")).join(whole.select("_i", F.array_join(F.slice("_w", 2, 5), " ").alias("_key")), "_key")
+    out = met.select("_h", "_i").distinct().join(whole, "_i").join(rows, "_h").filter(inside).select(*names)  # texts travel only to what may be inside them
     n = short.count()
     blocks = -(-n // most_short)
     for k in range(blocks):

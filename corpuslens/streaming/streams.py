@@ -29,12 +29,17 @@ class Progress(StatefulProcessor):
             for _ in rows:  # an ended key stays as it ended
                 pass
             return
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        ends = events.index[events["status"].isin(TERMINAL)]
-        if len(ends):
-            events = events.iloc[: list(events.index).index(ends[0]) + 1]
-        e = events.iloc[-1]
-        if before and e["ts"] < pd.Timestamp(before[3]):
+        end, latest = None, None
+        for frame in rows:  # a frame at a time: a key may have any number of events
+            frame = frame.sort_values(["ts", "event_id"])
+            ends = frame[frame["status"].isin(TERMINAL)]
+            at = lambda e: (e["ts"], e["event_id"])
+            if len(ends) and (end is None or at(ends.iloc[0]) < at(end)):
+                end = ends.iloc[0]
+            if len(frame) and (latest is None or at(frame.iloc[-1]) > at(latest)):
+                latest = frame.iloc[-1]
+        e = latest if end is None else end
+        if e is None or (end is None and before and e["ts"] < pd.Timestamp(before[3])):  # an end counts, however late it comes
             return
         self.last.update((e["status"], int(e["progress"]), e["phase"], e["ts"].to_pydatetime(), bool(e["status"] in TERMINAL)))
         if self.stall_ms is not None:
