@@ -110,11 +110,14 @@ def cycle_count(edges: DataFrame, most: int = 1000, longest: int | None = None)
     return found.select(REPO, F.least(F.col("c"), F.lit(most)).alias("cycle_count"), (F.col("c") >= most).alias("capped"))
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_count, edge_count, entry_point_count, leaf_count by repository."""
+def graph_metrics(nodes: DataFrame, edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """node_count, edge_count, entry_point_count, leaf_count by repository; with the result of cycle_count also cycle_count and has_cycles."""
     d = degrees(nodes, edges).groupBy(REPO).agg(F.count("*").alias("node_count"), F.count_if("is_entry").alias("entry_point_count"), F.count_if("is_leaf").alias("leaf_count"))
     e = distinct_edges(edges).groupBy(REPO).agg(F.count("*").alias("edge_count"))
-    return d.join(e, REPO, "left").fillna(0, ["edge_count"])
+    out = d.join(e, REPO, "left").fillna(0, ["edge_count"])
+    if cycles is None:
+        return out
+    return out.join(cycles.select(REPO, "cycle_count"), REPO, "left").fillna(0, ["cycle_count"]).withColumn("has_cycles", F.col("cycle_count") > 0)
 
 
 def top_nodes(ranked: DataFrame, edges: DataFrame, large: int = 5000, kept: int = 500) -> tuple[DataFrame, DataFrame]:
@@ -157,8 +160,15 @@ def node_detail(nodes: DataFrame, edges: DataFrame, ranks: DataFrame, symbols: D
     return out.join(symbols.groupBy(REPO, F.col("file_id").alias("node")).agg(F.count("*").alias("symbol_count")), [REPO, "node"], "left").fillna(0, ["symbol_count"])
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """repository_id and graph: {metrics, nodes, edges} as JSON. A repository's graph is one value; top_nodes bounds it."""
+def export_graph(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, large: int = 5000, kept: int = 500) -> DataFrame:
+    """repository_id and graph: {metrics, nodes, edges} as JSON, of repositories of over `large` nodes the `kept` best by pagerank and the edges among them.
+
+    Nodes without pagerank get it here. metrics are of the whole graph. One edge of each pair (collapse_edges) is expected, so a value has
+    at most `large` nodes and their pairs.
+    """
+    if "pagerank" not in nodes.columns:
+        nodes = nodes.join(pagerank(nodes, edges), [REPO, "node"])
+    nodes, edges = top_nodes(nodes, edges, large, kept)
     n = nodes.groupBy(REPO).agg(F.array_sort(F.collect_list(F.struct(*(c for c in nodes.columns if c != REPO)))).alias("nodes"))
     e = edges.groupBy(REPO).agg(F.array_sort(F.collect_list(F.struct(*(c for c in edges.columns if c != REPO)))).alias("edges"))
     m = metrics.select(REPO, F.struct(*(c for c in metrics.columns if c != REPO)).alias("metrics"))

@@ -48,13 +48,18 @@ def pagerank_sql(rounds: int) -> str:
     ]
     start = """r0 AS MATERIALIZED (SELECT n.repository_id, n.node, c.n, coalesce(o.out, 0) AS out, 1.0::DOUBLE / c.n AS rank FROM nodes n JOIN (SELECT repository_id, count(*) AS n FROM nodes GROUP BY 1) c ON c.repository_id = n.repository_id
   LEFT JOIN (SELECT repository_id, src AS node, count(*) AS out FROM d GROUP BY 1, 2) o ON o.repository_id = n.repository_id AND o.node = n.node)"""
-    return f"{G}, {start}, {', '.join(steps)} SELECT repository_id, node, round(rank, 8) AS pagerank FROM r{rounds}"
+    return f"{G}, {start}, {', '.join(steps)}, pr AS (SELECT repository_id, node, round(rank, 8) AS pagerank FROM r{rounds})"
 
 
-@query(pagerank_sql(8))
+def _pageranks(spark, sf_dir, rounds):
+    nodes, edges = part_graph(spark, sf_dir)
+    return graph.pagerank(nodes, edges, rounds=rounds, tolerance=None).withColumn("pagerank", F.round("pagerank", 8)), edges
+
+
+@query(f"{pagerank_sql(8)} SELECT * FROM pr")
 def g2_pagerank_rounds(spark, sf_dir):
     """Eight rounds, as SQL can unroll them."""
-    return graph.pagerank(*part_graph(spark, sf_dir), rounds=8, tolerance=None).withColumn("pagerank", F.round("pagerank", 8))
+    return _pageranks(spark, sf_dir, 8)[0]
 
 
 @query()
@@ -69,25 +74,39 @@ def g3_has_cycles(spark, sf_dir):
     return graph.has_cycles(*part_graph(spark, sf_dir))
 
 
-@query(
-    f"""WITH RECURSIVE {part_graph_sql()}, walk(repository_id, root, node, path) AS (SELECT repository_id, src, dst, [src, dst] FROM d WHERE dst >= src
-  UNION ALL SELECT w.repository_id, w.root, d.dst, list_append(w.path, d.dst) FROM walk w JOIN d ON d.repository_id = w.repository_id AND d.src = w.node WHERE w.node > w.root AND (d.dst = w.root OR (d.dst > w.root AND NOT list_contains(w.path, d.dst))))
-SELECT repository_id, least(count(*), 1000) AS cycle_count, count(*) >= 1000 AS capped FROM walk WHERE node = root GROUP BY 1"""
-)
+CYCLES = f"""WITH RECURSIVE {part_graph_sql()}, walk(repository_id, root, node, path) AS (SELECT repository_id, src, dst, [src, dst] FROM d WHERE dst >= src
+  UNION ALL SELECT w.repository_id, w.root, d.dst, list_append(w.path, d.dst) FROM walk w JOIN d ON d.repository_id = w.repository_id AND d.src = w.node WHERE w.node > w.root AND (d.dst = w.root OR (d.dst > w.root AND NOT list_contains(w.path, d.dst)))),
+cycles AS (SELECT repository_id, least(count(*), 1000) AS cycle_count, count(*) >= 1000 AS capped FROM walk WHERE node = root GROUP BY 1)"""
+
+
+@query(f"{CYCLES} SELECT * FROM cycles")
 def g4_cycle_count(spark, sf_dir):
     """Elementary cycles of any length, counted up to 1000 a repository."""
     return graph.cycle_count(part_graph(spark, sf_dir)[1])
 
 
-RANKED = f"{DEG}, k AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY in_degree DESC, node) AS k, count(*) OVER (PARTITION BY repository_id) AS n FROM deg), kept AS (SELECT repository_id, node FROM k WHERE n <= 500 OR k.k <= 50)"
+@query(
+    f"""{CYCLES}, n AS (SELECT repository_id, count(*) AS node_count, count(*) FILTER (node NOT IN (SELECT dst FROM d WHERE d.repository_id = nodes.repository_id)) AS entry_point_count, count(*) FILTER (node NOT IN (SELECT src FROM d WHERE d.repository_id = nodes.repository_id)) AS leaf_count FROM nodes GROUP BY 1)
+SELECT n.*, (SELECT count(*) FROM d WHERE d.repository_id = n.repository_id) AS edge_count, coalesce(cycle_count, 0) AS cycle_count, coalesce(cycle_count, 0) > 0 AS has_cycles FROM n LEFT JOIN cycles USING (repository_id)"""
+)
+def d6_g4_metrics_with_cycles(spark, sf_dir):
+    """Every node here has an edge, so those without an edge in are entry points."""
+    nodes, edges = part_graph(spark, sf_dir)
+    return graph.graph_metrics(nodes, edges, graph.cycle_count(edges))
+
+
+def kept_sql(large: int, kept: int) -> str:
+    return f"{pagerank_sql(3)}, k AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY pagerank DESC, node) AS k, count(*) OVER (PARTITION BY repository_id) AS n FROM pr), kept AS (SELECT repository_id, node FROM k WHERE n <= {large} OR k.k <= {kept})"
 
 
-@query(f"{RANKED} SELECT e.repository_id, src, dst, count(*) AS n FROM edges e WHERE (repository_id, src) IN (SELECT (repository_id, node) FROM kept) AND (repository_id, dst) IN (SELECT (repository_id, node) FROM kept) GROUP BY ALL")
+AMONG = "(repository_id, src) IN (SELECT (repository_id, node) FROM kept) AND (repository_id, dst) IN (SELECT (repository_id, node) FROM kept)"
+
+
+@query(f"{kept_sql(500, 50)} SELECT repository_id, src, dst, count(*) AS n FROM edges WHERE {AMONG} GROUP BY ALL")
 def e4_c13_top_nodes(spark, sf_dir):
-    """The nodes of most edges in, of large repositories, and the edges among them."""
-    nodes, edges = part_graph(spark, sf_dir)
-    ranked = graph.degrees(nodes, edges).withColumn("pagerank", F.col("in_degree").cast("double"))
-    return graph.top_nodes(ranked, edges, large=500, kept=50)[1].groupBy("repository_id", "src", "dst").agg(F.count("*").alias("n"))
+    """The nodes of highest pagerank, of large repositories, and the edges among them."""
+    ranks, edges = _pageranks(spark, sf_dir, 3)
+    return graph.top_nodes(ranks, edges, large=500, kept=50)[1].groupBy("repository_id", "src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"{DEG}, v AS (SELECT * FROM deg WHERE in_degree = 0 AND out_degree > 0 OR node % 3 = 0) SELECT repository_id, src, dst, arg_min(import_name, ordinal) AS import_name FROM edges WHERE (repository_id, src) IN (SELECT (repository_id, node) FROM v WHERE node % 2 = 0) AND (repository_id, dst) IN (SELECT (repository_id, node) FROM v WHERE node % 2 = 0) GROUP BY ALL")
@@ -121,10 +140,10 @@ def c14_d3_g6_node_detail(spark, sf_dir):
     return graph.node_detail(nodes, edges, stored, graph.distinct_edges(edges).withColumnRenamed("src", "file_id"))
 
 
-@query(f"{G} SELECT n.repository_id, CAST(count(*) AS INT) AS nodes, CAST((SELECT count(*) FROM d WHERE d.repository_id = n.repository_id) AS INT) AS edges FROM nodes n GROUP BY n.repository_id")
+@query(f"{kept_sql(5000, 500)} SELECT a.repository_id, CAST(count(*) AS INT) AS nodes, CAST((SELECT count(*) FROM d WHERE d.repository_id = a.repository_id AND {AMONG}) AS INT) AS edges FROM kept a GROUP BY 1")
 def a10_g5_export_graph(spark, sf_dir):
-    """Graphs as JSON, counted from the JSON."""
-    nodes, edges = part_graph(spark, sf_dir)
-    out = graph.export_graph(nodes, graph.collapse_edges(edges), graph.graph_metrics(nodes, edges))
+    """Graphs as JSON, counted from the JSON; large ones are cut to their best nodes."""
+    ranks, edges = _pageranks(spark, sf_dir, 3)
+    out = graph.export_graph(ranks, graph.collapse_edges(edges), graph.graph_metrics(ranks.drop("pagerank"), edges))
     n = lambda p: F.json_array_length(F.get_json_object("graph", p))
     return out.select("repository_id", n("$.nodes").alias("nodes"), n("$.edges").alias("edges"))

@@ -12,7 +12,7 @@ import pytest
 from corpuslens.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"g2_pagerank", "g2_pagerank_rounds", "g3_has_cycles", "g4_cycle_count", "j5_ivf_recall", "j5_ivf_search"}  # test_graph and test_text hold their operators on small input
+SLOW = {"g2_pagerank", "g2_pagerank_rounds", "g3_has_cycles", "g4_cycle_count", "d6_g4_metrics_with_cycles", "j5_ivf_recall", "j5_ivf_search"}  # test_graph and test_text hold their operators on small input
 
 
 def plain(v):
