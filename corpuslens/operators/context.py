@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import scalars
+from corpuslens.operators import vectors
 
 #: The default instruction; callers give their own.
 SYSTEM = "Answer questions about the source code below. Use only the context that is given, name files and lines, and say so where the context is not enough."
@@ -27,6 +28,20 @@ def newest_question(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.max_by("content", F.struct("created_at", "message_id")).alias("question"))
 
 
+def retrieve_context(questions: DataFrame, chunks: DataFrame, symbols: DataFrame | None = None, k: int = 8, provider: Callable[[list[str]], list[list[float]]] = vectors.hashed_terms) -> DataFrame:
+    """The k best chunks of each question's repository: question_id, rank, score, path, start_line, end_line, content and symbol_name.
+
+    questions: repository_id, question_id, question. chunks: repository_id, chunk_id, path, start_line, end_line, content, symbol_id and the
+    embedding of the same provider. symbols: symbol_id and name; a chunk without one has no symbol_name. A question of a repository without
+    chunks has no row. cite_sources gives the citations.
+    """
+    asked = vectors.embed(questions.select("repository_id", F.col("question_id").alias("query_id"), "question"), "question", provider)
+    near = vectors.nearest(asked.withColumnRenamed("embedding", "query"), chunks, k)
+    told = near.join(chunks.select("chunk_id", "path", "start_line", "end_line", "content", "symbol_id"), "chunk_id")
+    named = told.withColumn("symbol_name", F.lit(None).cast("string")) if symbols is None else told.join(symbols.select("symbol_id", F.col("name").alias("symbol_name")), "symbol_id", "left")
+    return named.select(F.col("query_id").alias("question_id"), "rank", "score", "path", "start_line", "end_line", "content", "symbol_name")
+
+
 def cite_sources(ranked: DataFrame) -> DataFrame:
     """The first of each (path, start_line, end_line) of a question in rank order, whether or not the budget keeps it."""
     by = Window.partitionBy("question_id", "path", "start_line", "end_line").orderBy("rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 import time
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import scalars
+from corpuslens.operators import chunking
+from corpuslens.sources import files as sources
 
 
 class RateLimited(Exception):
@@ -55,19 +58,66 @@ def embed(df: DataFrame, text: str = "content", provider: Callable[[list[str]],
     return df.withColumn("_v", vectors(F.col(text))).select("*", "_v.*").drop("_v")
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
-    """query_id, chunk_id, score and rank of the k best chunks for each query, within its repository.
+def index_repositories(files: DataFrame, path: str, symbols: DataFrame | None = None, provider: Callable[[list[str]], list[list[float]]] = hashed_terms, size: int = 64) -> DataFrame:
+    """Cuts all files that aren't binary (is_binary, where there is such a column) into chunks, embeds them, and writes them over the chunks of their repositories; gives repository_id and chunks.
 
-    queries: repository_id, query_id, query (a vector). Chunks of a repository are dealt into blocks, each block gives its k best for each
-    query, and the best of these are the result: no repository needs a task of its own, and k x blocks rows a query are shuffled.
+    A repository that has no chunk keeps what was written before.
     """
-    q = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = chunks.select("repository_id", "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("_block"))
-    distance = 1 - scalars.cosine_similarity(F.col("query"), F.col("embedding"))
-    rows = q.join(c, ["repository_id", "_block"]).select("query_id", "chunk_id", "_block", scalars.score(distance).alias("score"))
-    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "chunk_id"))
-    near = rows.withColumn("_k", best("query_id", "_block")).filter(F.col("_k") <= k).drop("_k", "_block")
-    return near.withColumn("rank", best("query_id")).filter(F.col("rank") <= k)
+    kept = files.filter(~F.coalesce("is_binary", F.lit(False))) if "is_binary" in files.columns else files
+    sources.replace_partitions(embed(chunking.chunk_files(kept, symbols), provider=provider, size=size), path)
+    written = files.sparkSession.read.parquet(path).withColumn("repository_id", F.col("repository_id").cast(files.schema["repository_id"].dataType))
+    return written.join(files.select("repository_id").distinct(), "repository_id", "left_semi").groupBy("repository_id").agg(F.count("*").alias("chunks"))
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An offline provider that SQL can repeat: how often each letter a to z stands in the text, in either case."""
+    return [[float(t.count(c) + t.count(c.upper())) for c in string.ascii_lowercase] for t in (t or "" for t in texts)]
+
+
+def _cosines(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Cosines of all pairs; 0 for null, empty, unequal lengths, zero vectors and what is no number."""
+    out = np.zeros((len(a), len(b)))
+    sizes = [np.array([0 if v is None else len(v) for v in side]) for side in (a, b)]
+    for n in set(sizes[0].tolist()) - {0}:
+        i, j = (np.flatnonzero(s == n) for s in sizes)
+        if len(j):
+            x, y = (np.array([np.asarray(v, dtype="float64") for v in side.iloc[at]]) for side, at in ((a, i), (b, j)))
+            with np.errstate(all="ignore"):
+                out[np.ix_(i, j)] = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :])
+    return np.nan_to_num(out, nan=0.0)
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, query_rows: int = 2000, chunk_rows: int = 8000) -> DataFrame:
+    """query_id, chunk_id, score and rank of the k best chunks for each query, within its repository; ties go to the smaller chunk_id.
+
+    queries: repository_id, query_id, query (a vector). Queries and chunks of a repository are dealt into blocks of about query_rows and
+    chunk_rows rows, as many as its row counts ask for. A task takes one block of each, multiplies the matrices and gives k rows a query,
+    so no repository needs a task of its own; a query is sent once for each block of chunks, a chunk once for each block of queries.
+    """
+    blocks = lambda df, rows, name: df.groupBy("repository_id").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    n = blocks(queries, query_rows, "_nq").join(blocks(chunks, chunk_rows, "_nc"), "repository_id")
+    dealt = lambda key, own: F.pmod(F.xxhash64(key), F.col(own)).cast("int")
+    every = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    q = queries.join(n, "repository_id").select(F.col("repository_id").alias("_r"), "query_id", "query", dealt("query_id", "_nq").alias("_q"), every("_nc").alias("_c"))
+    c = chunks.join(n, "repository_id").select(F.col("repository_id").alias("_r"), "chunk_id", "embedding", dealt("chunk_id", "_nc").alias("_c"), every("_nq").alias("_q"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right, m, found = right.sort_values("chunk_id", kind="stable"), len(right), []
+        for at in range(0, len(left) if m else 0, 256):
+            part = left.iloc[at : at + 256]
+            cosine = _cosines(part["query"], right["embedding"])
+            shown = np.floor(np.maximum(0.0, 1 - (1 - cosine)) * 10_000 + 0.5 + 1e-9).astype("int64")  # the score is rounded before it ranks
+            order = shown * m + np.arange(m)[::-1]
+            top = np.argpartition(order, m - k, axis=1)[:, m - k :] if m > k else np.tile(np.arange(m), (len(part), 1))
+            found.append((np.repeat(part["query_id"].to_numpy(object), top.shape[1]), right["chunk_id"].to_numpy(object)[top.ravel()], np.take_along_axis(cosine, top, 1).ravel()))
+        ids = [pd.Series(np.concatenate([x[i] for x in found]) if found else [], dtype=object) for i in (0, 1)]
+        return pd.DataFrame({"query_id": ids[0], "chunk_id": ids[1], "cosine": np.concatenate([x[2] for x in found]) if found else np.zeros(0)})
+
+    types = [f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "query_id"), (chunks, "chunk_id"))]
+    by = ("_r", "_q", "_c")
+    near = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(best, ", ".join([*types, "cosine double"]))
+    rows = near.select("query_id", "chunk_id", scalars.score(1 - F.col("cosine")).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
 
 
 def ivf_index(chunks: DataFrame, lists: int = 100, sample: int = 20_000, seed: int = 5, rounds: int = 10):

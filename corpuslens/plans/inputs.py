@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators import chunking, context, vectors
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,12 +81,40 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES_SQL = "messages AS (SELECT conv_id AS session_id, turn AS created_at, turn AS message_id, role, text AS content FROM conversations)"
 
 
+def retrieval(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions, chunks, symbols): what every 50th conversation asks last, chunks of all documents with counts of letters as vectors, and a symbol for the first chunk of each document."""
+    asked = context.newest_question(messages(spark, sf_dir).filter("session_id % 50 = 0"))
+    questions = asked.select(F.lit("all").alias("repository_id"), F.col("session_id").alias("question_id"), "question")
+    cut = chunking.chunk_files(files(spark, sf_dir)).withColumns({
+        "repository_id": F.lit("all"),
+        "chunk_id": F.concat_ws(":", F.col("file_id").cast("string"), F.col("start_line").cast("string")),
+        "symbol_id": F.when(F.col("start_line") == 1, F.col("file_id")),
+    })
+    symbols = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("symbol_id"), F.col("lang").alias("name"))
+    return questions, vectors.embed(cut, provider=vectors.letter_counts, size=26), symbols
+
+
+def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, chunks, symbols = retrieval(spark, sf_dir)
+    return context.retrieve_context(questions, chunks, symbols, provider=vectors.letter_counts)
+
+
+LETTERS_SQL = "[" + ", ".join(f"CAST(length({{0}}) - length(replace(replace({{0}}, '{c}', ''), '{c.upper()}', '')) AS DOUBLE)" for c in string.ascii_lowercase) + "]"
+CHUNKS_SQL = f"""{files_sql()}, fl AS (SELECT *, list_transform({LINES_SQL}, lambda z: z.t) AS ls FROM files WHERE regexp_matches(content, '[^\\s\\x1c-\\x1f\\x{{85}}]')),
+chunks AS MATERIALIZED (SELECT *, {LETTERS_SQL.format("content")} AS v FROM (SELECT file_id, file_id || ':' || (p + 1) AS chunk_id, path, lang, CAST(p + 1 AS INT) AS start_line, CAST(least(p + 50, len(ls)) AS INT) AS end_line,
+  '# File: ' || path || chr(10) || chr(10) || array_to_string(ls[p + 1:p + 50], chr(10)) AS content FROM (SELECT *, unnest(range(0, len(ls), 40)) AS p FROM fl)))"""
+RETRIEVED_SQL = f"""{CHUNKS_SQL}, asked AS MATERIALIZED (SELECT question_id, {LETTERS_SQL.format("question")} AS u FROM (SELECT conv_id AS question_id, coalesce(arg_max(text, turn), '') AS question FROM conversations WHERE conv_id % 50 = 0 GROUP BY 1)),
+scored AS (SELECT question_id, chunk_id, round(CASE WHEN list_dot_product(u, u) > 0 AND list_dot_product(v, v) > 0 THEN greatest(0.0, 1 - (1 - list_dot_product(u, v) / (sqrt(list_dot_product(u, u)) * sqrt(list_dot_product(v, v))))) ELSE 0 END, 4) AS score FROM asked, chunks),
+ranked AS MATERIALIZED (SELECT question_id, CAST(rank AS INT) AS rank, score, path, start_line, end_line, content, CASE WHEN start_line = 1 THEN lang END AS symbol_name
+  FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) JOIN chunks USING (chunk_id) WHERE rank <= 8)"""
+
+
 def ranked(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
-    """k passages for each conversation: documents by their distance from the conversation's number, which every document can be."""
+    """k passages for each conversation, some of them twice, for citations: documents by their distance from the conversation's number, which every document can be."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     s = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
     n = d.count()
-    near = s.withColumn("doc_id", (F.col("conv_id") * 7 + F.floor((F.col("rank") * 2) / 3)) % n)  # some passages come twice
+    near = s.withColumn("doc_id", (F.col("conv_id") * 7 + F.floor((F.col("rank") * 2) / 3)) % n)
     return near.join(d, "doc_id").select(F.col("conv_id").alias("question_id"), F.col("rank").cast("int").alias("rank"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.col("text").alias("content"))
 
 

@@ -9,7 +9,7 @@ from corpuslens.operators import chunking, context, vectors
 from corpuslens.sources import files as sources
 from corpuslens.sources.durable import shared_path
 
-from .inputs import LINES_SQL, MESSAGES_SQL, RANKED_SQL, files, files_sql, messages, ranked, table
+from .inputs import CHUNKS_SQL, LINES_SQL, MESSAGES_SQL, RANKED_SQL, RETRIEVED_SQL, files, files_sql, messages, ranked, retrieval, retrieved, table
 from .registry import query
 
 LINES = f"WITH {files_sql()}, l AS (SELECT *, list_transform({LINES_SQL}, lambda z: z.t) AS ls FROM files WHERE regexp_matches(content, '[^\\s\\x1c-\\x1f\\x{{85}}]'))"
@@ -93,6 +93,18 @@ def j2_j3_index(spark, sf_dir):
     return vectors.embed(chunking.chunk_files(files(spark, sf_dir))).select("file_id", "start_line", "embedding", "embed_failed")
 
 
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, {', '.join(f'v[{i + 1}] AS v{i}' for i in range(26))}, false AS embed_failed FROM chunks")
+def j2_embed(spark, sf_dir):
+    """Counts of letters as vectors of all chunks."""
+    chunks = retrieval(spark, sf_dir)[1]
+    return chunks.select("chunk_id", *(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(26)), "embed_failed")
+
+
+@query(f"WITH {RETRIEVED_SQL} SELECT question_id, rank, score, path, start_line, end_line, symbol_name FROM ranked")
+def j6_retrieve_context(spark, sf_dir):
+    return retrieved(spark, sf_dir).drop("content")
+
+
 @query(f"WITH {files_sql()} SELECT repository_id, CAST(sum(len(range(0, n, 40))) AS BIGINT) AS chunks FROM (SELECT repository_id, len({LINES_SQL}) AS n FROM files) GROUP BY 1")
 def d14_chunks_indexed(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir)).groupBy("repository_id").agg(F.count("*").alias("chunks"))
@@ -107,6 +119,12 @@ def a7_a8_replace_chunks(spark, sf_dir):
     return spark.read.parquet(path).groupBy(F.col("repository_id").cast("string").alias("repository_id")).agg(F.count("*").alias("chunks"))
 
 
+@query(f"WITH {files_sql()} SELECT repository_id, CAST(sum(len(range(0, n, 40))) AS BIGINT) AS chunks FROM (SELECT repository_id, len({LINES_SQL}) AS n FROM files) GROUP BY 1")
+def j3_index_repositories(spark, sf_dir):
+    """Chunks of all repositories, embedded and written by repository in one job."""
+    return vectors.index_repositories(files(spark, sf_dir), shared_path(spark, "index"), provider=vectors.letter_counts, size=26)
+
+
 PAST = f"""WITH {MESSAGES_SQL}, m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS k FROM messages),
 h AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, message_id DESC) AS r FROM m WHERE k > 1 AND role IN ('user', 'assistant'))"""
 
@@ -121,16 +139,16 @@ def e7_cite_sources(spark, sf_dir):
     return context.cite_sources(ranked(spark, sf_dir)).select("question_id", "rank", "path")
 
 
-BLOCK = r"""'---' || chr(10) || '[Context Item #' || rank || ']' || chr(10) || 'File: ' || path || ' (Lines ' || start_line || '-' || end_line || ')' || chr(10) || 'Content:' || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' || chr(10)"""
+BLOCK = r"""'---' || chr(10) || '[Context Item #' || rank || ']' || chr(10) || 'File: ' || path || ' (Lines ' || start_line || '-' || end_line || ')' || chr(10) || coalesce('Symbol: ' || nullif(symbol_name, '') || chr(10), '') || 'Content:' || chr(10) || '```' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '```' || chr(10)"""
 
 
-@query(f"WITH {RANKED_SQL} SELECT question_id, rank, {BLOCK} AS block FROM ranked")
+@query(f"WITH {RETRIEVED_SQL} SELECT question_id, rank, {BLOCK} AS block FROM ranked")
 def b17_e12_context_blocks(spark, sf_dir):
-    return context.context_blocks(ranked(spark, sf_dir)).select("question_id", "rank", "block")
+    return context.context_blocks(retrieved(spark, sf_dir)).select("question_id", "rank", "block")
 
 
 RULE = "repeat('=', 26)"
-PROMPTS = f"""{PAST.replace("WITH ", f"WITH {RANKED_SQL}, ", 1)}, q AS (SELECT session_id, arg_max(content, message_id) AS question FROM messages GROUP BY 1),
+PROMPTS = f"""{PAST.replace("WITH ", f"WITH {RETRIEVED_SQL}, ", 1)}, q AS (SELECT session_id, arg_max(content, message_id) AS question FROM messages GROUP BY 1),
 f AS (SELECT q.session_id, question, {len(context.SYSTEM) // 4} + coalesce((SELECT sum(length(content) // 4) FROM h WHERE h.session_id = q.session_id AND r <= 6), 0) AS fixed_tokens FROM q),
 b AS (SELECT question_id, rank, {BLOCK} AS block FROM ranked),
 c AS (SELECT b.*, f.fixed_tokens + (length('Retrieved Codebase Context:' || chr(10) || {RULE} || chr(10) || chr(10) || chr(10) || {RULE} || chr(10) || 'User Question: ' || question || chr(10) || chr(10) || 'Answer:')
@@ -142,8 +160,8 @@ SELECT session_id, n_blocks, CAST(fixed_tokens + length(prompt) // 4 AS BIGINT)
 
 @query(PROMPTS)
 def b18_e6_j6_j7_prompts(spark, sf_dir):
-    """A prompt for each conversation, within 70 % of a window of 4000 tokens."""
-    return context.assemble_prompts(messages(spark, sf_dir), ranked(spark, sf_dir), max_context=4000).select("session_id", "n_blocks", "total_tokens", "prompt")
+    """A prompt for each conversation, within 70 % of a window of 4000 tokens; every 50th has context."""
+    return context.assemble_prompts(messages(spark, sf_dir), retrieved(spark, sf_dir), max_context=4000).select("session_id", "n_blocks", "total_tokens", "prompt")
 
 
 @query("SELECT conv_id AS session_id, replace(split_part(arg_max(text, turn), chr(10), 1), chr(0), '') AS answer FROM conversations GROUP BY conv_id")

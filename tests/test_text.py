@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 
 import pandas as pd
@@ -184,6 +185,50 @@ def test_search(spark, sf_dir):
     assert indexed.count() == v.count() and vectors.recall(exact, vectors.ivf_search(q, indexed, centres, probes=14)).first()["recall"] >= 0.9
 
 
+def test_search_in_blocks_equals_brute_force(spark):
+    """Ties, copies, zero vectors, nulls, other lengths, no numbers, repositories without chunks or questions; blocks of any size."""
+    some = [[float((i * j) % 7 - 3) for j in range(1, 5)] for i in range(40)]
+    odd = [None, [], [0.0] * 4, [1.0, 2.0], [float("nan")] * 4, some[3], some[3]]
+    chunks = [(r, f"{r}{i:03}", v) for r in ("a", "b") for i, v in enumerate(some + odd)] + [("d", "d0", some[1])]
+    queries = [(r, f"q{r}{i}", v) for r in ("a", "b", "c") for i, v in enumerate([*some[::5], None, [0.0] * 4, [2.0, 1.0]])]
+
+    def cosine(x, y):
+        if not x or not y or len(x) != len(y):
+            return 0.0
+        size = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+        return sum(v * w for v, w in zip(x, y)) / size if size > 0 else 0.0
+
+    want = set()
+    for r, q, x in queries:
+        best = sorted((-round(max(0.0, cosine(x, y)), 4), c) for r2, c, y in chunks if r2 == r)[:3]
+        want |= {(q, c, -s, i + 1) for i, (s, c) in enumerate(best)}
+    qs = spark.createDataFrame(queries, "repository_id string, query_id string, query array<double>")
+    cs = spark.createDataFrame(chunks, "repository_id string, chunk_id string, embedding array<double>")
+    for rows in ((2000, 8000), (3, 7), (1, 2)):
+        got = {(r["query_id"], r["chunk_id"], abs(r["score"]), r["rank"]) for r in vectors.nearest(qs, cs, 3, *rows).collect()}
+        assert got == want
+    assert vectors.nearest(qs.filter("false"), cs, 3).count() == vectors.nearest(qs, cs.filter("false"), 3).count() == 0
+
+
+def test_retrieved_context(spark):
+    files = spark.createDataFrame([("r", "f1", "a.py", "zebra zebra"), ("r", "f2", "b.py", "moon"), ("s", "f3", "c.py", "zebra")], FILE)
+    cut = chunking.chunk_files(files).withColumns({"chunk_id": F.col("file_id"), "symbol_id": F.when(F.col("file_id") == "f1", 7)})
+    chunks = vectors.embed(cut)
+    asked = spark.createDataFrame([("r", 1, "zebra"), ("r", 2, None), ("t", 3, "zebra")], "repository_id string, question_id int, question string")
+    symbols = spark.createDataFrame([(7, "Zoo")], "symbol_id int, name string")
+    got = context.retrieve_context(asked, chunks, symbols, k=2).collect()
+    assert {(r["question_id"], r["rank"], r["path"], r["symbol_name"]) for r in got} == {(1, 1, "a.py", "Zoo"), (1, 2, "b.py", None), (2, 1, "a.py", "Zoo"), (2, 2, "b.py", None)}
+    assert context.retrieve_context(asked, chunks, k=1).filter("symbol_name is not null").count() == 0
+
+
+def test_index_replaces_by_repository(spark, tmp_path):
+    path, rows = str(tmp_path / "index"), [("r", "f1", "a.py", "x\n" * 90, False), ("r", "f2", "b.py", "y", False), ("s", "f3", "c.py", "z", False), ("s", "f4", "d.png", "p", True)]
+    frame = lambda x: spark.createDataFrame(x, FILE + ", is_binary boolean")
+    assert {tuple(r) for r in vectors.index_repositories(frame(rows), path).collect()} == {("r", 4), ("s", 1)}
+    assert {tuple(r) for r in vectors.index_repositories(frame(rows[1:2]), path).collect()} == {("r", 1)}
+    assert spark.read.parquet(path).count() == 2 and len(spark.read.parquet(path).first()["embedding"]) == 64
+
+
 def test_trees_archives_and_sinks(spark, tmp_path):
     root = tmp_path / "in"
     (root / "repo" / "src").mkdir(parents=True)
@@ -254,6 +299,11 @@ def test_streams(spark, tmp_path):
     live = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "e"))
     got = streams.run_to_table(streams.progress_stream(live), "progress", "update", str(tmp_path / "c1")).collect()
     assert {(r["key"], r["status"], r["progress"]) for r in got} == want
+    for part in ([("b", 5, at(100), "running", 30, "q")], [("b", 7, at(90), "ready", 100, "z"), ("b", 8, at(95), "error", 9, "z"), ("b", 9, at(300), "running", 40, "z")]):
+        spark.createDataFrame(part, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    late = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    got = streams.run_to_table(streams.progress_stream(late), "late", "update", str(tmp_path / "c0")).collect()
+    assert {(r["key"], r["status"], r["progress"]) for r in got} == {("b", "running", 30), ("b", "ready", 100)}  # an end counts, however late it comes
     stalled = streams.run_to_table(streams.progress_stream(live, stall_ms=15_000, lateness="1 second"), "stalled", "update", str(tmp_path / "c2")).collect()
     assert {(r["key"], r["stalled"]) for r in stalled if not r["stalled"]} == {("a", False), ("b", False), ("c", False)}
     assert streams.run_to_table(streams.once_each(live.unionAll(live)), "once", "append", str(tmp_path / "c3")).count() == 6
