@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,3 +64,13 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, fn: Callable[...
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.select(*columns).mapInArrow(job, out)
+
+
+class WordHashes(dict):
+    """Hashes of words, remembered up to 500,000 of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, htmltext, linededup, packing, pii, quality, simhash, tokencount, toxicity
+from . import chatformat, decontaminate, filteraudit, htmltext, linededup, packing, pii, prefixtrie, quality, simhash, substringdedup, tokencount, toxicity
 from .common import table
 
 
@@ -139,9 +139,77 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents"), secret="corpuslens").select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substringdedup.digests(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, pos, md5(array_to_string(ws[pos + 1:pos + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS pos FROM w WHERE len(ws) >= 50)),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY h) AS first FROM k) WHERE first < doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 50)))) AS g FROM later GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN ws ELSE list_transform(list_filter(range(0, len(ws)), lambda i: NOT list_contains(g, i)), lambda i: ws[i + 1]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+f AS (SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END) || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+  count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS failing, before <> '' AND translate(fails, before, '') <> fails AS gone, fails = own AS alone FROM f, s),
+g AS (SELECT part, filter_order, CAST(step AS INT) AS step, own, CAST(coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (failing AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (failing AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (failing AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM g
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(prefixtrie.with_shared_beginnings(prefixtrie.turns(table(spark, sf_dir, "conversations"))))
+
+
+#: The remainders of CRC-32 come from its rule: a table of 256 numbers, made by eight shifts each.
+OP13_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'m': md5(CAST(length(role) AS VARCHAR) || ':' || role || text), 'w': CAST(len(regexp_extract_all(text, '[^ 	-
+]+')) AS BIGINT)}
+    ORDER BY turn NULLS FIRST, role, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS ts FROM raw GROUP BY 1
+),
+h AS (SELECT conv_id, ts, conv_id - conv_id % 20 AS base,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(tab[CAST((xor(a, b) & 255) + 1 AS BIGINT)], a >> 8)), 4294967295) % 4 AS h FROM own, crc),
+built AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.base),
+k AS (SELECT conv_id, ts, len(ts) AS n, list_transform(range(0, len(ts) + 1), lambda d: array_to_string(list_transform(ts[1:d], lambda x: x.m), '')) AS ks FROM built),
+e AS (SELECT conv_id, n, unnest(ks) AS key, unnest(range(0, n + 1)) AS depth, unnest(list_concat([0], list_transform(ts, lambda x: x.w))) AS words FROM k),
+nodes AS (
+  SELECT key, CAST(any_value(depth) AS BIGINT) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM e GROUP BY key
+),
+kids AS (SELECT substr(key, 1, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+up AS (SELECT unnest(list_transform(range(0, depth + 1), lambda d: substr(key, 1, 32 * d))) AS key, (n_children = 0)::INT AS leaf, (n_convs - 1) * words AS saved FROM full_nodes),
+sums AS (SELECT key, sum(leaf) AS leaves, sum(saved) AS saved FROM up GROUP BY 1)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums USING (key) LEFT JOIN nodes p ON f.depth > 0 AND p.key = substr(f.key, 1, length(f.key) - 32)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_token_counts, op8_html_text, op9_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_simhash, op4_chat_format, op5_decontaminate, op6_line_dedup, op7_token_counts, op8_html_text, op9_toxicity, op10_pii, op11_substring_dedup, op12_filter_audit, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_substring_dedup": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}

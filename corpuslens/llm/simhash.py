@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_columns
+from .common import WordHashes, durable, map_columns
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -150,17 +150,7 @@ _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 _S31, _S27, _S30, _ONE = (np.uint64(x) for x in (31, 27, 30, 1))
 
 
-class _Words(dict):
-    """Hashes of words, remembered up to 500,000 of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_WORDS = _Words()
+_WORDS = WordHashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
