@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import ast
+import functools
+import multiprocessing
+import os
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Connection
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scripts import parse_script
+
 SYMBOL = "struct<name:string,kind:string,start_line:int,end_line:int,signature:string,docstring:string,is_exported:boolean>"
 IMPORT = "struct<import_name:string,import_path:string,is_relative:boolean>"
 PARSED = f"file_id string, symbols array<{SYMBOL}>, imports array<{IMPORT}>, parse_error string"
@@ -55,107 +61,105 @@ def parse_python(source: str) -> tuple[list[tuple], list[tuple], str | None]:
     return symbols, imports, None
 
 
-def extract(files: DataFrame, parser: Callable[[str], tuple[list, list, str | None]] = parse_python) -> DataFrame:
-    """file_id, symbols, imports, parse_error of each file, by a parser of one text. An error in a file marks that file alone."""
+BUDGET = 10.0
+
+
+class Watched:
+    """A parser that runs in a child process of the worker. A text that takes longer than `seconds`, or ends the process, costs that text alone."""
+
+    def __init__(self, parser: Callable[[str], tuple[list, list, str | None]], seconds: float = BUDGET):
+        self.parser, self.seconds, self.child = parser, seconds, None
+
+    def _serve(self, mine: Connection, theirs: Connection) -> None:
+        theirs.close()  # so that the parent's end is the only one, and its death ends this process
+        while True:
+            try:
+                text = mine.recv()
+            except EOFError:
+                os._exit(0)
+            try:
+                mine.send(self.parser(text))
+            except Exception as e:  # noqa: BLE001  a plug-in may fail in any way; the row says so
+                mine.send(([], [], f"ParseError: {e}"))
+
+    def stop(self) -> None:
+        if self.child:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+    def __call__(self, text: str) -> tuple[list, list, str | None]:
+        if self.child is None:
+            fork = multiprocessing.get_context("fork")
+            self.pipe, far = fork.Pipe()
+            self.child = fork.Process(target=self._serve, args=(far, self.pipe), daemon=True)
+            self.child.start()
+            far.close()
+        try:
+            self.pipe.send(text)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            error = f"TimeoutError: parsing took over {self.seconds:g} s"
+        except (EOFError, OSError):
+            error = "ParseError: the parser's process ended"
+        self.stop()
+        return [], [], error
+
+
+def extract(files: DataFrame, parser: Callable[[str], tuple[list, list, str | None]] = parse_python, seconds: float = BUDGET) -> DataFrame:
+    """file_id, symbols, imports, parse_error of each file, by a parser of one text. An error, a crash or a text that takes over `seconds` marks that file alone."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for key, text in zip(b["file_id"], b["content"], strict=True):
-                try:
-                    symbols, imports, error = parser(text or "")
-                except Exception as e:  # noqa: BLE001  a plug-in may fail in any way; the row says so
-                    symbols, imports, error = [], [], f"ParseError: {e}"
-                got.append((key, symbols, imports, error))
-            yield pd.DataFrame(got, columns=["file_id", "symbols", "imports", "parse_error"])
+        watched = Watched(parser, seconds)
+        try:
+            for b in batches:
+                got = [(key, *watched(text or "")) for key, text in zip(b["file_id"], b["content"], strict=True)]
+                yield pd.DataFrame(got, columns=["file_id", "symbols", "imports", "parse_error"])
+        finally:
+            watched.stop()
 
     return files.select(F.col("file_id").cast("string"), "content").mapInPandas(rows, PARSED)
 
 
-NAME = r"[A-Za-z_$][\w$]*"
-# declarations of a line: kind, pattern whose first group is the name, signature
-DECLARED = (
-    ("interface", rf"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+({NAME})", "interface %s"),
-    ("type", rf"^(?:export\s+)?(?:declare\s+)?type\s+({NAME})[^=]*=", "type %s"),
-    ("class", rf"^(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({NAME})", "class %s"),
-    ("function", rf"^(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({NAME})\s*[(<]", "function %s()"),
-    ("arrow", rf"^(?:export\s+)?(?:const|let)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{NAME})\s*(?::[^=]+)?=>", "const %s = () => ..."),
-    ("expression", rf"^(?:export\s+)?(?:const|let|var)\s+({NAME})\s*=\s*(?:async\s+)?function\b", "const %s = () => ..."),
-)
-METHOD = rf"^\s+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?(#?{NAME})\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{{;]+)?\{{"
-NOT_METHODS = ("if", "for", "while", "switch", "catch", "function", "return", "with")
+def extract_scripts(files: DataFrame, typed: bool = True, seconds: float = BUDGET) -> DataFrame:
+    """extract() for TypeScript (typed) or JavaScript files. Elements in place of values are read in JavaScript and in files whose path ends in x."""
+    parts = [(files, not typed)]
+    if typed and "path" in files.columns:
+        with_tags = F.coalesce(F.lower("path").endswith("x"), F.lit(False))
+        parts = [(files.filter(~with_tags), False), (files.filter(with_tags), True)]
+    out = [extract(part, functools.partial(parse_script, typed=typed, tags=tags), seconds) for part, tags in parts]
+    return functools.reduce(DataFrame.unionByName, out)
 
 
-def _bare(text: Column) -> Column:
-    """text without the insides of strings and without comments, line by line the same; braces in template texts may remain, so ends are approximate there."""
-    text = F.regexp_replace(text, r'"(?:\\.|[^"\\\n])*"' + "|" + r"'(?:\\.|[^'\\\n])*'", '""')
-    # a comment goes line by line: from its start, or from where its line before ended, to the line's end or its own
-    return F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"(?:/\*|(?<=\n)\G)(?:(?!\*/)[^\n])*(\n|\*/)", "$1")
+def _flat(parsed: DataFrame, column: str) -> DataFrame:
+    return parsed.select("file_id", F.explode(column).alias("s")).select("file_id", "s.*")
 
 
 def script_symbols(files: DataFrame, typed: bool = True) -> DataFrame:
-    """Symbols of TypeScript (typed) or JavaScript files by declarations at the start of lines and a running brace depth."""
-    line = files.select("file_id", F.posexplode(F.arrays_zip(F.split("content", "\n", -1).alias("raw"), F.split(_bare(F.col("content")), "\n", -1).alias("bare"))).alias("_i", "_l")).select("file_id", (F.col("_i") + 1).alias("line"), "_l.raw", "_l.bare")
-    count = lambda c: F.char_length("bare") - F.char_length(F.replace("bare", F.lit(c), F.lit("")))
-    order = Window.partitionBy("file_id").orderBy("line")
-    line = line.withColumn("after", F.sum(count("{") - count("}")).over(order)).withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0)))
-    kinds = [d for d in DECLARED if typed or d[0] not in ("interface", "type")]
-    kind = F.coalesce(*(F.when(F.col("bare").rlike(p), F.lit(k)) for k, p, _ in kinds))
-    name = F.coalesce(*(F.when(F.col("bare").rlike(p), F.regexp_extract("bare", p, 1)) for _, p, _ in kinds))
-    signature = F.coalesce(*(F.when(F.col("bare").rlike(p), F.format_string(s, F.regexp_extract("bare", p, 1))) for _, p, s in kinds))
-    top = line.filter("before = 0").withColumns({"kind": kind, "name": name, "signature": signature, "is_exported": F.col("bare").rlike(r"^export\s")}).filter("kind is not null")
-    ends = line.select(F.col("file_id").alias("_f"), F.col("line").alias("_end"), F.col("after").alias("_after"), F.col("bare").alias("_bare"))
-    # a declaration ends where the depth is back and, without braces, where a statement ends
-    closes = (F.col("_f") == F.col("file_id")) & (F.col("_end") >= F.col("line")) & (F.col("_after") <= F.col("before")) & ((F.col("after") > F.col("before")) | F.col("_bare").rlike(r"[;}]\s*$") | (F.col("_end") > F.col("line")))
-    keep = ["file_id", "line", "kind", "name", "signature", "is_exported", "before"]
-    top = top.join(ends, closes).groupBy(*keep).agg(F.min("_end").alias("end_line"))
-    classes = top.filter("kind = 'class'").select(F.col("file_id").alias("_f"), F.col("line").alias("_from"), F.col("end_line").alias("_to"), F.col("name").alias("_class"))
-    member = line.filter("before = 1").withColumn("_m", F.regexp_extract("bare", METHOD, 1)).filter(F.col("bare").rlike(METHOD) & ~F.col("_m").isin(*NOT_METHODS))
-    methods = member.join(classes, (F.col("_f") == F.col("file_id")) & F.col("line").between(F.col("_from"), F.col("_to"))).drop("_f")
-    methods = methods.select("file_id", "line", F.lit("method").alias("kind"), F.concat_ws(".", "_class", "_m").alias("name"), F.concat("_m", F.lit("()")).alias("signature"), F.lit(False).alias("is_exported"), "before", "after")
-    methods = methods.join(ends, (F.col("_f") == F.col("file_id")) & (F.col("_end") >= F.col("line")) & (F.col("_after") <= F.col("before"))).groupBy(*keep).agg(F.min("_end").alias("end_line"))
-    comment = F.when(F.col("raw").rlike(r"^\s*(?://|/\*|\*)"), F.trim(F.regexp_replace("raw", r"^\s*(?://+|/\*+|\*+/?)\s?|\*+/\s*$", "")))
-    above = line.select(F.col("file_id"), (F.col("line") + 1).alias("line"), comment.alias("docstring"))
-    out = top.unionByName(methods).join(above, ["file_id", "line"], "left")
-    shown = F.when(F.col("kind").isin("arrow", "expression"), "function").otherwise(F.col("kind"))
-    return out.select("file_id", "name", shown.alias("kind"), F.col("line").alias("start_line"), "end_line", "signature", "docstring", "is_exported")
-
-
-STATIC = r"""(?m)^\s*import\s+(?:type\s+)?([^'";]+?)\s+from\s+['"]([^'"]+)['"]"""
-BARE = r"""(?m)^\s*import\s+['"]([^'"]+)['"]"""
-REQUIRED = r"""(?m)^\s*(?:const|let|var)\s+([^=;]+?)\s*=\s*require\(\s*['"]([^'"]+)['"]\s*\)"""
+    """Symbols of TypeScript (typed) or JavaScript files, a row each."""
+    return _flat(extract_scripts(files, typed), "symbols")
 
 
 def script_imports(files: DataFrame, required: bool = False) -> DataFrame:
-    """file_id, import_name, import_path, is_relative of import statements and, if required, of require calls: a row for each name."""
-
-    def pairs(pattern: str) -> Column:
-        both = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("names"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("path"))
-
-        def names(x: Column) -> Column:
-            flat = F.transform(F.split(F.regexp_replace(x["names"], r"[{}\s]+", " "), ","), lambda n: F.trim(n))
-            last = F.transform(F.filter(flat, lambda n: n != ""), lambda n: F.regexp_replace(n, r"^.*(?:\bas|:)\s*|^type\s+", ""))
-            return F.transform(last, lambda n: F.struct(n.alias("import_name"), x["path"].alias("import_path")))
+    """file_id, import_name, import_path, is_relative of import statements and, if required (JavaScript), of require calls: a row for each name."""
+    return _flat(extract_scripts(files, typed=not required), "imports")
 
-        return F.flatten(F.transform(both, names))
 
-    whole = F.transform(F.regexp_extract_all("content", F.lit(BARE), F.lit(1)), lambda p: F.struct(p.alias("import_name"), p.alias("import_path")))
-    found = F.concat(pairs(STATIC), whole, *([pairs(REQUIRED)] if required else []))
-    rows = files.select("file_id", F.explode(found).alias("x")).select("file_id", "x.*")
-    return rows.withColumn("is_relative", F.col("import_path").startswith("."))
+def parse_files(files: DataFrame, seconds: float = BUDGET) -> DataFrame:
+    """file_id, symbols, imports, parse_error of all files by language; files of other languages have empty lists and no error."""
+    low = F.coalesce(F.lower("language"), F.lit(""))
+    text = files.withColumn("file_id", F.col("file_id").cast("string"))
+    out = [extract(text.filter(low == "python"), seconds=seconds), extract_scripts(text.filter(low == "typescript"), True, seconds), extract_scripts(text.filter(low == "javascript"), False, seconds)]
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    others = text.filter(~low.isin("python", "typescript", "javascript")).select("file_id", none(SYMBOL).alias("symbols"), none(IMPORT).alias("imports"), F.lit(None).cast("string").alias("parse_error"))
+    return functools.reduce(DataFrame.unionByName, [*out, others])
 
 
 def parse_repository(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, imports, errors) of all files by language; files of other languages give none."""
-    low = F.lower("language")
-    text = files.withColumn("file_id", F.col("file_id").cast("string"))
-    python = extract(text.filter(low == "python"))
-    ts, js = text.filter(low == "typescript"), text.filter(low == "javascript")
-    symbols = python.select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.*")
-    symbols = symbols.unionByName(script_symbols(ts)).unionByName(script_symbols(js, typed=False))
-    imports = python.select("file_id", F.explode("imports").alias("s")).select("file_id", "s.*")
-    imports = imports.unionByName(script_imports(ts)).unionByName(script_imports(js, required=True))
-    return symbols, imports, python.filter("parse_error is not null").select("file_id", "parse_error")
+    parsed = parse_files(files)
+    return _flat(parsed, "symbols"), _flat(parsed, "imports"), parsed.filter("parse_error is not null").select("file_id", "parse_error")
 
 
 def of_files(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -314,6 +314,26 @@ def h1_h3_h4_h7_h8_symbols(spark, sf_dir):
     return parse.parse_repository(_sources(spark, sf_dir))[0].drop("docstring")
 
 
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS file_id, s.name || CAST(doc_id AS VARCHAR) || s.more AS name, s.kind AS kind, CAST(s.a + s.na * n AS INT) AS start_line, CAST(s.b + s.nb * n AS INT) AS end_line, s.kind = 'class' AS is_exported
+FROM (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n FROM documents), (SELECT unnest([
+  {'name': 'K', 'more': '', 'kind': 'class', 'a': 2, 'na': 1, 'b': 6, 'nb': 3}, {'name': 'K', 'more': '.m', 'kind': 'method', 'a': 3, 'na': 1, 'b': 5, 'nb': 3}, {'name': 'f', 'more': '', 'kind': 'function', 'a': 7, 'na': 3, 'b': 9, 'nb': 3}]) AS s)"""
+)
+def h3_h4_scripts_with_texts(spark, sf_dir):
+    """Scripts that hold each whole text in a comment, in nested templates and in a string: none of its brackets, quotes and lines may mislead the scan."""
+    text = F.coalesce("text", F.lit(""))
+    escaped = F.regexp_replace(text, r"([\\`$])", r"\\$1")
+    line = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    k = F.col("doc_id").cast("string")
+    content = F.concat(
+        F.lit("/* "), F.replace(text, F.lit("*/"), F.lit("* /")), F.lit(" */\nexport class K"), k, F.lit(" {\n  m(a = `"), escaped, F.lit("`) {\n    return `${ { a: `"), escaped, F.lit("` }.a }`;\n  }\n}\nconst f"), k,
+        F.lit(' = () => {\n  return "'), line, F.lit('";\n};\n'),
+    )
+    language = F.when(F.col("doc_id") % 2 == 0, "TypeScript").otherwise("JavaScript")
+    made = table(spark, sf_dir, "documents").select(k.alias("file_id"), F.lit("all").alias("repository_id"), k.alias("path"), language.alias("language"), content.alias("content"))
+    return parse.parse_repository(made)[0].select("file_id", "name", "kind", "start_line", "end_line", "is_exported")
+
+
 @query(
     """SELECT CAST(doc_id AS VARCHAR) AS file_id, replace(s.n, '@', CAST(doc_id AS VARCHAR)) AS import_name, replace(s.p, '@', CAST(doc_id AS VARCHAR)) AS import_path, s.r AS is_relative
 FROM documents, (SELECT unnest([{'k': 0, 'n': 'o', 'p': 'os', 'r': false}, {'k': 0, 'n': 'thing', 'p': 'pkg.m@.thing', 'r': false}, {'k': 1, 'n': 'b@', 'p': './m@', 'r': true}, {'k': 1, 'n': 'c', 'p': './m@', 'r': true},

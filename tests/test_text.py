@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import io
 import math
+import os
+import random
+import time
 import zipfile
 
 import pandas as pd
@@ -9,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import chunking, context, frameworks, inventory, parse, resolve, vectors
+from corpuslens.operators.scripts import parse_script
 from corpuslens.sources import files as sources
 from corpuslens.streaming import streams
 
@@ -114,6 +118,157 @@ def test_scripts(spark):
     assert names == {("def1", "./m", True), ("b", "./m", True), ("c", "./m", True), ("side", "side", False), ("p", "./n", True), ("r", "./n", True)}
 
 
+ODD = r"""
+export class Repo<T extends { id: string }> extends Base<{ a: 1 }> implements X {
+  private readonly cache = new Map<string, T>();
+  static count = 0
+  @Input({ a: "}" }) name: string
+  handler = (e: Event) => { if (e) { function inner() {} } }
+  // doc of get
+  get size(): number { return `${this.cache.size} ${ `}` + "{" }`.length }
+  abstract foo(): void;
+  [Symbol.iterator]() { return /[/}]\/{/g; }
+  async *gen<U>(x: U = { a: 1 } as any): AsyncGenerator<{ b: U }> {
+    yield x
+  }
+  #priv(a = ")") {
+  }
+  static { console.log(1) }
+  overload(a: string): void
+  overload(a: any) { }
+}
+namespace N {
+  export function inN(a: { x: number }, b = `)}`): { y: number } | undefined {
+    function hidden() {}
+    return undefined
+  }
+  type U = | { a: 1 }
+    | { b: 2 }
+  const z = 1
+}
+export default function main() { }
+declare function sig(a: string): void
+function over(a: string): string
+function over(a: any) { return a / 2 / 3 }
+const a = (x) => x + 1, b = 5,
+  c = async function () { }, d = (function () {})()
+export const e = async <T,>(x: T): Promise<{ q: T }> => ({ q: x }), f = y =>
+  y * 2
+const g = (1 + 2) / 3
+const k = cond ? (x) => x : null
+describe("x", () => {
+  const inner2 = () => {}
+  function fn() {}
+})
+if (x) { class InIf { m() {} } }
+type Long<T> = T extends string
+  ? { a: "};" }
+  : never
+const obj = { type: 1, class: 2, m() {}, function: 3 }
+const t = a
+  .b(() => {})
+const enum E2 { B }
+const last = () => {
+  // }
+  /* } */
+}
+"""
+WITH_TAGS = r"""import React, { useState } from 'react'
+// App
+export const App = ({ a }) => {
+  const go = () => {}
+  return (<div className="it's {" onClick={() => { const inner = () => 1; setX(x < 1) }}>
+    Don't {x && <b>{`}`}</b>} // http://x {/* c */}
+    <br/> <>frag</>
+  </div>)
+}
+module.exports = { App, k: function () { function deep() {} } }
+exports.z = class Zed { run() {} }
+const { a, b: { c } = {}, ...rest } = require("./x"), y = require('y')
+var v = function named() {}
+let s = 'it\'s \
+ multi', n = a++ / 2 / w
+async function af() {}
+"""
+
+
+def test_odd_scripts():
+    typed = {x[0]: (x[1], x[2], x[3]) for x in parse_script(ODD)[0]}
+    assert typed == {
+        "Repo": ("class", 2, 19), "inner": ("function", 6, 6), "Repo.size": ("method", 8, 8), "Repo.[Symbol.iterator]": ("method", 10, 10), "Repo.gen": ("method", 11, 13), "Repo.#priv": ("method", 14, 15), "Repo.overload": ("method", 18, 18),
+        "inN": ("function", 21, 24), "U": ("type", 25, 26), "main": ("function", 29, 29), "over": ("function", 32, 32), "a": ("function", 33, 34), "c": ("function", 33, 34), "e": ("function", 35, 36), "f": ("function", 35, 36),
+        "inner2": ("function", 40, 40), "fn": ("function", 41, 41), "InIf": ("class", 43, 43), "InIf.m": ("method", 43, 43), "Long": ("type", 44, 46), "last": ("function", 51, 54),
+    }
+    symbols, imports, _ = parse_script(WITH_TAGS, typed=False, tags=True)
+    assert {x[0]: (x[2], x[3]) for x in symbols} == {"App": (3, 9), "go": (4, 4), "inner": (5, 5), "deep": (10, 10), "Zed": (11, 11), "Zed.run": (11, 11), "v": (13, 13), "af": (16, 16)}
+    assert imports == [("React", "react", False), ("useState", "react", False), ("a", "./x", True), ("c", "./x", True), ("rest", "./x", True), ("y", "y", False)]
+
+
+def made_script(r, depth=0):
+    """A random script with the symbols that it must give: (lines, [(name, first line, last line)]), lines counted from 0."""
+    lines, found = [], []
+    for _ in range(r.randrange(1, 6)):
+        n, at = f"x{r.randrange(10**9)}", len(lines)
+        noise = [r.choice(["'}'", '"{"', "`}${ {a: '`'}.a }{`", "/[}/]{/", "// }", "/* } \n{ */", "a / b / c", "{ }", "if (a) { }"]) for _ in range(r.randrange(4))]
+        body = [x for line in noise for x in (line if "//" in line else f"{line};").split("\n")]
+        shape = r.randrange(5)
+        if shape == 0:
+            lines += [f"function {n}(a = '(', b = {{ c: 1 }}) {{", *body, "}"]
+        elif shape == 1:
+            lines += [f"const {n} = async (a, b) => {{", *body, "};" if r.random() < 0.5 else "}"]
+        elif shape == 2:
+            inner = f"m{r.randrange(10**9)}"
+            lines += [f"class {n} extends B {{", f"{inner}(x) {{", *body, "}", "field = `}`", "}"]
+            found.append((f"{n}.{inner}", at + 1, len(lines) - 3))
+        elif shape == 3:
+            lines += [f"const {n} = [1,", "2]"]
+            continue
+        else:
+            inner_lines, inner = made_script(r, depth + 1) if depth < 4 else ([], [])
+            lines += ["if (a) {", *inner_lines, "}"]
+            found += [(x, a + at + 1, b + at + 1) for x, a, b in inner]
+            continue
+        found.append((n, at, len(lines) - 1))
+    return lines, found
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_made_scripts_have_exact_lines(seed):
+    lines, found = made_script(random.Random(seed))
+    for typed in (True, False):
+        assert sorted((x[0], x[2] - 1, x[3] - 1) for x in parse_script("\n".join(lines), typed)[0]) == sorted(found)
+
+
+LONG = {
+    "string": 'var s = "' + "x\\n" * 330_000 + '";\nfunction f() {\n}\n', "quotes": '"' * 10**6, "templates": "`${" * 300_000, "braces": "{" * 500_000 + ")" * 500_000, "closing": "(" * 500_000 + "}" * 500_000,
+    "tags": "x = <a " * 150_000, "slashes": "= /" * 300_000, "imports": "import a\n" * 110_000, "requires": "const x = require(" * 60_000, "constants": "const a = <" * 90_000, "decorators": "class A {" + "@a " * 300_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_scripts_take_linear_time(name):
+    for typed in (True, False):
+        began = time.process_time()
+        symbols = parse_script(LONG[name], typed, not typed)[0]
+        assert time.process_time() - began < 10
+    assert name != "string" or [x[:4] for x in symbols] == [("f", "function", 2, 3)]
+
+
+def test_a_parser_that_hangs_or_dies_costs_one_file(spark):
+    def odd(text):
+        while text == "hang":
+            pass
+        if text == "die":
+            os._exit(1)
+        if text == "raise":
+            raise KeyError("no")
+        return [(text, "function", 1, 1, "", None, True)], [], None
+
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(["a", "hang", "b", "die", "c", "raise", None])], "file_id string, content string").coalesce(1)
+    got = {r["file_id"]: ([s["name"] for s in r["symbols"]], r["parse_error"]) for r in parse.extract(files, odd, seconds=1.0).collect()}
+    assert got == {"0": (["a"], None), "1": ([], "TimeoutError: parsing took over 1 s"), "2": (["b"], None), "3": ([], "ParseError: the parser's process ended"), "4": (["c"], None), "5": ([], "ParseError: 'no'"), "6": ([""], None)}
+
+
 CASES = [
     ("app/features/views.py", "Python", "..models.user", True, "app/models/user.py", "internal"), ("src/components/Header.tsx", "TypeScript", "../utils/format", True, "src/utils/format.ts", "internal"),
     ("src/components/Header.tsx", "TypeScript", "axios", False, None, "external"), ("app/features/views.py", "Python", "os.path", False, None, "stdlib"), ("app/features/views.py", "TypeScript", "os", False, None, "external"),
