@@ -7,6 +7,9 @@ subsequence, and lines that both share are deleted as template text. A neighbour
 it and no template, so then the other neighbour is taken, or nothing is deleted. Where an article or main element holds at least half of
 a page's text, what stands beside it goes, and its own lines stay even if the neighbour quotes the same passage.
 
+A form about half of the text and more is how a page is made (all of it stands in one) and no form to fill in. A menu, sidebar or the like that the page never closes ends
+where a main or article element or the first heading begins. Class names and ids count as wholes (`site-header`, `share-buttons`, but not `notice-period`), and never on headings.
+
 White space inside a block is one space; blocks are joined by an empty line. Null or empty HTML gives an empty text; cut-off, unclosed
 and odd markup is read as far as it goes; very long pages are read whole. Pages without a host, or alone on it, have no pair. Rows of one
 location, repeated ones too, have the same neighbours and never each other; of a location, the row with the least key stands for it.
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, map_columns
 
-# a tag's quoted values hold no "<", or no ">"; a tag with an odd quote ends at its first ">"
+# a tag's quoted values hold no "<", or no ">"; a tag with an odd quote ends at its first ">". Nothing is given back, so a page takes linear time.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*|(?:[^<>"']|"[^">]*"|'[^'>]*')*|[^>]*)>|<[!?][^>]*>""", re.S
+    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/><]*+)(?:((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>|((?:[^<>"']++|"[^">]*+"|'[^'>]*+')*+)>|([^>]*+)>)|<[!?][^>]*+>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
@@ -42,61 +45,97 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OF_HEAD = frozenset("title meta link style script base noscript template".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}  # p by any block
-CHROME = frozenset("nav footer aside form dialog menu button head".split())
+CHROME = frozenset("nav footer aside dialog menu button head".split())
 MAIN = frozenset("article main".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-CHROME_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side-?bar|cookies?|consent|gdpr|notice|alert|banner|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|share|sharing|social|comments?"
-    r"|respond|disqus|related|recommended|subscribe|newsletter|signup|login|popup|modal|overlay|widget|search|pagination|pager|skip|toolbar)(?:$|[-_\s])",
-    re.I,
+# Names of what isn't main text, and words that stand behind such a name without another meaning.
+_CHROME_WORDS = (
+    r"nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|sidebar|side-?bar|cookies?|consent|gdpr|notice|alert|banner|ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|share|sharing|social|comments?"
+    r"|respond|disqus|related|recommended|subscribe|newsletter|signup|login|popup|modal|overlay|widget|search|pagination|pager|skip|toolbar"
+)
+_BEHIND = (
+    r"bar|box|list|links?|slot|unit|wrap(?:per)?|container|area|section|block|buttons?|form|posts?|articles?|stories|items?|top|bottom|left|right|main|inner|outer|panel|toggle|icons?|media|content|text|thread|"
+    r"message|policy|nav|menu|header|footer|group|row|col(?:umn)?|primary|secondary|mobile|desktop|[0-9]+(?:x[0-9]+)?"
 )
+#: A class or id counts whole: such a name with words behind it that only say what it is made of (share-buttons), or, as _LAST has it, such a name at its end (site-header).
+CHROME_NAMES = re.compile(rf"(?:{_CHROME_WORDS})(?:[-_]+(?:{_BEHIND}|{_CHROME_WORDS}))+", re.I)
+_LAST = re.compile(rf"(?:^|[-_])(?:{_CHROME_WORDS})$", re.I)
 _OWN_HEADER = re.compile(r"(?:^|[-_])(?:header|masthead)$", re.I)
+_HEADER_OF_TEXT = re.compile(r"^(?:post|article|entry|story|content|news|title)[-_]+header$", re.I)
 _STATE = re.compile(r"^(?:has|with|without|no|is)[-_]|[-_](?:open|closed)$", re.I)  # classes that say what else a page has
 _COMMENT = re.compile(r"(?:^|\s)(?:comments?|reply|response)(?:$|\s)", re.I)
 
 
+def _is_chrome_name(name: str) -> bool:
+    return bool((_LAST.search(name) or CHROME_NAMES.fullmatch(name)) and not _HEADER_OF_TEXT.search(name))
+
+
+def _never_closed(html: str) -> set[str]:
+    """Elements about a text that are opened more often than closed."""
+    low = html.lower()
+    return {t for t in ("nav", "aside", "header", "footer", "dialog", "menu") if len(re.findall(rf"<{t}[\s>]", low)) > low.count(f"</{t}")}
+
+
 def blocks(html: str | None) -> tuple[list[str], list[bool]]:
     """Texts of the blocks that may be main text, in page order, and whether each stands in an article or main element."""
     html = html or ""
     texts: list[str] = []
     inside: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, chrome, main; with what is around it
+    forms: list[int] = []  # the number of the outermost form about a block, or 0
+    stack: list[tuple[str, bool, bool, int]] = []  # element, chrome, main, form; with what is around it
+    places: dict[str, list[int]] = {}  # where in the stack an element is
     held: list[str] = []
     chrome = main = False
+    form = n_forms = 0
+    unclosed = _never_closed(html)
+    without_end: set[str] = set()  # skipped elements that nothing closes any more
 
     def flush() -> None:
         if held:
             if not chrome and (t := " ".join(unescape("".join(held)).split())):
                 texts.append(t)
                 inside.append(main)
+                forms.append(form)
             held.clear()
 
-    at, end = 0, len(html)
+    def cut(k: int) -> None:
+        """Leaves the stack's elements from the k-th on."""
+        nonlocal chrome, main, form
+        for x in stack[k:]:
+            places[x[0]].pop()
+        del stack[k:]
+        _, chrome, main, form = stack[-1] if stack else ("", False, False, 0)
+
+    at, end, last = 0, len(html), html.rfind(">")
     while at < end:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, last + 1) if at <= last else None
         if not m:
             rest = html[at:]
-            cut = rest.rfind("<")  # markup cut off at the end of the page
-            held.append(rest[:cut] if cut >= 0 and re.match(r"<[/!?A-Za-z]", rest[cut:] + "x" if len(rest) == cut + 1 else rest[cut:]) else rest)
+            if (comment := rest.find("<!--")) >= 0:
+                rest = rest[:comment]
+            mark = rest.rfind("<")  # markup cut off at the end of the page
+            held.append(rest[:mark] if mark >= 0 and re.match(r"<[/!?A-Za-z]", rest[mark:] + "x" if len(rest) == mark + 1 else rest[mark:]) else rest)
+            break
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            held.append(html[at : m.start()])
             break
         held.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, inner = m[2].lower(), m[3] or m[4] or m[5]
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    _, chrome, main = stack[-1] if stack else ("", False, False)
-                    break
+            if places.get(tag):
+                cut(places[tag][-1])
             continue
         if tag in SKIPPED:
             if tag not in ("svg", "math"):
                 flush() if tag not in INLINE else None
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = None if tag in without_end else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(html, at)
+            if close is None:
+                without_end.add(tag)
             at = close.end() if close else end if tag in ("script", "style") else at  # others without an end hold nothing
             continue
         if tag == "br":
@@ -105,28 +144,31 @@ def blocks(html: str | None) -> tuple[list[str], list[bool]]:
             if tag == "hr":
                 flush()
             continue
-        if tag in INLINE and not m[3]:
+        if tag in INLINE and not inner:
             continue
         if tag not in INLINE and stack:
-            opened = next((k for k, x in enumerate(stack) if x[0] == "head"), None)
-            if opened is not None and tag not in OF_HEAD:
+            if places.get("head") and tag not in OF_HEAD:
                 flush()
-                del stack[opened:]
+                cut(places["head"][0])
             elif stack[-1][0] == "p" or tag in ENDED_BY.get(stack[-1][0], ()):
                 flush()
-                stack.pop()
-            _, chrome, main = stack[-1] if stack else ("", False, False)
-        attributes = {a[0].lower(): a[1].strip("\"'") for a in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        names = [x for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not _STATE.search(x)]
-        named = " ".join(x for x in names if not ((main or tag in HEADINGS) and _OWN_HEADER.search(x)))
-        is_main = tag in MAIN or attributes.get("role", "").lower() == "main"
+                cut(len(stack) - 1)
+        attributes = {a[0].lower(): a[1].strip("\"'") for a in _ATTRIBUTE.findall(inner)} if inner else {}
+        role = attributes.get("role", "").lower()
+        is_main = tag in MAIN or role == "main"
+        if (is_main or tag == "h1") and (around := [places[t][0] for t in unclosed if places.get(t)]):
+            flush()
+            cut(min(around))
+        names = [x for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() if not _STATE.search(x)] if tag not in HEADINGS else []
+        if main:
+            names = [x for x in names if not _OWN_HEADER.search(x)]
         is_chrome = (
             tag in CHROME
             or (tag == "header" and not main)
-            or attributes.get("role", "").lower() in CHROME_ROLES
+            or role in CHROME_ROLES
             or "hidden" in attributes
             or "display:none" in attributes.get("style", "").replace(" ", "")
-            or (tag not in ("body", "html", "main") and bool((_COMMENT if tag == "article" else CHROME_NAMES).search(named)))
+            or (tag not in ("body", "html", "main") and (bool(_COMMENT.search(" ".join(names))) if tag == "article" else any(map(_is_chrome_name, names))))
         )
         if tag in INLINE and not is_chrome:
             continue
@@ -134,10 +176,19 @@ def blocks(html: str | None) -> tuple[list[str], list[bool]]:
             flush()
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not is_chrome:
             continue  # they close themselves, so they never hold what follows
-        stack.append((tag, chrome or is_chrome, main or is_main))
-        _, chrome, main = stack[-1]
+        if tag == "form" and not form:
+            n_forms += 1
+            form = n_forms
+        stack.append((tag, chrome or is_chrome, main or is_main, form))
+        places.setdefault(tag, []).append(len(stack) - 1)
+        _, chrome, main, form = stack[-1]
     flush()
-    return texts, inside
+    # a form about most of the page is how the page is made, and no form to fill in
+    size, total = {}, sum(map(len, texts))
+    for t, f in zip(texts, forms, strict=True):
+        size[f] = size.get(f, 0) + len(t)
+    kept = [not f or 2 * size[f] >= total for f in forms]
+    return [t for t, k in zip(texts, kept, strict=True) if k], [i for i, k in zip(inside, kept, strict=True) if k]
 
 
 def aligned(a: list[int], b: list[int]) -> set[int]:

@@ -18,6 +18,8 @@ equal results; rows without a key and rows that share one are treated like other
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ ENDINGS = {"Latin": ("na", "rin"), "Cyrillic": ("на", "рин"), "Greek": ("ν
 CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 PARTS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
+    # from the first of its letters on, with up to 127 labels, as host names have: Java's engine takes stack for each repeat of a group, so no group repeats without bound
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,}",
+    "secret": r"(?:(?<![0-9A-Za-z])|(?<=(?<![0-9A-Za-z])0[xX]))[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     # with a bracketed area code; 3-3-4 digits; a zero and an area code; eight to fifteen digits behind a plus
     "phone": r"(?<![0-9A-Za-z])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
     r"|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}|\+[0-9](?:(?:[ .-]?\(|\)[ .-]?|[ .-])?[0-9]){7,14})(?![0-9A-Za-z])",
@@ -50,7 +53,9 @@ PARTS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.? (?!(?:{TITLES})\b)\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
-ANY = "|".join(f"(?:{x})" for x in PARTS.values())
+#: No entity begins behind a Latin letter, but for those that its own pattern lets: this is seen first, as it rules most places out.
+_BEGIN = r"(?:(?<![A-Za-z])|\G|(?<=0[xX]))"
+ANY = _BEGIN + "(?:" + "|".join(f"(?:{x})" for x in PARTS.values()) + ")"
 
 
 def kind_of(shown: Column) -> Column:
@@ -99,7 +104,7 @@ def canonical(kind: Column, shown: Column) -> Column:
 
 def _chars(shown: Column, each) -> Column:
     """each(character, its place from 1) for every character, joined."""
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(shown)), lambda i: each(F.substring(shown, i, F.lit(1)), i)), "")
+    return F.array_join(F.transform(F.filter(F.split(shown, ""), lambda c: c != ""), lambda c, i: each(c, i + 1)), "")
 
 
 def _hex(stream: Column, at: Column) -> Column:
@@ -108,7 +113,7 @@ def _hex(stream: Column, at: Column) -> Column:
 
 def _number(stream: Column, at: Column) -> Column:
     """A number below 65536 from the stream, for place `at`."""
-    return F.conv(F.concat(*(_hex(stream, at * 4 + k) for k in range(4))), 16, 10).cast("int")
+    return F.conv(F.substring(stream, F.pmod(at, F.lit(32)).cast("int") * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
 def _letter(stream: Column, at: Column, code: int = 97) -> Column:
@@ -184,7 +189,7 @@ def _email(shown: Column, stream: Column, attempt: Column) -> Column:
 
     def each(c: Column, i: Column) -> Column:
         return (
-            F.when(c.rlike("[a-z]"), _letter(stream, i)).when(c.rlike("[A-Z]"), _letter(stream, i, 65)).when(c.rlike("[0-9]"), F.pmod(_number(stream, i), F.lit(10)).cast("string")).otherwise(c)
+            F.when(c.between("a", "z"), _letter(stream, i)).when(c.between("A", "Z"), _letter(stream, i, 65)).when(c.between("0", "9"), F.pmod(_number(stream, i), F.lit(10)).cast("string")).otherwise(c)
         )
 
     more = F.when(attempt > 3, F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: _letter(stream, i + 7)), "")).otherwise("")
@@ -192,14 +197,15 @@ def _email(shown: Column, stream: Column, attempt: Column) -> Column:
 
 
 def _secret(shown: Column, stream: Column) -> Column:
-    return _chars(shown, lambda c, i: F.when(c.rlike("[a-f]") | (c.rlike("[0-9]") & (F.upper(shown) != shown)), _hex(stream, i)).otherwise(F.upper(_hex(stream, i))))
+    some_low = F.upper(shown) != shown
+    return _bind(some_low, lambda low: _chars(shown, lambda c, i: F.when(c.between("a", "f") | (c.between("0", "9") & low), _hex(stream, i)).otherwise(F.upper(_hex(stream, i)))))
 
 
 def _word(shown: Column, gender: Column, stream: Column, attempt: Column) -> Column:
     """A word of a name, of three syllables and one more for each further attempt, so there are always enough of them."""
 
     def by_script(script: str) -> Column:
-        syllables = F.array(*(F.lit(x) for x in SYLLABLES[script]))
+        syllables = F.split(F.lit(" ".join(SYLLABLES[script])), " ")
         pick = lambda j: F.get(syllables, F.pmod(_number(stream, j), F.lit(len(SYLLABLES[script]))))
         female, male = ENDINGS[script]
         own = {"Latin": F.lit(""), "Cyrillic": F.when(F.lower(shown).rlike("[ая]$"), female).otherwise(male), "Greek": F.when(F.lower(shown).rlike("[ςσ]$"), male).otherwise(female)}[script]
@@ -249,9 +255,8 @@ def pattern_of(text: Column) -> Column:
     Texts without a digit, an @, a form of address and 32 letters of hexadecimal digits can't hold any, which is quicker to see.
     """
     may = text.rlike(r"[0-9@]|[A-Fa-f]{32}")
-    titled = F.lit(False)
-    for title in FEMALE + MALE + EITHER:
-        titled = titled | text.contains(title + " ") | text.contains(title + ". ")
+    titles = FEMALE + MALE + EITHER
+    titled = functools.reduce(Column.__or__, (text.contains(x) for x in titles if not any(x != y and x.startswith(y) for y in titles)))
     words = F.array_distinct(F.transform(_names(F.regexp_extract_all(text, F.lit(PARTS["name"]), F.lit(0))), lambda n: n["word"]))
     forms = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.initcap(w), F.upper(w)))))
     bare = F.concat(F.lit(f"{ANY}|(?:(?<!\\p{{L}})(?=\\p{{Lu}})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L}))"))
@@ -319,9 +324,9 @@ def replace(df: DataFrame, secret: str, key: str = "doc_id", text: str = "text")
         return out.withColumn("_found", entities_in(F.col("_text"), F.col("_pattern")))
 
     names = F.when(F.exists("_found", lambda x: x.rlike(_TITLED)), _names(F.col("_found"))).otherwise(_names(F.array().cast("array<string>")))
-    texts = scanned(df.select(df[text].alias("_text"))).filter(F.size("_found") > 0)
+    texts = scanned(df.select(df[text].alias("_text")))
     each = F.flatten(F.transform("_found", lambda s: units(s, F.col("_names"))))
-    rows = texts.withColumn("_names", names).select(*hashes(F.col("_text")), F.explode(F.array_distinct(F.transform(each, lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon"))))).alias("_u"))
+    rows = texts.withColumn("_names", names).select(*hashes(F.col("_text")), F.explode(F.transform(each, lambda u: F.struct(u["kind"].alias("kind"), u["canon"].alias("canon")))).alias("_u"))
     rows = durable(rows.select("_h", "_g", "_u.*"), "pii-found")
     further = durable(attempts(rows.select("kind", "canon"), secret).filter("attempt > 0"), "pii-further")
     # a row travels as one struct, so its columns can have any names

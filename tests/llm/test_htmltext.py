@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import xxhash
@@ -147,3 +148,36 @@ def test_large_hosts_are_dealt_out(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"own {i}" for i in range(300)}
     assert re.match("own", got[0])
+
+
+def text_of(html):
+    return htmltext.blocks(html)[0]
+
+
+def test_what_only_looks_like_chrome():
+    body = "<p>One two three.</p><p>Four five six seven.</p>"
+    assert text_of(f"<body><form id=aspnet action='/'><div>{body}<label>Go</label></div></form></body>")[:2] == ["One two three.", "Four five six seven."]
+    assert text_of(f"<article>{body}</article><form><label>Mail</label><input></form>") == ["One two three.", "Four five six seven."]
+    assert text_of(f"<nav><ul><li>Home<li>News</ul><article><h1>Title</h1>{body}</article>") == ["Title", "One two three.", "Four five six seven."]
+    assert text_of(f"<nav><h1>Menu</h1></nav><aside>Side<h1>Title</h1>{body}") == ["Title", "One two three.", "Four five six seven."]
+    for odd in ('<h2 id="search">X</h2>', '<h2 id="social-context">X</h2>', '<section id="related-work">X</section>', '<div class="notice-period">X</div>', '<div class="search-algorithms">X</div>'):
+        assert text_of(f"<article>{odd}{body}</article>")[0] == "X", odd
+        assert text_of(f"<div>{odd}{body}</div>")[0] == "X", odd
+    assert text_of(f'<div class="post-header"><h1>Title</h1></div>{body}')[0] == "Title"
+    assert text_of(f'<div class="site-header">X</div>{body}') == ["One two three.", "Four five six seven."]
+    for chrome in ('<div class="ad">X</div>', '<div id="share-buttons">X</div>', '<section class="comments-area">X</section>', '<div class="cookie-notice">X</div>', '<ul class="related-posts"><li>X</ul>', '<div class="ad-300x250">X</div>'):
+        assert text_of(f"<article>{body}{chrome}</article>") == text_of(f"{chrome}{body}") == ["One two three.", "Four five six seven."], chrome
+
+
+ADVERSE = {
+    "tags without an end": "<a" * 500_000, "quotes": '<a "' * 250_000, "more quotes": "<a \"'>" * 200_000, "open": "<div>" * 200_000, "selects": "<select>" * 125_000, "closing": "<div>" * 100_000 + "</p>" * 100_000, "comments": "<!--" * 250_000,
+    "marks": "<!" * 500_000, "headings": "<nav><h1>" * 100_000, "forms": "<form>" * 150_000, "names": '<p class="' + "ad-" * 300_000 + '">', "entities": "&amp" * 250_000, "lists": "<ul><li>" * 120_000, "scripts": "<script>" * 120_000,
+}
+
+
+def test_long_odd_pages_take_linear_time():
+    for name, html in ADVERSE.items():
+        began = time.process_time()
+        htmltext.blocks(f"<p>before {html}")
+        htmltext.blocks(f"<p>before {html}> <p>after")
+        assert time.process_time() - began < 15, name

@@ -156,3 +156,13 @@ def test_forms_that_no_table_holds(spark):
     assert digits[4] == digits[5] and digits[0] == digits[1] == digits[2] and digits[3].startswith("44")
     long, short = (got[len(phones) + i][0][4:-9].lower() for i in (1, 0))
     assert [g.lstrip("0") for g in long.split(":") if g != "0000"] == [g for g in short.split(":") if g]
+
+
+def test_long_odd_texts_need_no_stack(spark):
+    million = 10**6
+    texts = [
+        "x@" + "a." * 4000 + "com", "x@" + "a." * (million // 2) + "com", "a" * million, "a." * (million // 2), "x@" * (million // 2), "1" * million, "1." * (million // 2), "12 " * (million // 3), "+1" * (million // 2), "a:" * (million // 2), "f" * million + "g",
+        "0123456789abcdef" * (million // 16), "Mr. " * (million // 4), "Mr. A" + "b" * million, "(" * million, "0x" * (million // 2), "x@y.com " * 5000, "é" * million,
+    ]
+    out = {r["doc_id"]: r["text"] for r in pii.replace(docs(spark, texts), "k").collect()}
+    assert len(out) == len(texts) and out[0] == texts[0] and out[11] != texts[11] and len(out[11]) == len(texts[11]) and out[3] == texts[3]
