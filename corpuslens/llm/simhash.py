@@ -195,7 +195,10 @@ def marks(shingles: np.ndarray, places: int = 24) -> list[tuple[int, list[int]]]
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits.astype(np.int32), first, axis=0)
         value = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        out.append((level, _mix(_mix(value + _P * (place[first] + _ONE)) + np.uint64(level)).view(np.int64).tolist()))
+        own = _mix(_mix(value + _P * (place[first] + _ONE)) + np.uint64(level)).view(np.int64).tolist()
+        if n < 12:  # so few places that all can differ; any one shingle in common is enough
+            own = sorted({*own, *_mix(shingles + np.uint64(int(_R) * (level + 1) % 2**64)).view(np.int64).tolist()})
+        out.append((level, own))
     return out
 
 
@@ -210,53 +213,61 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+_SEEDS = _mix(np.arange(1, 129, dtype=np.uint64) * _P)
+_ODD = _mix(_SEEDS) | _ONE
+
+
+def signature(shingles: np.ndarray) -> bytes:
+    """128 positional bytes of a set: at each place, a byte of the least of its hashes under the place's own order. Two sets share a byte with about their similarity."""
+    least = np.full(len(_SEEDS), np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[at : at + 2048, None] ^ _SEEDS) * _ODD).min(axis=0))
+    return (_mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def least_bytes(least: float, places: int = 128) -> int:
+    """Shared bytes that a pair at similarity `least` has but for one pair in 100,000: the mean less four and a half deviations."""
+    return int(np.ceil(places * least - 4.5 * np.sqrt(places * least * (1 - least))))
+
+
 def _tally(mark: int, members: list[dict], needed: dict[int, int], least: float) -> list[tuple[bytes, bytes]]:
-    """Links between the members (cls, component, level, marks, shingles) of a posting that join different components.
+    """Links between the members (cls, component, level, marks, shingles, bytes) of a posting that join different components.
 
-    Pairs that share too few marks are dropped by the tally, and so are pairs that share an earlier mark, which another posting
-    tests. Of a member, the sets of all partners that are left are counted against its own at once.
+    For each member, the positional bytes that it shares with all later ones are tallied at once; pairs below the least number are dropped. Of the rest,
+    pairs that share too few marks go, and pairs that share an earlier mark, which another posting tests. What is left is verified on the whole sets.
     """
-    def numbered(arrays: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-        ends = np.cumsum([0, *map(len, arrays)])
-        values, ids = np.unique(np.concatenate(arrays), return_inverse=True)
-        return values, [ids[a:b].astype(np.int32) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def shared(flags: np.ndarray, arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-        parts = [arrays[k] for k in at]
-        return np.add.reduceat(flags[np.concatenate(parts)].astype(np.int64), np.r_[0, np.cumsum([len(x) for x in parts])[:-1]])
-
-    values, own_marks = numbered([np.asarray(m["marks"], np.int64) for m in members])
-    earlier = values < mark
-    shingles, sets = numbered([np.asarray(m["shingles"], np.int64) for m in members])
+    sets = [np.frombuffer(m["shingles"], np.uint64) for m in members]
     size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")  # partners of a like size are neighbours
+    size = size[order]
+    members, sets = [members[k] for k in order], [sets[k] for k in order]
+    prints = np.frombuffer(b"".join(m["bytes"] for m in members), np.uint8).reshape(len(members), -1)
+    marks_of = [frozenset(m["marks"]) for m in members]
     group = np.unique([m["component"].hex() for m in members], return_inverse=True)[1]
-    has, own, least_marks, links = np.zeros(len(values), bool), np.zeros(len(shingles), bool), needed[members[0]["level"]], []
+    enough, needs, links = least_bytes(least, prints.shape[1]), needed[members[0]["level"]], []
     for i in range(len(members) - 1):
-        j = np.arange(i + 1, len(members))
-        j = j[(group[j] != group[i]) & (np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
-        if len(j):
-            has[own_marks[i]] = True
-            j = j[(shared(has, own_marks, j) >= least_marks) & (shared(has & earlier, own_marks, j) == 0)]
-            has[own_marks[i]] = False
-        if len(j):
-            own[sets[i]] = True
-            both = shared(own, sets, j)
-            own[sets[i]] = False
-            for k in j[both >= least * (size[i] + size[j] - both)].tolist():
-                if group[k] != group[i]:  # no partner yet has joined the two
-                    links.append((members[i]["cls"], members[k]["cls"]))
-                    group[group == group[k]] = group[i]
+        end = np.searchsorted(size, size[i] / least + 1e-9, side="right")
+        j = i + 1 + np.flatnonzero(group[i + 1 : end] != group[i])
+        if not len(j):
+            continue
+        j = j[np.count_nonzero(prints[j] == prints[i], axis=1) >= enough]
+        for k in j.tolist():
+            both = marks_of[i] & marks_of[k]
+            if group[k] != group[i] and len(both) >= needs and min(both) >= mark and similarity(sets[i], sets[k]) >= least:
+                links.append((members[i]["cls"], members[k]["cls"]))
+                group[group == group[k]] = group[i]
     return links
 
 
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, places: int = 24, most: int = 512) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, places: int = 24, most: int = 2048, most_shingles: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """(prints: key and cls of each row of df; components: node (a cls) and component, for classes that are linked to others).
 
     Rows with equal shingle sets are one class. Classes link at a similarity of `least` and more. The index holds each class under its positional
     marks; within a posting, shared marks are tallied, pairs below the needed number are dropped, and the rest is
     verified on the whole shingle sets, in the posting's task. At a similarity of 0.8 a mark is shared with probability 0.41 to 0.64, so of 24 marks three are
-    shared but for one pair in 2000; sets of fewer places need fewer. Each posting first tests its members against its least one; only
-    members that this leaves in different components are tallied pair by pair, in blocks where a posting has more than `most`.
+    shared but for one pair in 2000; sets of fewer places need fewer, and those of under 12 shingles have each shingle as a mark too. Each posting first tests its members
+    against its least one; only members that this leaves in different components are tallied pair by pair, on 128 positional bytes of their sets (`signature`), in blocks where a
+    posting has more than `most` members or `most_shingles` shingles. A block holds each set once.
     """
     kind = df.schema[key].dataType.simpleString()
     needed = {v: 3 if v >= 5 else 2 if v == 4 else 1 for v in range(64)}
@@ -287,10 +298,16 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rest = durable(named.join(mixed, "mark"), "near-rest")
     if rest.isEmpty():
         return prints, found
-    full = rest.join(classes.select("cls", "level", "marks"), ["cls", "level"]).join(_sets(df, classes, rest, key, text, width), "cls")
-    blocks = F.ceil(F.col("n") / most).cast("int")
-    full = full.withColumn("_b", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    full = full.groupBy("mark", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("cls", "component", "level", "marks", "shingles")).alias("members"))
+    known = _sets(df, classes, rest, key, text, width)
+
+    def signed(ids: list, sets: list) -> dict[str, list]:
+        return {"cls": ids, "shingles": sets, "bytes": [signature(np.frombuffer(x, np.uint64)) for x in sets]}
+
+    full = rest.join(classes.select("cls", "level", "marks"), ["cls", "level"]).join(map_columns(known, ["cls", "shingles"], "cls binary, shingles binary, bytes binary", signed), "cls")
+    sums = rest.join(known.select("cls", (F.octet_length("shingles") / 8).alias("_size")), "cls").groupBy("mark").agg(F.ceil(F.greatest(F.count("*") / most, F.sum("_size") / most_shingles)).cast("int").alias("_n"))
+    blocks = F.col("_n")
+    full = full.join(sums, "mark").withColumn("_b", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    full = full.groupBy("mark", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("cls", "component", "level", "marks", "shingles", "bytes")).alias("members"))
 
     def pairs(keys: list, members: list) -> dict[str, list]:
         got = [x for k, m in zip(keys, members, strict=True) for x in _tally(k, m, needed, least)]
@@ -307,9 +324,9 @@ def _sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, key: str, text:
 
     def sets(wanted: list, texts: list) -> dict[str, list]:
         got = [(c, s) for c, t in zip(wanted, texts, strict=True) if _class(s := shingle_set(t, width)) == c]
-        return {"cls": [c for c, _ in got], "shingles": [s.view(np.int64) for _, s in got]}
+        return {"cls": [c for c, _ in got], "shingles": [s.tobytes() for _, s in got]}
 
-    return durable(map_columns(texts, ["cls", "_text"], "cls binary, shingles array<long>", sets).dropDuplicates(["cls"]), "near-sets")
+    return durable(map_columns(texts, ["cls", "_text"], "cls binary, shingles binary", sets).dropDuplicates(["cls"]), "near-sets")
 
 
 def _verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, width: int, least: float) -> DataFrame:
@@ -319,7 +336,7 @@ def _verified(df: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, tex
     a, b = (known.select(F.col("cls").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
 
     def check(a: list, b: list, x: list, y: list) -> dict[str, list]:
-        good = [similarity(np.asarray(s, np.int64), np.asarray(t, np.int64)) >= least for s, t in zip(x, y, strict=True)]
+        good = [similarity(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) >= least for s, t in zip(x, y, strict=True)]
         return {"a": [v for v, g in zip(a, good, strict=True) if g], "b": [v for v, g in zip(b, good, strict=True) if g]}
 
     return durable(map_columns(pairs.join(a, "a").join(b, "b"), ["a", "b", "_a", "_b"], "a binary, b binary", check), "near-links")

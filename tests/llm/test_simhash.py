@@ -131,3 +131,34 @@ def test_marks_meet_at_the_similarity():
             need = lambda v: 3 if v >= 5 else 2 if v == 4 else 1
             lost += not any(len(set(a[v]) & set(b[v])) >= need(v) for v in a.keys() & b.keys())
     assert lost <= 2
+
+
+def test_short_sets_meet_at_the_similarity():
+    """Sets of four against five shingles and the like share a mark whenever they share a shingle."""
+    rng = np.random.default_rng(2)
+    for n in (4, 5, 8, 9):
+        for _ in range(200):
+            x = rng.integers(0, 1 << 64, n + 1, dtype=np.uint64)
+            a, b = (dict(simhash.marks(np.sort(s))) for s in (x[:n], x))
+            assert any(set(a[v]) & set(b[v]) for v in a.keys() & b.keys())
+
+
+def test_positional_bytes_tell_the_similarity():
+    rng = np.random.default_rng(3)
+    low, enough = 0, simhash.least_bytes(0.8)
+    for n in (9, 90, 5000):
+        for _ in range(100):
+            x = rng.integers(0, 1 << 64, n + n // 3, dtype=np.uint64)
+            c, d = (np.frombuffer(simhash.signature(s), np.uint8) for s in (x[:n], x[n // 9 : n + n // 9]))
+            low += (c == d).sum() < enough  # at 8 of 10
+    assert low == 0
+
+
+def test_a_passage_that_very_many_share(spark):
+    """Hundreds of long texts with most words in common, none a near copy but for the planted ones, in one posting."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    texts = {k: " ".join([*passage, *(f"w{k}.{i}" for i in range(120))]) for k in range(300)}
+    texts |= {1000 + k: texts[k].replace(f"w{k}.{rng.randrange(120)}", "changed") for k in range(0, 300, 30)}
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(spark, list(texts.items())), most=64).collect()}
+    assert kept == set(range(300))
