@@ -1,9 +1,9 @@
 """Frameworks that a repository's manifests name. files: repository_id, path, content."""
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,24 +60,44 @@ def frameworks(files: DataFrame) -> DataFrame:
     return files.select("repository_id").distinct().join(sets, "repository_id", "left").withColumn("frameworks", F.coalesce("frameworks", none))
 
 
-def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str, most_short: int = 1000) -> DataFrame:
-    """Rows of texts and items where the text contains the item's text.
+def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str, most_chars: int = 1 << 20) -> DataFrame:
+    """Rows of texts and items where the text contains the item's text. Blank items are in none.
 
     Items of seven words and more meet texts on their second to sixth word, which stand whole in any text that contains them, so
-    this is an equi-join. Shorter ones are tested against each text, in
-    blocks of about most_short items, of which each costs a pass over the texts.
+    this is an equi-join, for any number of items. Shorter ones become an automaton that finds all of them in one pass over a text. It is
+    built by each worker from the distinct items, which are broadcast once they are counted: where they have more than most_chars
+    characters they are cut into blocks below that, and each block costs a pass over the texts.
     """
     words = lambda c: F.split(c, r"\s+")
-    keyed = items.filter(F.trim(F.col(item_text)) != "").withColumn("_w", words(F.trim(F.col(item_text))))
+    keyed = items.filter(F.trim(F.col(item_text)) != "").withColumn("_w", words(F.trim(F.col(item_text)))).withColumn("_i", F.xxhash64(item_text))
     short, large = keyed.filter(F.size("_w") < 7), keyed.filter(F.size("_w") >= 7)
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.array_join(F.slice("_t", i + 1, F.lit(5)), " "))
     inside, names = F.contains(F.col(text), F.col(item_text)), [*texts.columns, *items.columns]
-    rows, whole = texts.withColumn("_h", F.xxhash64(text)), large.withColumn("_i", F.xxhash64(item_text))
-    met = rows.withColumn("_t", words(F.col(text))).select("_h", F.explode(F.array_distinct(runs)).alias("_key")).join(whole.select("_i", F.array_join(F.slice("_w", 2, 5), " ").alias("_key")), "_key")
-    out = met.select("_h", "_i").distinct().join(whole, "_i").join(rows, "_h").filter(inside).select(*names)  # texts travel only to what may be inside them
-    n = short.count()
-    blocks = -(-n // most_short)
+    rows = texts.withColumn("_h", F.xxhash64(text))
+    met = rows.withColumn("_t", words(F.col(text))).select("_h", F.explode(F.array_distinct(runs)).alias("_key")).join(large.select("_i", F.array_join(F.slice("_w", 2, 5), " ").alias("_key")), "_key")
+    out = met.select("_h", "_i").distinct().join(large, "_i").join(rows, "_h").filter(inside).select(*names)  # texts travel only to what may be inside them
+    distinct = short.select(F.col(item_text).alias("_s"), "_i").distinct()
+    blocks = -(-(distinct.agg(F.sum(F.char_length("_s"))).first()[0] or 0) // most_chars)
     for k in range(blocks):
-        part = short.filter(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == k) if blocks > 1 else short
-        out = out.unionByName(rows.join(F.broadcast(part), inside).select(*names))
+        part = distinct.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == k) if blocks > 1 else distinct
+        held = texts.sparkSession.sparkContext.broadcast([(r["_s"], r["_i"]) for r in part.collect()])
+        found = texts.withColumn("_found", _finder(held)(F.col(text))).select("*", F.explode("_found").alias("_i"))
+        out = out.unionByName(found.join(short, "_i").filter(inside).select(*names))
     return out
+
+
+def _finder(held):
+    """A column function: the numbers of the broadcast items (text, number) that a text contains, each once."""
+
+    @F.pandas_udf("array<long>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for s, i in held.value:
+            automaton.add_word(s, i)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({i for _, i in automaton.iter(t)}) if t else [] for t in texts], dtype="object")
+
+    return found

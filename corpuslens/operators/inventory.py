@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +13,8 @@ from corpuslens import rules
 from corpuslens.functions import scalars
 
 
-def _lookup(by_value: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for value, keys in by_value.items() for k in keys.split() for x in (k, value)]
-    return F.element_at(F.create_map(*pairs), key)
+def _lookup(values: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), key)
 
 
 def detect_language(files: DataFrame, fallback: bool = False) -> DataFrame:
@@ -120,6 +120,59 @@ def delete_repository(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("repository_id").distinct(), "repository_id", "left_anti")
 
 
+#: References between the tables: (table, column, the table that it points to, what happens to a row whose target goes). All targets have the key `id`.
+REFERENCES = (
+    ("code_file", "repository_id", "repository", "cascade"), ("symbol", "file_id", "code_file", "cascade"), ("symbol", "repository_id", "repository", "cascade"), ("dependency", "repository_id", "repository", "cascade"),
+    ("dependency", "from_file_id", "code_file", "cascade"), ("dependency", "to_file_id", "code_file", "set null"), ("code_chunk", "file_id", "code_file", "cascade"), ("code_chunk", "repository_id", "repository", "cascade"),
+    ("code_chunk", "symbol_id", "symbol", "set null"), ("repository_graph", "repository_id", "repository", "cascade"), ("analysis_job", "repository_id", "repository", "cascade"), ("chat_session", "repository_id", "repository", "cascade"),
+    ("chat_message", "session_id", "chat_session", "cascade"),
+)
+
+
+def _in_order(tables: dict[str, DataFrame], references: tuple) -> list[str]:
+    """The tables, each behind those that its rows go with."""
+    order: list[str] = []
+    while len(order) < len(tables):
+        free = [t for t in tables if t not in order and all(of in order or of not in tables for table, _, of, action in references if table == t and action == "cascade" and of != t)]
+        if not free:
+            raise ValueError("the cascades go round in a circle")
+        order += free
+    return order
+
+
+def delete_cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame, references: tuple = REFERENCES) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the tables after the rows of `table` with the ids went, the ids that it doesn't have with their error).
+
+    Rows that point to a row that goes go with it, or lose the reference, as `references` says; tables are walked from targets to what points to them. The ids that go
+    are distinct keys, so deleting is an anti-join and clearing a left join on them. Null references point to nothing. Tables that are not given are left out.
+    """
+    wanted = ids.select(F.col("id")).filter("id is not null").distinct()
+    going: dict[str, DataFrame] = {table: wanted.join(tables[table].select("id").distinct(), "id", "left_semi")}
+    missing = wanted.join(tables[table].select("id").distinct(), "id", "left_anti").select("id", F.lit(f"{table.upper()}_NOT_FOUND").alias("error"))
+    order = _in_order(tables, references)
+    for name in order:
+        parts = [going[name]] if name in going else []
+        for child, column, of, action in references:
+            if child == name and action == "cascade" and of in going and "id" in tables[name].columns:
+                parts.append(tables[name].join(going[of].select(F.col("id").alias("_gone")), F.col(column) == F.col("_gone"), "left_semi").select("id"))
+        if parts:
+            going[name] = reduce(DataFrame.unionByName, parts).distinct()
+    out = {}
+    for name in order:
+        left = tables[name]
+        if name in going and "id" in left.columns:
+            left = left.join(going[name].select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+        for child, column, of, action in references:
+            if child == name and of in going:
+                target = going[of].select(F.col("id").alias("_gone"))
+                if action == "set null":
+                    left = left.join(target, F.col(column) == F.col("_gone"), "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_gone")
+                elif "id" not in left.columns:
+                    left = left.join(target, F.col(column) == F.col("_gone"), "left_anti")
+        out[name] = left
+    return out, missing
+
+
 def directory_tree(files: DataFrame) -> DataFrame:
     """A row for each path prefix: repository_id, path, parent, name, is_file, depth, file_count and lines below; children sort by (is_file, name)."""
     parts = F.split("path", "/")

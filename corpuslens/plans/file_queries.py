@@ -70,6 +70,37 @@ def a9_delete_repository(spark, sf_dir):
     return inventory.delete_repository(d, d.filter("doc_id % 101 = 0"))
 
 
+@query(
+    """WITH gone AS (SELECT DISTINCT source AS id FROM documents WHERE doc_id % 101 = 0), d AS (SELECT doc_id, source FROM documents), l AS (SELECT DISTINCT doc_id FROM labels),
+f AS (SELECT doc_id FROM d WHERE source NOT IN (SELECT id FROM gone)), lost AS (SELECT doc_id FROM d WHERE source IN (SELECT id FROM gone)), s AS (SELECT 'src' || CAST(conv_id % 20 AS VARCHAR) AS source, conv_id, turn FROM conversations)
+SELECT 'repository' AS table_name, source AS id, NULL AS reference FROM d WHERE source NOT IN (SELECT id FROM gone) GROUP BY source
+UNION ALL SELECT 'code_file', 'f' || doc_id, NULL FROM f UNION ALL SELECT 'symbol', 's' || doc_id, NULL FROM f WHERE doc_id IN (SELECT doc_id FROM l)
+UNION ALL SELECT 'dependency', 'd' || doc_id, CASE WHEN doc_id + 7 NOT IN (SELECT doc_id FROM lost) THEN 'f' || (doc_id + 7) END FROM f
+UNION ALL SELECT 'code_chunk', 'c' || doc_id, CASE WHEN doc_id + 7 NOT IN (SELECT doc_id FROM lost WHERE doc_id IN (SELECT doc_id FROM l)) THEN 's' || (doc_id + 7) END FROM f
+UNION ALL SELECT 'chat_session', CAST(conv_id AS VARCHAR), NULL FROM s WHERE source NOT IN (SELECT id FROM gone) GROUP BY conv_id
+UNION ALL SELECT 'chat_message', conv_id || '-' || turn, NULL FROM s WHERE source NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'not found', 'nowhere', 'REPOSITORY_NOT_FOUND'"""
+)
+def a9_delete_cascade(spark, sf_dir):
+    """Repositories go with their files, symbols, imports, chunks and chats; references into them are cleared."""
+    d, labels, chats = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repository_id")), table(spark, sf_dir, "labels").select("doc_id").distinct(), table(spark, sf_dir, "conversations")
+    named = lambda letter, n: F.concat(F.lit(letter), F.col("doc_id") + n)
+    files_ = d.select(named("f", 0).alias("id"), "repository_id")
+    symbols = d.join(labels, "doc_id").select(named("s", 0).alias("id"), named("f", 0).alias("file_id"), "repository_id")
+    dependencies = d.select(named("d", 0).alias("id"), "repository_id", named("f", 0).alias("from_file_id"), named("f", 7).alias("to_file_id"))
+    chunks = d.select(named("c", 0).alias("id"), "repository_id", named("f", 0).alias("file_id"), named("s", 7).alias("symbol_id"))
+    sessions = chats.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("repository_id")).distinct()
+    messages = chats.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"))
+    tables = {"chat_message": messages, "code_chunk": chunks, "dependency": dependencies, "symbol": symbols, "code_file": files_, "chat_session": sessions, "repository": d.select(F.col("repository_id").alias("id")).distinct()}
+    ids = table(spark, sf_dir, "documents").filter("doc_id % 101 = 0").select(F.col("source").alias("id")).unionByName(spark.createDataFrame([("nowhere",)], "id string"))
+    left, missing = inventory.delete_cascade(tables, "repository", ids)
+    shown = {"dependency": "to_file_id", "code_chunk": "symbol_id"}
+    out = missing.select(F.lit("not found").alias("table_name"), "id", F.col("error").alias("reference"))
+    for name, df in left.items():
+        out = out.unionByName(df.select(F.lit(name).alias("table_name"), "id", (F.col(shown[name]) if name in shown else F.lit(None).cast("string")).alias("reference")))
+    return out
+
+
 @query(
     """SELECT d.doc_id AS file_id, CASE WHEN d.doc_id % 5 <> 0 THEN text END AS content, CASE WHEN d.doc_id % 5 = 0 THEN 'Binary file — no content preview' END AS content_error, CAST(CASE WHEN quality IS NULL THEN 0 ELSE 1 END AS INT) AS n_symbols
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
@@ -264,6 +295,19 @@ def c8_match_contains(spark, sf_dir):
     return frameworks.match_contains(table(spark, sf_dir, "documents").select("doc_id", "text"), b, "text", "item_text").select("doc_id", "item_id")
 
 
+@query(
+    """WITH w AS (SELECT DISTINCT regexp_extract(text, '([^ ]+ ){' || k || '}[^ ]+') AS item FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE doc_id % 50 = 0),
+i AS (SELECT item FROM w WHERE trim(item) <> '')
+SELECT item, count(*) AS n FROM documents d, i WHERE contains(d.text, i.item) GROUP BY item"""
+)
+def c8_many_short_items(spark, sf_dir):
+    """In how many documents the first one to four words of every fiftieth document are found: one pass over the texts for all items."""
+    d = table(spark, sf_dir, "documents")
+    item = F.explode(F.array(*(F.regexp_extract("text", f"([^ ]+ ){{{k}}}[^ ]+", 0) for k in range(4))))
+    items = d.filter("doc_id % 50 = 0").select(item.alias("item")).distinct()
+    return frameworks.match_contains(d.select("doc_id", "text"), items, "text", "item").groupBy("item").agg(F.count("*").alias("n"))
+
+
 EXT4 = ".py .ts /index.js /__init__.py".split()
 RESOLVED = f"""WITH f AS (SELECT doc_id AS file_id, doc_id, lang, lang || '/' || doc_id || {ending_sql(EXT4)} AS path, {LANGUAGE_SQL} AS from_language FROM documents),
 x AS (SELECT a.doc_id, a.from_language, b.file_id AS next FROM f a LEFT JOIN f b ON b.doc_id = a.doc_id + 1),

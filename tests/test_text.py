@@ -480,3 +480,38 @@ def test_page_bounds(spark, number, size):
 
     with pytest.raises(ValueError):
         metrics.page(spark.range(5), ["id"], number, size)
+
+
+def test_contained_items_of_any_length(spark):
+    r = random.Random(5)
+    words = ["ab", "a", "b", "ba", "c*", "é", "ab.c", "#"]
+    texts = [(i, " ".join(r.choices(words, k=r.randrange(30)))) for i in range(80)] + [(80, None), (81, ""), (82, "ab " * 50_000)]
+    items = [(i, " ".join(r.choices(words, k=1 + i % 9))) for i in range(90)] + [(90, None), (91, ""), (92, " "), (93, "ab"), (94, "ab"), (95, " a b"), (96, "b\na")]
+    want = {(a, b) for a, t in texts for b, x in items if t and x and x.strip() and x in t}
+    t, i = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(items, "i int, item string")
+    for most in (1 << 20, 40):
+        got = frameworks.match_contains(t, i, "text", "item", most_chars=most)
+        assert sorted((x["t"], x["i"]) for x in got.collect()) == sorted(want)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delete_cascade(spark):
+    t = {
+        "repository": spark.createDataFrame([("r1",), ("r2",)], "id string"), "code_file": spark.createDataFrame([("f1", "r1"), ("f2", "r2"), ("f3", None)], "id string, repository_id string"),
+        "symbol": spark.createDataFrame([("s1", "f1", "r1"), ("s2", "f2", "r2"), ("s3", "f1", "r2")], "id string, file_id string, repository_id string"),
+        "dependency": spark.createDataFrame([("d1", "r1", "f1", "f2"), ("d2", "r2", "f2", "f1"), ("d3", "r2", "f2", None), ("d4", "r2", "f2", "f2")], "id string, repository_id string, from_file_id string, to_file_id string"),
+        "code_chunk": spark.createDataFrame([("c1", "f2", "r2", "s3"), ("c2", "f2", "r2", "s2"), ("c3", "f2", "r1", None)], "id string, file_id string, repository_id string, symbol_id string"),
+        "repository_graph": spark.createDataFrame([("r1", "g1"), ("r2", "g2")], "repository_id string, nodes string"),
+    }
+    left, missing = inventory.delete_cascade(dict(reversed(t.items())), "repository", spark.createDataFrame([("r1",), ("r9",), ("r1",), (None,)], "id string"))
+    rows = {k: sorted(map(tuple, v.collect()), key=str) for k, v in left.items()}
+    assert rows == {
+        "repository": [("r2",)], "code_file": [("f2", "r2"), ("f3", None)], "symbol": [("s2", "f2", "r2")], "dependency": [("d2", "r2", "f2", None), ("d3", "r2", "f2", None), ("d4", "r2", "f2", "f2")],
+        "code_chunk": [("c1", "f2", "r2", None), ("c2", "f2", "r2", "s2")], "repository_graph": [("r2", "g2")],
+    }
+    assert [tuple(r) for r in missing.collect()] == [("r9", "REPOSITORY_NOT_FOUND")]
+    assert all(left[k].columns == t[k].columns for k in t)
+    one, _ = inventory.delete_cascade(t, "code_file", spark.createDataFrame([("f2",)], "id string"))
+    assert {k: v.count() for k, v in one.items()} == {"repository": 2, "code_file": 2, "symbol": 2, "dependency": 1, "code_chunk": 0, "repository_graph": 2}
+    with pytest.raises(ValueError, match="circle"):
+        inventory.delete_cascade({"a": t["repository"], "b": t["repository"]}, "a", t["repository"], (("a", "id", "b", "cascade"), ("b", "id", "a", "cascade")))
