@@ -61,10 +61,12 @@ def embed(df: DataFrame, text: str = "content", provider: Callable[[list[str]],
 def index_repositories(files: DataFrame, path: str, symbols: DataFrame | None = None, provider: Callable[[list[str]], list[list[float]]] = hashed_terms, size: int = 64) -> DataFrame:
     """Cuts all files that aren't binary (is_binary, where there is such a column) into chunks, embeds them, and writes them over the chunks of their repositories; gives repository_id and chunks.
 
-    A repository that has no chunk keeps what was written before.
+    A repository that has no chunk any more loses those that were written before.
     """
     kept = files.filter(~F.coalesce("is_binary", F.lit(False))) if "is_binary" in files.columns else files
     sources.replace_partitions(embed(chunking.chunk_files(kept, symbols), provider=provider, size=size), path)
+    empty = files.select("repository_id").distinct().join(chunking.chunk_files(kept, symbols).select("repository_id").distinct(), "repository_id", "left_anti")
+    sources.clear_partitions(empty, path)
     written = files.sparkSession.read.parquet(path).withColumn("repository_id", F.col("repository_id").cast(files.schema["repository_id"].dataType))
     return written.join(files.select("repository_id").distinct(), "repository_id", "left_semi").groupBy("repository_id").agg(F.count("*").alias("chunks"))
 

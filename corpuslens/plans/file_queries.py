@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -64,6 +67,21 @@ def a6_c12_upsert_files(spark, sf_dir):
     return inventory.upsert_files(d.filter("doc_id % 3 <> 0").drop("doc_id"), d.filter("doc_id % 3 <> 1").withColumn("size_bytes", F.col("size_bytes") + 1).drop("doc_id"))
 
 
+@query("SELECT 'a' || (doc_id // 64) || '.zip' AS archive, lang || '/' || doc_id || '.txt' AS path, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, sha256(coalesce(text, '')) AS content_hash, CAST(NULL AS VARCHAR) AS error FROM documents")
+def a2_expand_archives(spark, sf_dir):
+    """Archives of 64 documents each, made in tasks, and their members read back."""
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for lang, key, text in zip(rows["lang"], rows["doc_id"], rows["text"], strict=True):
+                z.writestr(f"{lang}/{key}.txt", (text or "").encode("utf-8", "surrogatepass"))
+        return pd.DataFrame({"path": [f"a{rows['doc_id'].iloc[0] // 64}.zip"], "content": [held.getvalue()]})
+
+    archives = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 64)).applyInPandas(packed, "path string, content binary")
+    return sources.expand_archives(archives).select("archive", "path", "size_bytes", F.sha2("content", 256).alias("content_hash"), "error")
+
+
 @query("SELECT source AS repository_id, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 101 = 0)")
 def a9_delete_repository(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), "doc_id")

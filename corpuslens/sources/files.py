@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,12 @@ def scan_tree(spark: SparkSession, root: str, repository: str | None = None) ->
 
 def scan_archives(spark: SparkSession, pattern: str) -> DataFrame:
     """A row for each member of each ZIP archive; an unreadable archive gives one row with error."""
+    return expand_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", "content"))
+
+
+def expand_archives(archives: DataFrame) -> DataFrame:
+    """A row for each member of each ZIP archive of archives (path, content), read one by one; an unreadable archive or member gives one row with error. Null contents give none."""
+    rows = lambda *x: pd.DataFrame([x], columns=["archive", "path", "size_bytes", "content", "error"])
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -36,11 +43,11 @@ def scan_archives(spark: SparkSession, pattern: str) -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for m in z.infolist():
                             if not m.is_dir():
-                                yield pd.DataFrame({"archive": [name], "path": [m.filename], "size_bytes": [m.file_size], "content": [z.read(m)], "error": [None]})
-                except (zipfile.BadZipFile, EOFError, RuntimeError):
-                    yield pd.DataFrame({"archive": [name], "path": [None], "size_bytes": [None], "content": [None], "error": ["CORRUPTED_ZIP"]})
+                                yield rows(name, m.filename, m.file_size, z.read(m), None)
+                except (zipfile.BadZipFile, EOFError, RuntimeError, NotImplementedError, zlib.error):
+                    yield rows(name, None, None, None, "CORRUPTED_ZIP")
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).select("path", "content").mapInPandas(members, MEMBERS)
+    return archives.filter("content is not null").select("path", "content").mapInPandas(members, MEMBERS)
 
 
 def insecure_member(name: Column) -> Column:
@@ -72,6 +79,22 @@ def replace_partitions(df: DataFrame, path: str, name: str = "repository_id", va
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
 
 
+def clear_partitions(gone: DataFrame, path: str, name: str = "repository_id") -> int:
+    """Removes the files of a Parquet table whose partition gone names; gives their number. Only names of files of these partitions reach the driver."""
+    spark = gone.sparkSession
+    table = spark.read.parquet(path)
+    keys = gone.select(F.col(name).cast("string").alias("_gone")).distinct()
+    rows = table.select(F.col(name).cast("string").alias("_own"), F.col("_metadata.file_path").alias("_file"))
+    found = [r[0] for r in rows.join(keys, F.col("_own") == F.col("_gone"), "left_semi").select("_file").distinct().collect()]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for f in found:
+        if not f.endswith(".parquet"):
+            raise ValueError(f"no file of a table: {f}")
+        place = hadoop(spark.sparkContext._jvm.java.net.URI(f))
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False)
+    return len(found)
+
+
 def append_messages(messages: DataFrame, sessions: DataFrame, path: str) -> DataFrame:
     """Messages written behind those that are there, by session; gives back the sessions with their titles."""
     none = F.array().cast("array<struct<path:string,start_line:int,end_line:int,symbol_name:string>>")
@@ -95,8 +118,13 @@ def read_events(frames: DataFrame, schema: str) -> DataFrame:
 
 
 def progress_sink(events: DataFrame, path: str, checkpoint: str):
-    """A stream of progress events as JSON files by key."""
-    return event_json(events, "repo_id", "status", "progress", "phase", "error_message").writeStream.format("parquet").partitionBy("key").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A stream of progress events as lines of JSON, in folders by batch and key. A repeated batch replaces its own folders, so each event is written once."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        rows = event_json(batch, "repo_id", "status", "progress", "phase", "error_message").withColumn("batch", F.lit(number))
+        rows.select("value", "batch", "key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "key").text(path)
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def file_detail(files: DataFrame, symbols: DataFrame) -> DataFrame:

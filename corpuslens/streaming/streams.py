@@ -111,27 +111,74 @@ def pipeline_events(runs: DataFrame) -> DataFrame:
     return rows.select("repository_id", F.col("e.i").alias("step"), "e.phase", "e.progress", status.alias("status"))
 
 
+#: Batch numbers of passes over changed files begin here, above those of any stream.
+FIRST_PASS = 10**9
+
+
+def _ingest(rows: DataFrame, out: str, number: int) -> None:
+    """Writes the files, symbols, imports, parse errors and chunks of rows as partitions of this batch. Files come last: until then nothing of the batch is current, and a repeated batch replaces it."""
+    from corpuslens.operators import chunking, parse
+    from corpuslens.sources import files
+    from corpuslens.sources.durable import durable
+
+    rows = durable(rows, "ingested")  # read once: contents are parsed, cut and listed from here
+    text = rows.filter("not is_binary").withColumn("content", F.decode(F.encode(F.expr("make_valid_utf8(cast(content as string))"), "utf-8"), "utf-8"))
+    parsed = durable(parse.parse_files(text), "parsed")
+    symbols = parsed.select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.*")
+    imports = parsed.select("file_id", F.explode("imports").alias("s")).select("file_id", "s.*")
+    tables = {
+        "symbols": symbols, "imports": parse.of_files(imports, text), "errors": parsed.filter("parse_error is not null").select("file_id", "parse_error"), "chunks": chunking.chunk_files(text), "files": rows.drop("content"),
+    }
+    for name, table in tables.items():
+        files.replace_partitions(table, f"{out}/{name}", "batch", F.lit(number))
+
+
+def _facts(binary: DataFrame, folder: str) -> DataFrame:
+    from corpuslens.operators import inventory
+    from corpuslens.sources import files
+
+    rows = inventory.keep_files(inventory.file_facts(inventory.detect_language(files.located(binary, folder))))
+    return rows.withColumn("file_id", F.sha2(F.concat_ws("|", "repository_id", "path"), 256))
+
+
 def ingest_stream(spark, folder: str, out: str, checkpoint: str, pattern: str = "*"):
-    """New files under folder go through inventory, parsing and chunking as they come, into tables files, symbols, imports and chunks below out.
+    """New files under folder go through inventory, parsing and chunking as they come, into tables files, symbols, imports, errors and chunks below out.
 
     A micro-batch writes partitions of its own number, which a repeated batch replaces, and touches no other; `current` gives the rows of
-    each file's newest batch. So a batch costs as much as its own files, however many came before. Spark's file source reads a path once, so a newer
-    version of a file comes under a new checkpoint, or by a batch job that writes a further batch number.
+    each file's newest batch. So a batch costs as much as its own files, however many came before. Spark's file source reads a path once; `ingest_changes`
+    takes up newer versions of files in the same tables.
     """
-    from corpuslens.operators import chunking, inventory, parse
-    from corpuslens.sources import files
+    schema = spark.read.format("binaryFile").load(folder).schema
+    stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return stream.writeStream.foreachBatch(lambda batch, number: _ingest(_facts(batch, folder), out, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def each(batch: DataFrame, number: int) -> None:
-        rows = inventory.keep_files(inventory.file_facts(inventory.detect_language(files.located(batch, folder))))
-        rows = rows.withColumn("file_id", F.sha2(F.concat_ws("|", "repository_id", "path"), 256))
-        text = rows.filter("not is_binary").withColumn("content", F.decode(F.encode(F.expr("make_valid_utf8(cast(content as string))"), "utf-8"), "utf-8"))
-        symbols, imports, _ = parse.parse_repository(text)
-        tables = {"files": rows.drop("content"), "symbols": symbols, "imports": parse.of_files(imports, text), "chunks": chunking.chunk_files(text)}
-        for name, table in tables.items():
-            files.replace_partitions(table, f"{out}/{name}", "batch", F.lit(number))
 
-    schema = spark.read.format("binaryFile").load(folder).schema
-    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_changes(spark, folder: str, out: str, pattern: str = "*") -> int:
+    """Files under folder that are new or have other contents than the tables below out say are ingested as a further batch; gives their number.
+
+    The state is the tables themselves: the hash of each file's current contents. Only files modified since the pass before (but for a minute, as clocks differ) are read, and
+    of these only those whose hash differs are parsed. A pass that fails leaves no trace in `current` and is made again by the next call. Files that vanished keep their rows, and so do files that became empty, which Spark's file sources leave out.
+    """
+    files_at, log = f"{out}/files", f"{out}/passes"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(p))
+    passes = spark.read.parquet(log).agg(F.max("number").alias("n"), F.max("seen").alias("seen")).first() if there(log) else None
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    if passes:
+        since = spark.createDataFrame([(passes["seen"],)], "t timestamp").select(F.date_format(F.col("t") - F.expr("INTERVAL 1 MINUTE"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+        reader = reader.option("modifiedAfter", since)
+    binary = reader.load(folder)
+    seen = binary.agg(F.max("modificationTime")).first()[0]
+    if seen is None:
+        return 0
+    rows = _facts(binary, folder)
+    if there(files_at):
+        known = current(spark, out, "files").select(F.col("file_id").alias("_id"), F.col("content_hash").alias("_hash"))
+        rows = rows.join(known, (F.col("file_id") == F.col("_id")) & (F.col("content_hash") == F.col("_hash")), "left_anti")
+    number = passes["n"] + 1 if passes else FIRST_PASS
+    _ingest(rows, out, number)
+    spark.createDataFrame([(number, seen)], "number long, seen timestamp").coalesce(1).write.mode("append").parquet(log)
+    return spark.read.parquet(files_at).filter(F.col("batch") == number).count()
 
 
 def current(spark, out: str, name: str) -> DataFrame:

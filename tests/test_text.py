@@ -381,7 +381,8 @@ def test_index_replaces_by_repository(spark, tmp_path):
     frame = lambda x: spark.createDataFrame(x, FILE + ", is_binary boolean")
     assert {tuple(r) for r in vectors.index_repositories(frame(rows), path).collect()} == {("r", 4), ("s", 1)}
     assert {tuple(r) for r in vectors.index_repositories(frame(rows[1:2]), path).collect()} == {("r", 1)}
-    assert spark.read.parquet(path).count() == 2 and len(spark.read.parquet(path).first()["embedding"]) == 64
+    blank = frame([("s", "f3", "c.py", " ", False)])  # nothing is left of a repository without a chunk
+    assert vectors.index_repositories(blank, path).collect() == [] and {r["repository_id"] for r in spark.read.parquet(path).collect()} == {"r"}
 
 
 def test_trees_archives_and_sinks(spark, tmp_path):
@@ -440,6 +441,39 @@ def test_ingest_in_two_batches_equals_one(spark, tmp_path):
     assert {(r["name"], r["start_line"], r["end_line"]) for r in streams.current(spark, str(tmp_path / "out"), "symbols").filter("name = 'g'").collect()} == {("g", 3, 4)}
 
 
+def test_changed_files_equal_one_run(spark, tmp_path):
+    """New versions under the same tables give what one run over the last tree gives."""
+    root, out = tmp_path / "tree", str(tmp_path / "out")
+    (root / "r").mkdir(parents=True)
+    for i in range(6):
+        (root / "r" / f"m{i}.py").write_text(f"import m{i - 1}\n\n\ndef f{i}():\n    pass\n")
+    streams.ingest_stream(spark, str(root), out, str(tmp_path / "cp")).awaitTermination()
+    (root / "r" / "m1.py").write_text("def other():\n    pass\n")
+    (root / "r" / "m2.py").write_text("\n")
+    (root / "r" / "m3.py").write_text("def broken(:\n")
+    (root / "r" / "m9.py").write_text("import m1\n")
+    assert streams.ingest_changes(spark, str(root), out) == 4
+    assert streams.ingest_changes(spark, str(root), out) == 0
+    (root / "r" / "m3.py").write_text("import m9\n")
+    assert streams.ingest_changes(spark, str(root), out) == 1
+    assert streams.ingest_changes(spark, str(root), str(tmp_path / "once")) == 7
+    for name in ("files", "symbols", "imports", "chunks", "errors"):
+        a, b = (streams.current(spark, o, name) for o in (out, str(tmp_path / "once")))
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0, name
+    assert {r["name"] for r in streams.current(spark, out, "symbols").collect()} == {"other", "f4", "f5"}
+    assert streams.current_graph(spark, out)[1].count() == 4
+
+
+def test_sink_writes_an_event_once(spark, tmp_path):
+    one = spark.createDataFrame([("r", "running", 10, "p", None), ("s", "ready", 100, "q", None)], "repo_id string, status string, progress int, phase string, error_message string")
+    one.coalesce(1).write.parquet(str(tmp_path / "in"))
+    live = lambda: spark.readStream.schema(one.schema).parquet(str(tmp_path / "in"))
+    for checkpoint in ("a", "b"):  # without its checkpoint, the first batch is made again
+        sources.progress_sink(live(), str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination()
+    got = spark.read.text(str(tmp_path / "out"))
+    assert sorted((r["key"], r["value"]) for r in got.collect()) == [("r", '{"repo_id":"r","status":"running","progress":10,"phase":"p"}'), ("s", '{"repo_id":"s","status":"ready","progress":100,"phase":"q"}')]
+
+
 EVENT = "key string, event_id long, ts timestamp, status string, progress int, phase string"
 
 
