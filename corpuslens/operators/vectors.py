@@ -142,6 +142,98 @@ def ivf_search(queries: DataFrame, indexed: DataFrame, centres: list[list[float]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows of length one; zero ones stay zero."""
+    x = np.array([np.asarray(v, dtype="float64") for v in vectors]) if len(vectors) else np.zeros((0, 0))
+    with np.errstate(all="ignore"):
+        return np.nan_to_num(x / np.sqrt((x * x).sum(1))[:, None]) if x.size else x
+
+
+def pq_books(chunks: DataFrame, parts: int = 16, codes: int = 256, most_values: int = 5_000_000, rounds: int = 10, seed: int = 5) -> list[np.ndarray]:
+    """For each of `parts` runs of a vector's numbers, up to `codes` centres, by k-means on a sample.
+
+    The sample is those chunks whose id has the least hash, as many as have most_values numbers together (40 MB), so its size and the driver's work are bounded; every chunk gets
+    codes. chunks: chunk_id, embedding of one length; null, empty and zero vectors aren't sampled.
+    """
+    some = chunks.filter(F.exists("embedding", lambda x: x != 0))
+    size = some.select(F.max(F.size("embedding"))).first()[0] or 0
+    if not size:
+        return []
+    rows = some.select("embedding", F.xxhash64("chunk_id").alias("_h")).orderBy("_h").limit(max(1, most_values // size)).collect()
+    x, rng, books = _unit(pd.Series([r["embedding"] for r in rows])), np.random.default_rng(seed), []
+    for run in np.array_split(np.arange(size), min(parts, size)):
+        own = x[:, run]
+        centres = own[rng.permutation(len(own))[:codes]]
+        for _ in range(rounds):
+            near = np.argmin((centres * centres).sum(1) - 2 * own @ centres.T, axis=1)
+            n = np.bincount(near, minlength=len(centres))
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, own)
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        books.append(centres)
+    return books
+
+
+def pq_index(chunks: DataFrame, books: list[np.ndarray]) -> DataFrame:
+    """repository_id, chunk_id and codes, a byte for each run of numbers, of every chunk that has a direction."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("binary")
+    def coded(vectors: pd.Series) -> pd.Series:
+        x, at, out = _unit(vectors), 0, []
+        for centres in books:
+            own = x[:, at : at + centres.shape[1]]
+            out.append(np.argmin((centres * centres).sum(1) - 2 * own @ centres.T, axis=1).astype(np.uint8))
+            at += centres.shape[1]
+        return pd.Series([r.tobytes() for r in np.stack(out, axis=1)] if len(x) else [], dtype="object")
+
+    some = chunks.filter(F.exists("embedding", lambda x: x != 0))
+    return some.select("repository_id", "chunk_id", coded("embedding").alias("codes"))
+
+
+def pq_candidates(queries: DataFrame, indexed: DataFrame, books: list[np.ndarray], keep: int, query_rows: int = 500, chunk_rows: int = 100_000) -> DataFrame:
+    """repository_id, query_id and chunk_id of the `keep` chunks for each query that its tables of distances to the centres put first. Reads codes alone.
+
+    Blocks of queries meet blocks of codes, as in nearest: a repository of any size is many tasks, and each gives `keep` rows a query.
+    """
+    blocks = lambda df, rows, name: df.groupBy("repository_id").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    n = blocks(queries, query_rows, "_nq").join(blocks(indexed, chunk_rows, "_nc"), "repository_id")
+    dealt = lambda key, own: F.pmod(F.xxhash64(key), F.col(own)).cast("int")
+    every = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+    some = queries.filter(F.exists("query", lambda x: x != 0))
+    q = some.join(n, "repository_id").select(F.col("repository_id").alias("_r"), "query_id", "query", dealt("query_id", "_nq").alias("_q"), every("_nc").alias("_c"))
+    c = indexed.join(n, "repository_id").select(F.col("repository_id").alias("_r"), "chunk_id", "codes", dealt("chunk_id", "_nc").alias("_c"), every("_nq").alias("_q"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right, out = right.sort_values("chunk_id", kind="stable"), []
+        ids, code = right["chunk_id"].to_numpy(object), np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
+        for r, query, v in zip(left["_r"], left["query_id"], _unit(left["query"]), strict=True):
+            at, score = 0, np.zeros(len(right))
+            for m, centres in enumerate(books):
+                score += (centres @ v[at : at + centres.shape[1]])[code[:, m]]
+                at += centres.shape[1]
+            top = np.argsort(-score, kind="stable")[:keep]
+            out.append(pd.DataFrame({"repository_id": r, "query_id": query, "chunk_id": ids[top], "_near": score[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"repository_id": [], "query_id": [], "chunk_id": [], "_near": []})
+
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "repository_id"), (queries, "query_id"), (indexed, "chunk_id"))]
+    by = ("_r", "_q", "_c")
+    found = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(best, ", ".join([*kinds, "_near double"]))
+    order = Window.partitionBy("repository_id", "query_id").orderBy(F.desc("_near"), "chunk_id")
+    return found.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= keep).select("repository_id", "query_id", "chunk_id")
+
+
+def pq_search(queries: DataFrame, chunks: DataFrame, indexed: DataFrame, books: list[np.ndarray], k: int = 10, refine: int = 5) -> DataFrame:
+    """As nearest, among the k * refine chunks that the codes put first: of these alone the vectors are read, and their exact scores rank.
+
+    Chunks and queries without a direction are in no result.
+    """
+    near = pq_candidates(queries, indexed, books, k * refine)
+    rows = near.join(chunks.select("repository_id", "chunk_id", "embedding"), ["repository_id", "chunk_id"]).join(queries.select("repository_id", "query_id", "query"), ["repository_id", "query_id"])
+    rows = rows.select("query_id", "chunk_id", scalars.score(1 - scalars.cosine_similarity(F.col("query"), F.col("embedding"))).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("rank") <= k)
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     """The share of exact pairs that were found."""
     hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("_hit")), ["query_id", "chunk_id"], "left")

@@ -87,6 +87,22 @@ def j5_ivf_search(spark, sf_dir):
     return vectors.ivf_search(q, indexed, centres, probes=22)
 
 
+@query(
+    """SELECT count(*) AS queries, CAST(sum(least(n, 10)) AS BIGINT) AS pairs, true AS found_nine_of_ten, true AS read_a_fourth_at_most
+FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0), (SELECT count(*) AS n FROM embeddings)"""
+)
+def j5_pq_search(spark, sf_dir):
+    """Search by product quantisation against exact search: of the exact pairs at least 0.9 are found, and vectors are read for a fourth of the pairs at most."""
+    v, q = _search(spark, sf_dir)
+    books = vectors.pq_books(v)
+    indexed = vectors.pq_index(v, books)
+    exact, found = vectors.nearest(q, v), vectors.pq_search(q, v, indexed, books)
+    read = vectors.pq_candidates(q, indexed, books, keep=50).agg(F.count("*").alias("n_read"))
+    pairs = q.join(v.groupBy("repository_id").agg(F.count("*").alias("n")), "repository_id").agg(F.count("*").alias("queries"), F.sum("n").alias("n_all"))
+    out = vectors.recall(exact, found).crossJoin(read).crossJoin(pairs)  # one row each
+    return out.select("queries", "pairs", (F.col("recall") >= 0.9).alias("found_nine_of_ten"), (F.col("n_read") <= 0.25 * F.col("n_all")).alias("read_a_fourth_at_most"))
+
+
 @query()
 def j2_j3_index(spark, sf_dir):
     """Chunks of all files with vectors of the offline provider."""

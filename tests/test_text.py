@@ -549,3 +549,24 @@ def test_delete_cascade(spark):
     assert {k: v.count() for k, v in one.items()} == {"repository": 2, "code_file": 2, "symbol": 2, "dependency": 1, "code_chunk": 0, "repository_graph": 2}
     with pytest.raises(ValueError, match="circle"):
         inventory.delete_cascade({"a": t["repository"], "b": t["repository"]}, "a", t["repository"], (("a", "id", "b", "cascade"), ("b", "id", "a", "cascade")))
+
+
+def test_product_quantisation(spark):
+    """Clustered and scattered vectors, of a length that the runs don't divide, over two repositories, in several blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [("r" if i % 3 else "s", i, [float(x) for x in rng.normal(size=30) + (5 if i % 2 else 0)]) for i in range(900)]
+    rows += [("r", 900, [0.0] * 30), ("r", 901, None), ("t", 902, [1.0] * 30)]
+    v = spark.createDataFrame(rows, "repository_id string, chunk_id int, embedding array<double>")
+    q = spark.createDataFrame([(r, i, x) for r, i, x in rows if i % 45 == 0 or i > 899], "repository_id string, query_id int, query array<double>").filter("query is not null and query_id <> 900")
+    books = vectors.pq_books(v, parts=7, codes=200)
+    indexed = vectors.pq_index(v, books)
+    assert indexed.count() == 901 and [b.shape[1] for b in books] == [5, 5, 4, 4, 4, 4, 4]
+    found, exact = vectors.pq_search(q, v, indexed, books, refine=15), vectors.nearest(q, v)
+    assert vectors.recall(exact.filter("chunk_id < 900"), found).first()["recall"] >= 0.9
+    want = {(r["query_id"], r["chunk_id"]): r["score"] for r in exact.collect()}
+    assert all(want.get((r["query_id"], r["chunk_id"]), r["score"]) == r["score"] for r in found.collect())
+    small = vectors.pq_candidates(q, indexed, books, 20, query_rows=3, chunk_rows=50)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, vectors.pq_candidates(q, indexed, books, 20).collect()))
+    assert vectors.pq_books(v.limit(0)) == [] and vectors.pq_index(v.limit(0), books).count() == 0
