@@ -69,6 +69,7 @@ def masks(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     copies = len(failures(F.lit(None), F.lit("")))
     rows = durable(rows.select("_key", "part", own.alias("_own"), F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit("second"), "_text").alias("_g")), "audit-masks")
     first = rows.filter("_key is not null").groupBy("_h", "_g").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last")).filter("_first < _last").drop("_last")
+    first = durable(first, "audit-first")  # a table of its own, so that the join of a text with very many copies can be split
     told = labels.groupBy(labels["doc_id"].alias("_doc")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     found = rows.join(first, ["_h", "_g"], "left").join(told, F.col("_key") == F.col("_doc"), "left")
     copy = F.when(F.col("_key") > F.col("_first"), 1 << copies).otherwise(0)

@@ -161,7 +161,7 @@ def _verdicts(strings: DataFrame, window: int, most: int) -> tuple[DataFrame, li
         return out
 
     each = durable(map_columns(large, ["_min", "_packed", "_first"], f"_h long, _g long, _s1 long, _s2 long, _place int, _first {kind}", single), "kmer-windows")
-    least = each.groupBy("_h", "_g").agg(F.min("_first").alias("_least"))
+    least = durable(each.groupBy("_h", "_g").agg(F.min("_first").alias("_least")), "kmer-least")  # a table of its own, so that a window in very many strings is a join that can be split
     listed = each.join(least, ["_h", "_g"]).groupBy("_s1", "_s2").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_least"))), lambda x: x["_least"]).alias("_firsts"))
 
     def named(mins: list, strings: list) -> dict[str, list]:
@@ -169,7 +169,7 @@ def _verdicts(strings: DataFrame, window: int, most: int) -> tuple[DataFrame, li
         return {"_min": mins, "_packed": strings, "_s1": [a for a, _ in got], "_s2": [b for _, b in got]}
 
     whole = map_columns(large, ["_min", "_packed"], "_min long, _packed string, _s1 long, _s2 long", named).join(listed, ["_s1", "_s2"]).select("_min", "_packed", "_firsts")
-    return small.unionByName(alone).unionByName(whole), [distinct, large, each]
+    return small.unionByName(alone).unionByName(whole), [distinct, large, each, least]
 
 
 def merged(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -198,7 +198,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     classes = durable(found.filter("_key is not null").groupBy("_c1", "_c2").agg(F.min("_key").alias("_rep")), "kmer-classes")
     least = found.filter(F.size("_minimisers") > 0).select("_c1", "_c2", F.explode("_minimisers").alias("_min"))
     least = least.groupBy("_min").agg(*(f(c).alias(f"_{n}{c}") for c in ("_c1", "_c2") for n, f in (("a", F.min), ("z", F.max))))
-    shared = least.filter("_a_c1 <> _z_c1 or _a_c2 <> _z_c2").select("_min")
+    shared = durable(least.filter("_a_c1 <> _z_c1 or _a_c2 <> _z_c2").select("_min"), "kmer-shared")  # likewise for minimisers
     reps = found.filter(F.size("_minimisers") > 0).join(classes, ["_c1", "_c2"]).filter("_key = _rep")
     wanted = reps.select("_key", F.explode("_minimisers").alias("_min")).join(shared, "_min").groupBy("_key").agg(F.collect_set("_min").alias("_wanted"))
     wanted = wanted.join(reps.select(F.col("_key").alias("_k"), "_c1", "_c2").distinct(), F.col("_key") == F.col("_k")).drop("_k")
@@ -223,7 +223,7 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
         return {"_key": keys, "_c1": c1, "_c2": c2, "_spans": [[{"at": a, "to": b} for a, b in merged(s, window)] for s in starts]}
 
     spans = durable(map_columns(later, ["_key", "_c1", "_c2", "_starts"], f"_key {kind}, _c1 long, _c2 long, _spans array<struct<at:long,to:long>>", covered), "kmer-spans")
-    for x in (strings, *read):
+    for x in (shared, strings, *read):
         discard(x)
     return Repeats(found, classes, spans, texts.drop("_wanted"), window)
 
