@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,9 +136,18 @@ def is_private_name(name: Column) -> Column:
     return name.startswith("_") & ~(name.startswith("__") & name.endswith("__"))
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A text with a column in place of each {name}; null if one of them is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(values[x].cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts)))
+
+
+def _of_symbol(template: str, symbol: Column | None) -> Column:
+    return F.lit("") if symbol is None else F.when(F.coalesce(symbol, F.lit("")) == "", F.lit("")).otherwise(filled(template, symbol=symbol))
+
+
 def chunk_header(path: Column, symbol: Column | None = None) -> Column:
-    line = F.lit("") if symbol is None else F.when(F.coalesce(symbol, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("# Symbol: "), symbol, F.lit("\n")))
-    return F.concat(F.lit("# File: "), path, F.lit("\n"), line, F.lit("\n"))
+    return filled(rules.CHUNK_HEADER, path=path, symbol=_of_symbol(rules.CHUNK_SYMBOL, symbol))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -146,28 +156,20 @@ def estimate_tokens(text: Column) -> Column:
 
 def context_window(model: Column) -> Column:
     """Tokens that a model takes, by parts of its name."""
-    has = model.contains
-    return (
-        F.when(has("gpt-4o"), 128_000).when(has("gpt-4"), 8_192).when(has("gpt-3.5"), 16_385).when(has("claude"), 200_000)
-        .when(has("70b") | has("llama-3.3"), 128_000).when(has("mixtral") | has("llama") | has("gemma"), 32_768).otherwise(128_000)
-    )
+    (part, tokens), *others = rules.CONTEXT_WINDOWS
+    return reduce(lambda c, x: c.when(model.contains(x[0]), x[1]), others, F.when(model.contains(part), tokens)).otherwise(rules.CONTEXT_WINDOW)
 
 
 def context_block(index: Column, path: Column, start: Column, stop: Column, content: Column, symbol: Column | None = None) -> Column:
-    told = F.lit("") if symbol is None else F.when(F.coalesce(symbol, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("Symbol: "), symbol, F.lit("\n")))
     body = F.regexp_replace(content, r"^\s+|\s+$", "")
-    s = lambda c: c.cast("string")
-    return F.concat(
-        F.lit("---\n[Context Item #"), s(index), F.lit("]\nFile: "), path, F.lit(" (Lines "), s(start), F.lit("-"), s(stop), F.lit(")\n"), told, F.lit("Content:\n```\n"), body, F.lit("\n```\n")
-    )
+    return filled(rules.CONTEXT_BLOCK, index=index, path=path, start=start, stop=stop, symbol=_of_symbol(rules.BLOCK_SYMBOL, symbol), content=body)
 
 
-NO_CONTEXT = "No relevant codebase context found."
+NO_CONTEXT = rules.NO_CONTEXT
 
 
 def prompt(question: Column, context: Column) -> Column:
-    rule = "=" * 26
-    return F.concat(F.lit(f"Retrieved Codebase Context:\n{rule}\n"), F.coalesce(context, F.lit(NO_CONTEXT)), F.lit(f"\n\n{rule}\nUser Question: "), question, F.lit("\n\nAnswer:"))
+    return filled(rules.PROMPT, context=F.coalesce(context, F.lit(NO_CONTEXT)), question=question)
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ nodes: repository_id, node. edges: repository_id, src, dst, and what they carry.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +84,88 @@ def has_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(REPO).distinct().join(core, REPO, "left").fillna(False, ["has_cycles"])
 
 
-def cycle_count(edges: DataFrame, most: int = 1000, longest: int | None = None) -> DataFrame:
+def count_in(pairs: list[tuple], most: int) -> int:
+    """Elementary cycles of a small graph, up to `most`: from each node through larger ones, by a search that leaves a node blocked until a way from it to the start opens.
+
+    A node that was a start goes, and with it the nodes that have no edge in or out any more.
+    """
+    after: dict = {}
+    before: dict = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+        before.setdefault(b, set()).add(a)
+
+    def drop(nodes: list) -> None:
+        while nodes:
+            x = nodes.pop()
+            for one, other in ((after, before), (before, after)):
+                for y in one.pop(x, ()):
+                    if y != x and x in other.get(y, ()):
+                        other[y].discard(x)
+                        if not other[y]:
+                            nodes.append(y)
+
+    total = 0
+    for start in sorted(after):
+        if start not in after or start not in before:
+            continue
+        blocked, waiting, closed, path = {start}, {}, set(), [start]
+        open_ends = [iter(after[start])]
+        while open_ends:
+            for w in open_ends[-1]:
+                if w == start:
+                    total += 1
+                    if total >= most:
+                        return total
+                    closed.update(path)
+                elif w > start and w not in blocked:
+                    path.append(w)
+                    closed.discard(w)
+                    blocked.add(w)
+                    open_ends.append(iter(after.get(w, ())))
+                    break
+            else:
+                v = path.pop()
+                open_ends.pop()
+                if v in closed:
+                    free = [v]
+                    while free:
+                        x = free.pop()
+                        if x in blocked:
+                            blocked.discard(x)
+                            free += waiting.pop(x, ())
+                    closed.update(path[-1:])
+                else:
+                    for w in after.get(v, ()):
+                        if w > start:
+                            waiting.setdefault(w, set()).add(v)
+        drop([start])
+    return total
+
+
+def cycle_count(edges: DataFrame, most: int = 1000, longest: int | None = None, most_edges: int = 500_000) -> DataFrame:
     """repository_id, cycle_count (elementary cycles, at most `most`) and capped.
 
-    Paths grow from each node through larger nodes only, so every cycle is met once, at its smallest node. A repository that has `most`
-    cycles grows no further. Counting cycles takes exponential time on dense graphs, which is why the count has its cap.
+    Of a repository, the edges that trimming leaves are searched in one task, which stops at the cap. Where more than most_edges are left they aren't
+    gathered: there, and where cycles of at most `longest` edges are asked for, paths grow by joins.
     """
     core = cyclic_core(edges)
+    if longest is not None:
+        return _cycles_by_paths(core, most, longest)
+    sized = durable(core.join(core.groupBy(REPO).agg(F.count("*").alias("_n")), REPO), "cycle-edges")
+
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({REPO: [rows[REPO].iloc[0]], "c": [count_in(list(zip(rows["src"], rows["dst"], strict=True)), most)]})
+
+    kind = edges.schema[REPO].dataType.simpleString()
+    found = sized.filter(F.col("_n") <= most_edges).groupBy(REPO).applyInPandas(counted, f"{REPO} {kind}, c long")
+    found = found.select(REPO, F.least(F.col("c"), F.lit(most)).alias("cycle_count"), (F.col("c") >= most).alias("capped"))
+    large = sized.filter(F.col("_n") > most_edges).select(REPO, "src", "dst")
+    return found if large.isEmpty() else found.unionByName(_cycles_by_paths(large, most))
+
+
+def _cycles_by_paths(core: DataFrame, most: int, longest: int | None = None) -> DataFrame:
+    """As cycle_count: paths grow from each node through larger nodes only, so every cycle is met once, at its smallest node. A repository that has `most` cycles grows no further."""
     step = core.select(REPO, "src", F.col("dst").alias("next"))
     paths = core.select(REPO, F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")).filter("last >= root")
     found = None
