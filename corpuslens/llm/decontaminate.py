@@ -2,8 +2,10 @@
 
 Each test item is cut into n-grams of lower-cased words. The words of the test items are counted over the whole corpus; the product of its
 words' frequencies says how much an n-gram tells. Of every stretch of a few places an item keeps the rarest n-gram as a seed, so seeds lie
-all over it, whatever the size of the corpus, and edits here and there leave some. Seeds are looked up in every document;
-where the seeds of an item that meet about one diagonal tell enough together - one rare one, or several common ones -
+all over it, whatever the size of the corpus, and edits here and there leave some; items of under 2n words keep all. Longer ones also keep pairs of words,
+which are looked up side by side and with one word between: an alignment of half an item's score with m of its n words has at most 2m - n
+edits, so either two neighbours are side by side in it, or nearly every two have just one word between. Seeds are looked up in every document;
+where the words of an item whose seeds meet about one diagonal tell enough together - one rare seed, or several common ones -
 the item is aligned to that stretch of the document, and the best alignment's score, as a share of the item's score with itself, decides.
 
 Test items are taken in blocks of at most block_items items and about block_chars characters, so what is broadcast is bounded whatever the
@@ -76,6 +78,34 @@ def mixed(columns) -> np.ndarray:
     return out
 
 
+class Table:
+    """Seeds of one size: sorted numbers of grams, and for each the items and places where it is a seed."""
+
+    def __init__(self, size: int, grams: list[tuple], items: list[int], places: list[int], tells: list[float]):
+        self.size = size
+        keys = mixed(np.array(grams, np.int64).T)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.items, self.places, self.tells = np.array(items, np.int64)[order], np.array(places, np.int64)[order], np.array(tells)[order]
+        self.shift = np.uint64(64 - min(26, max(10, (16 * len(self.keys)).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)  # most words of a corpus end here
+        self.maybe[self.keys >> self.shift] = True
+
+    def find(self, words: np.ndarray, known: np.ndarray, apart: int) -> tuple[np.ndarray, ...]:
+        """(item, place in the item, diagonal, size, what it tells) of each seed whose words stand `apart` places from each other in the text."""
+        n = len(words) - (self.size - 1) * apart
+        at = np.flatnonzero(np.logical_and.reduce([known[j * apart : j * apart + n] for j in range(self.size)])) if n > 0 else np.zeros(0, np.int64)
+        keys = mixed([words[at + j * apart] for j in range(self.size)])
+        near = self.maybe[keys >> self.shift]
+        at, keys = at[near], keys[near]
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        near = self.keys[slot] == keys
+        at, slot = at[near], slot[near]
+        count = self.count[slot]
+        each = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[slot], count)
+        return self.items[each], self.places[each], np.repeat(at, count) - self.places[each], np.full(len(each), self.size), self.tells[each]
+
+
 class Seeds:
     """Test items of one block with their words, seeds and the numbers that words have."""
 
@@ -86,68 +116,69 @@ class Seeds:
         self.items = [np.array([self.known[w] for w in t], np.int64) for t in texts]
         self.n = n
 
-    def grams(self, i: int) -> list[tuple]:
-        x = self.items[i].tolist()
-        return [tuple(x[j : j + self.n]) for j in range(max(1, len(x) - self.n + 1))] if x else []
-
     def choose(self, counts: np.ndarray, total: int, enough: float, stretch: int = 3) -> None:
-        """self.seeds: gram -> [(item, place)], the rarest gram of each `stretch` places; self.told: by item, what each place tells;
+        """self.tables: the rarest n-gram of each `stretch` places and the rarest pair of each two (all n-grams of short items), by size; self.told: by item, what each word tells;
         self.needed: what a diagonal must tell, `enough` or half of all that the item's seeds tell."""
         tell = -np.log(np.maximum(counts, 1) / max(total, 1))
-        self.seeds: dict[tuple, list] = defaultdict(list)
-        self.told: list[dict[int, float]] = []
-        self.needed: list[float] = []
-        for i in range(len(self.items)):
-            grams = self.grams(i)
-            each = np.array([tell[list(g)].sum() for g in grams])
-            own = {j + int(each[j : j + stretch].argmax()): 0.0 for j in range(0, len(grams), stretch)}
-            own = {j: float(each[j]) for j in own}
-            for j in own:
-                self.seeds[grams[j]].append((i, j))
-            self.told.append(own)
-            self.needed.append(min(enough, 0.5 * self.sum_of(i, own)))
-
-    def sum_of(self, item: int, places) -> float:
-        """What these places of an item tell together; overlapping grams count once."""
-        out, last = 0.0, -self.n
-        for j in sorted(places):
-            if j - last >= self.n:
-                out, last = out + self.told[item][j], j
-        return out
-
-    def index(self) -> None:
-        by_size = defaultdict(list)
-        for g in self.seeds:
-            by_size[len(g)].append(g)
-        self.mixed = {n: np.sort(mixed(np.array(gs, np.int64).T)) for n, gs in by_size.items()}
+        self.told = [tell[x] for x in self.items]
+        self.needed = np.zeros(len(self.items))
+        self.slack = np.array([len(x) // 2 + 3 for x in self.items], np.int64)
+        found: dict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
+        for i, x in enumerate(self.items):
+            if not len(x):
+                continue
+            steps = {min(self.n, len(x)): 1} if len(x) < 2 * self.n else {2: 2, self.n: stretch}
+            words, held = x.tolist(), np.zeros(len(x), bool)
+            for size, step in steps.items():
+                each = np.convolve(self.told[i], np.ones(size), "valid")
+                for j in range(0, len(each), step):
+                    j += int(each[j : j + step].argmax())  # noqa: PLW2901
+                    grams, items, places, tells = found[size]
+                    tells.append(float(each[j]))
+                    grams.append(tuple(words[j : j + size]))
+                    items.append(i)
+                    places.append(j)
+                    held[j : j + size] = True
+            self.needed[i] = min(enough, 0.5 * self.told[i][held].sum())
+        self.tables = [Table(size, *rows) for size, rows in found.items()]
+
+
+def _stretches(s: Seeds, words: np.ndarray) -> dict[int, list[list[int]]]:
+    """By item, the [lowest, highest] diagonals of the places where the item's seeds tell enough."""
+    known = words >= 0
+    hits = [t.find(words, known, apart) for t in s.tables for apart in ((1, 2) if t.size == 2 else (1,))]
+    if not sum(len(h[0]) for h in hits):
+        return {}
+    item, place, diagonal, size, tells = map(np.concatenate, zip(*hits, strict=True))
+    order = np.lexsort((diagonal, item))
+    item, place, diagonal, size, tells = (x[order] for x in (item, place, diagonal, size, tells))
+    # an upper bound for each window of `slack` diagonals, in which a word may count several times; few windows pass without a copy
+    sums = np.concatenate([[0.0], np.cumsum(tells)])
+    wide = np.int64(2 * (len(words) + max(map(len, s.items), default=0)) + 10) * 2
+    line = item * wide + diagonal
+    end = np.searchsorted(line, line + s.slack[item], side="right")
+    out: dict[int, list[list[int]]] = defaultdict(list)
+    for k in np.flatnonzero(sums[end] - sums[:-1] >= s.needed[item] - 1e-9).tolist():
+        i, e = int(item[k]), int(end[k])
+        held = np.zeros(len(s.items[i]), bool)
+        for j, n in zip(place[k:e].tolist(), size[k:e].tolist(), strict=True):
+            held[j : j + n] = True
+        if s.told[i][held].sum() >= s.needed[i] - 1e-9:
+            low, high = int(diagonal[k]), int(diagonal[e - 1])
+            if out[i] and low <= out[i][-1][1] + s.slack[i]:
+                out[i][-1][1] = max(high, out[i][-1][1])
+            else:
+                out[i].append([low, high])
+    return out
 
 
 def _hits(s: Seeds, text: str | None) -> list[tuple]:
     """(item, score, first and last word) of each item that aligns with the text, with any score."""
     words = numbers(text, s.known)
-    known, found = words >= 0, defaultdict(list)
-    for n, seeds in s.mixed.items():
-        if len(words) >= n:
-            places = np.flatnonzero(np.logical_and.reduce([known[j : len(words) - n + 1 + j] for j in range(n)]))
-            keys = mixed([words[places + j] for j in range(n)])
-            near = seeds[np.minimum(np.searchsorted(seeds, keys), len(seeds) - 1)] == keys
-            for at in places[near].tolist():
-                for item, place in s.seeds.get(tuple(words[at : at + n].tolist()), ()):
-                    found[item].append((at - place, place))
     out = []
-    for item, diagonals in found.items():
-        x = s.items[item]
-        slack, best, diagonals = len(x) // 2 + 3, (0.0, 0, 0), sorted(set(diagonals))
-        k = 0
-        while k < len(diagonals):  # diagonals close to each other are one stretch
-            low = high = diagonals[k][0]
-            places = set()
-            while k < len(diagonals) and diagonals[k][0] <= high + slack:
-                high = diagonals[k][0]
-                places.add(diagonals[k][1])
-                k += 1
-            if s.sum_of(item, places) < s.needed[item]:
-                continue
+    for item, stretches in _stretches(s, words).items():
+        x, slack, best = s.items[item], int(s.slack[item]), (0.0, 0, 0)
+        for low, high in stretches:
             a, b = max(0, low - slack), min(len(words), high + len(x) + slack)
             score, i, j = align(x, words[a:b])
             if score > best[0]:
@@ -186,7 +217,6 @@ def contaminated(
         sums = {r["word"]: r["n"] for r in map_columns(docs, [text], "word long, n long", tally).groupBy("word").agg(F.sum("n").alias("n")).collect()}  # one row for each word of the block
         # one chance meeting of an item in a thousand words is cheap beside reading them
         s.choose(np.array([sums.get(i, 0) for i in range(len(s.known))]), sums.get(-1, 0), float(np.log(1000 * max(1, len(s.items)))))
-        s.index()
         shared = spark.sparkContext.broadcast(s)
 
         def scan(keys: list, texts: list, shared=shared) -> dict[str, list]:

@@ -90,3 +90,34 @@ def test_edited_items_keep_seeds_at_any_size(spark):
     got = {(r["doc_id"], r["item_id"]): r["score"] for r in dc.contaminated(docs(spark, [*texts.items(), *filler]), bench).collect()}
     missed = [(k, k // 10) for k in texts if (k, k // 10) not in got and brute_align(items[k // 10], texts[k].split()) >= dc.LEAST_SCORE * 40]
     assert len(missed) <= 1 and not any(d >= 10_000 for d, _ in got)
+
+
+def test_words_put_in_between(spark):
+    """Items in which no three words stay together: a word after every second or after each word, every third word changed or left out."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(12, 60))] for i in range(40)}
+    ways = [
+        lambda j, w: [w, rng.choice(vocabulary)] if j % 2 else [w],
+        lambda j, w: [w, rng.choice(vocabulary)],
+        lambda j, w: [rng.choice(vocabulary)] if j % 3 == 2 else [w],
+        lambda j, w: [] if j % 3 == 2 else [w],
+    ]
+    noise = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = {i * 10 + k: noise(150) + [x for j, w in enumerate(words) for x in way(j, w)] + noise(150) for i, words in items.items() for k, way in enumerate(ways)}
+    clean = [(10_000 + j, " ".join(noise(3000))) for j in range(30)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    rows = dc.contaminated(docs(spark, [*((k, " ".join(t)) for k, t in texts.items()), *clean]), bench).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in rows}
+    scores = {k: brute_align(items[k // 10], t) / len(items[k // 10]) for k, t in texts.items()}
+    want = {(k, k // 10) for k, score in scores.items() if score >= dc.LEAST_SCORE}
+    assert len(want) > 100 and {k % 10 for k, _ in want} == {0, 1, 2, 3}
+    assert not want - set(got) and all(abs(got[k] - scores[k[0]]) < 1e-9 for k in want)
+    assert not any(d >= 10_000 for d, _ in got)
+
+
+def test_short_items_keep_whole_seeds(spark):
+    """Two words of an item of four or five are no copy."""
+    bench = spark.createDataFrame([(1, "red stone old bridge"), (2, "seven wizards brew potions well")], "item_id long, text string")
+    got = dc.contaminated(docs(spark, ["a red stone lies there", "the old bridge", "seven wizards", "red stone old bridge", "so wizards brew potions"]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3, 1), (4, 2)}
