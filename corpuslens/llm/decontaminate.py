@@ -172,18 +172,29 @@ def _stretches(s: Seeds, words: np.ndarray) -> dict[int, list[list[int]]]:
     return out
 
 
-def _hits(s: Seeds, text: str | None) -> list[tuple]:
-    """(item, score, first and last word) of each item that aligns with the text, with any score."""
+def may_align(item: np.ndarray, part: np.ndarray, least_score: float) -> bool:
+    """Whether part has enough of the item's words close together: a score of s times n with m matches has at most 2 (m - s n) edits, so s n
+    matches lie within (3 - 2 s) n words."""
+    need, wide = least_score * len(item), int((3 - 2 * least_score) * len(item)) + 1
+    sums = np.concatenate([[0], np.cumsum(np.isin(part, item))])
+    return int((sums[wide:] - sums[:-wide]).max() if len(sums) > wide else sums[-1]) >= need - 1e-9
+
+
+def _hits(s: Seeds, text: str | None, least_score: float = LEAST_SCORE) -> list[tuple]:
+    """(item, score, first and last word) of each item that aligns with the text, with a score of least_score and more."""
     words = numbers(text, s.known)
     out = []
     for item, stretches in _stretches(s, words).items():
         x, slack, best = s.items[item], int(s.slack[item]), (0.0, 0, 0)
         for low, high in stretches:
             a, b = max(0, low - slack), min(len(words), high + len(x) + slack)
+            if not may_align(x, words[a:b], least_score):
+                continue
             score, i, j = align(x, words[a:b])
             if score > best[0]:
                 best = (score, a + i, a + j)
-        out.append((item, best[0] / len(x), best[1], best[2]))
+        if best[0] / len(x) >= least_score:
+            out.append((item, best[0] / len(x), best[1], best[2]))
     return out
 
 
@@ -221,7 +232,7 @@ def contaminated(
 
         def scan(keys: list, texts: list, shared=shared) -> dict[str, list]:
             s = shared.value
-            rows = [(k, s.keys[i], score, a, b) for k, t in zip(keys, texts, strict=True) for i, score, a, b in _hits(s, t) if score >= least_score]
+            rows = [(k, s.keys[i], score, a, b) for k, t in zip(keys, texts, strict=True) for i, score, a, b in _hits(s, t, least_score)]
             return dict(zip((key, item_key, "score", "first_word", "last_word"), map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys((key, item_key, "score", "first_word", "last_word"), [])
 
         hits = map_columns(docs, [key, text], schema, scan)
