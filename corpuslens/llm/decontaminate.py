@@ -2,7 +2,7 @@
 
 Each test item is cut into n-grams of lower-cased words. The words of the test items are counted over the whole corpus; the product of its
 words' frequencies says how much an n-gram tells. Of every stretch of a few places an item keeps the rarest n-gram as a seed, so seeds lie
-all over it, whatever the size of the corpus, and edits here and there leave some; items of under 2n words keep all. Longer ones also keep pairs of words,
+all over it, whatever the size of the corpus, and edits here and there leave some; items of under 2n words keep all. Longer ones also keep pairs of neighbours, the rarer one of every two and all rare ones,
 which are looked up side by side and with one word between: an alignment of half an item's score with m of its n words has at most 2m - n
 edits, so either two neighbours are side by side in it, or nearly every two have just one word between. Seeds are looked up in every document;
 where the words of an item whose seeds meet about one diagonal tell enough together - one rare seed, or several common ones -
@@ -17,6 +17,7 @@ counts. Very long texts are read whole. Empty tables give an empty result. Only
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -117,84 +118,108 @@ class Seeds:
         self.n = n
 
     def choose(self, counts: np.ndarray, total: int, enough: float, stretch: int = 3) -> None:
-        """self.tables: the rarest n-gram of each `stretch` places and the rarest pair of each two (all n-grams of short items), by size; self.told: by item, what each word tells;
-        self.needed: what a diagonal must tell, `enough` or half of all that the item's seeds tell."""
+        """self.tables: the rarest pair of each two places and all that tell 0.8 of enough, and the rarest n-gram of each `stretch` places (all n-grams of short items), by size; self.told: by item, what each word tells;
+        self.needed: what a diagonal must tell, `enough` and the logarithm of the number of the item's seeds, or half of all that they tell."""
         tell = -np.log(np.maximum(counts, 1) / max(total, 1))
         self.told = [tell[x] for x in self.items]
         self.needed = np.zeros(len(self.items))
+        self.longest = max(map(len, self.items), default=0)
         self.slack = np.array([len(x) // 2 + 3 for x in self.items], np.int64)
         found: dict[int, tuple[list, list, list, list]] = defaultdict(lambda: ([], [], [], []))
         for i, x in enumerate(self.items):
             if not len(x):
                 continue
             steps = {min(self.n, len(x)): 1} if len(x) < 2 * self.n else {2: 2, self.n: stretch}
-            words, held = x.tolist(), np.zeros(len(x), bool)
+            words, held, before = x.tolist(), np.zeros(len(x), bool), sum(len(rows[0]) for rows in found.values())
             for size, step in steps.items():
                 each = np.convolve(self.told[i], np.ones(size), "valid")
-                for j in range(0, len(each), step):
-                    j += int(each[j : j + step].argmax())  # noqa: PLW2901
-                    grams, items, places, tells = found[size]
-                    tells.append(float(each[j]))
-                    grams.append(tuple(words[j : j + size]))
-                    items.append(i)
-                    places.append(j)
+                chosen = {j + int(each[j : j + step].argmax()) for j in range(0, len(each), step)}
+                if size == 2:
+                    chosen |= set(np.flatnonzero(each >= 0.8 * enough).tolist())
+                rows = found[size]
+                for j in sorted(chosen):
+                    for row, x in zip(rows, (tuple(words[j : j + size]), i, j, float(each[j])), strict=True):
+                        row.append(x)
                     held[j : j + size] = True
-            self.needed[i] = min(enough, 0.5 * self.told[i][held].sum())
+            chances = sum(len(rows[0]) for rows in found.values()) - before
+            self.needed[i] = min(enough + float(np.log(chances)), 0.5 * self.told[i][held].sum())
         self.tables = [Table(size, *rows) for size, rows in found.items()]
 
 
-def _stretches(s: Seeds, words: np.ndarray) -> dict[int, list[list[int]]]:
-    """By item, the [lowest, highest] diagonals of the places where the item's seeds tell enough."""
+def _stretches(s: Seeds, words: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
+    """By text and item, the [lowest, highest] diagonals of the places where the item's seeds tell enough."""
     known = words >= 0
     hits = [t.find(words, known, apart) for t in s.tables for apart in ((1, 2) if t.size == 2 else (1,))]
     if not sum(len(h[0]) for h in hits):
         return {}
     item, place, diagonal, size, tells = map(np.concatenate, zip(*hits, strict=True))
-    order = np.lexsort((diagonal, item))
-    item, place, diagonal, size, tells = (x[order] for x in (item, place, diagonal, size, tells))
+    group = (np.searchsorted(begins, diagonal + place, side="right") - 1) * len(s.items) + item
+    line = group * np.int64(len(words) + 3 * s.longest + 10) + diagonal
+    order = np.argsort(line)
+    item, place, diagonal, size, tells, group, line = (x[order] for x in (item, place, diagonal, size, tells, group, line))
     # an upper bound for each window of `slack` diagonals, in which a word may count several times; few windows pass without a copy
     sums = np.concatenate([[0.0], np.cumsum(tells)])
-    wide = np.int64(2 * (len(words) + max(map(len, s.items), default=0)) + 10) * 2
-    line = item * wide + diagonal
     end = np.searchsorted(line, line + s.slack[item], side="right")
-    out: dict[int, list[list[int]]] = defaultdict(list)
+    out: dict[tuple[int, int], list[list[int]]] = {}
     for k in np.flatnonzero(sums[end] - sums[:-1] >= s.needed[item] - 1e-9).tolist():
         i, e = int(item[k]), int(end[k])
-        held = np.zeros(len(s.items[i]), bool)
-        for j, n in zip(place[k:e].tolist(), size[k:e].tolist(), strict=True):
-            held[j : j + n] = True
-        if s.told[i][held].sum() >= s.needed[i] - 1e-9:
-            low, high = int(diagonal[k]), int(diagonal[e - 1])
-            if out[i] and low <= out[i][-1][1] + s.slack[i]:
-                out[i][-1][1] = max(high, out[i][-1][1])
-            else:
-                out[i].append([low, high])
+        if tells[k] < s.needed[i] - 1e-9:
+            places = {x for j, n in zip(place[k:e].tolist(), size[k:e].tolist(), strict=True) for x in range(j, j + n)}
+            if s.told[i][list(places)].sum() < s.needed[i] - 1e-9:
+                continue
+        low, high = int(diagonal[k]), int(diagonal[e - 1])
+        found = out.setdefault(divmod(int(group[k]), len(s.items)), [])
+        if found and low <= found[-1][1] + s.slack[i]:
+            found[-1][1] = max(high, found[-1][1])
+        else:
+            found.append([low, high])
     return out
 
 
-def may_align(item: np.ndarray, part: np.ndarray, least_score: float) -> bool:
-    """Whether part has enough of the item's words close together: a score of s times n with m matches has at most 2 (m - s n) edits, so s n
+def may_align(item: np.ndarray, part: np.ndarray, least_score: float, marks: np.ndarray) -> bool:
+    """marks: false for each known word, and at its end for unknown ones. Whether part has enough of the item's words close together: a score of s times n with m matches has at most 2 (m - s n) edits, so s n
     matches lie within (3 - 2 s) n words."""
     need, wide = least_score * len(item), int((3 - 2 * least_score) * len(item)) + 1
-    sums = np.concatenate([[0], np.cumsum(np.isin(part, item))])
+    marks[item] = True
+    sums = np.zeros(len(part) + 1, np.int64)
+    np.cumsum(marks[part], out=sums[1:])
+    marks[item] = False
     return int((sums[wide:] - sums[:-wide]).max() if len(sums) > wide else sums[-1]) >= need - 1e-9
 
 
-def _hits(s: Seeds, text: str | None, least_score: float = LEAST_SCORE) -> list[tuple]:
-    """(item, score, first and last word) of each item that aligns with the text, with a score of least_score and more."""
-    words = numbers(text, s.known)
-    out = []
-    for item, stretches in _stretches(s, words).items():
-        x, slack, best = s.items[item], int(s.slack[item]), (0.0, 0, 0)
-        for low, high in stretches:
-            a, b = max(0, low - slack), min(len(words), high + len(x) + slack)
-            if not may_align(x, words[a:b], least_score):
-                continue
-            score, i, j = align(x, words[a:b])
-            if score > best[0]:
-                best = (score, a + i, a + j)
-        if best[0] / len(x) >= least_score:
-            out.append((item, best[0] / len(x), best[1], best[2]))
+def _blocks(s: Seeds, texts: list[str | None], most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(the first text's number, words of one text after the other, their begins and ends): texts of about `most` words, so that one look serves many.
+
+    Two unknown words stand behind each text, so no seed reaches from one into the next.
+    """
+    parts, at, first = [], 0, 0
+    begins, ends = [], []
+    for k, text in enumerate(texts):
+        words = numbers(text, s.known)
+        begins.append(at)
+        ends.append(at + len(words))
+        parts += [words, np.full(2, -1)]
+        at += len(words) + 2
+        if at >= most or k == len(texts) - 1:
+            yield first, np.concatenate(parts), np.array(begins), np.array(ends)
+            parts, begins, ends, at, first = [], [], [], 0, k + 1
+
+
+def _hits(s: Seeds, texts: list[str | None], least_score: float = LEAST_SCORE, most: int = 100_000) -> list[tuple]:
+    """(number of the text, item, score, first and last word) of each item that aligns with a text, with a score of least_score and more."""
+    out, marks = [], np.zeros(len(s.known) + 1, bool)
+    for first, words, begins, ends in _blocks(s, texts, most) if s.tables else ():
+        for (text, item), stretches in _stretches(s, words, begins).items():
+            x, slack, best, begin, end = s.items[item], int(s.slack[item]), (0.0, 0, 0), int(begins[text]), int(ends[text])
+            for low, high in stretches:
+                a, b = max(begin, low - slack), min(end, high + len(x) + slack)
+                if not may_align(x, words[a:b], least_score, marks):
+                    continue
+                score, i, j = align(x, words[a:b])
+                if score > best[0]:
+                    best = (score, a + i - begin, a + j - begin)
+            if best[0] / len(x) >= least_score:
+                out.append((first + text, item, best[0] / len(x), best[1], best[2]))
     return out
 
 
@@ -232,7 +257,7 @@ def contaminated(
 
         def scan(keys: list, texts: list, shared=shared) -> dict[str, list]:
             s = shared.value
-            rows = [(k, s.keys[i], score, a, b) for k, t in zip(keys, texts, strict=True) for i, score, a, b in _hits(s, t, least_score)]
+            rows = [(keys[k], s.keys[i], score, a, b) for k, i, score, a, b in _hits(s, texts, least_score)]
             return dict(zip((key, item_key, "score", "first_word", "last_word"), map(list, zip(*rows, strict=True)), strict=True)) if rows else dict.fromkeys((key, item_key, "score", "first_word", "last_word"), [])
 
         hits = map_columns(docs, [key, text], schema, scan)
