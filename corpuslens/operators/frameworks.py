@@ -1,5 +1,6 @@
 """Frameworks that a repository's manifests name. files: repository_id, path, content."""
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -63,41 +64,82 @@ def frameworks(files: DataFrame) -> DataFrame:
 def match_contains(texts: DataFrame, items: DataFrame, text: str, item_text: str, most_chars: int = 1 << 20) -> DataFrame:
     """Rows of texts and items where the text contains the item's text. Blank items are in none.
 
-    Items of seven words and more meet texts on their second to sixth word, which stand whole in any text that contains them, so
-    this is an equi-join, for any number of items. Shorter ones become an automaton that finds all of them in one pass over a text. It is
-    built by each worker from the distinct items, which are broadcast once they are counted: where they have more than most_chars
-    characters they are cut into blocks below that, and each block costs a pass over the texts.
+    Distinct items become an automaton that finds all of them in one pass over a text. It is built by each worker from items that are
+    broadcast once they are counted: where they have more than most_chars characters they are cut into blocks below that, and each
+    block costs a pass over the texts. Items of seven words and more that exceed one block in all meet texts on their second to sixth word instead, which stand whole
+    in any text that contains them: an equi-join, for any number of items.
     """
-    words = lambda c: F.split(c, r"\s+")
-    keyed = items.filter(F.trim(F.col(item_text)) != "").withColumn("_w", words(F.trim(F.col(item_text)))).withColumn("_i", F.xxhash64(item_text))
-    short, large = keyed.filter(F.size("_w") < 7), keyed.filter(F.size("_w") >= 7)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.array_join(F.slice("_t", i + 1, F.lit(5)), " "))
-    inside, names = F.contains(F.col(text), F.col(item_text)), [*texts.columns, *items.columns]
-    rows = texts.withColumn("_h", F.xxhash64(text))
-    met = rows.withColumn("_t", words(F.col(text))).select("_h", F.explode(F.array_distinct(runs)).alias("_key")).join(large.select("_i", F.array_join(F.slice("_w", 2, 5), " ").alias("_key")), "_key")
-    out = met.select("_h", "_i").distinct().join(large, "_i").join(rows, "_h").filter(inside).select(*names)  # texts travel only to what may be inside them
-    distinct = short.select(F.col(item_text).alias("_s"), "_i").distinct()
-    blocks = -(-(distinct.agg(F.sum(F.char_length("_s"))).first()[0] or 0) // most_chars)
-    for k in range(blocks):
-        part = distinct.filter(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == k) if blocks > 1 else distinct
-        held = texts.sparkSession.sparkContext.broadcast([(r["_s"], r["_i"]) for r in part.collect()])
-        found = texts.withColumn("_found", _finder(held)(F.col(text))).select("*", F.explode("_found").alias("_i"))
-        out = out.unionByName(found.join(short, "_i").filter(inside).select(*names))
-    return out
+    words, keyed, names = lambda c: F.split(c, r"\s+"), items.filter(F.trim(F.col(item_text)) != ""), [*texts.columns, *items.columns]
+    blocks, large = _blocks(keyed, item_text, most_chars)
+    out = None
+    for held in blocks:
+        found = texts.withColumn("_s", F.explode(_finder(held)(F.col(text)))).join(keyed.withColumn("_s", F.col(item_text)), "_s").select(*names)
+        out = found if out is None else out.unionByName(found)
+    if large is not None:
+        keys, rows = large.withColumns({"_w": words(F.trim(F.col(item_text))), "_i": F.xxhash64(item_text)}), texts.withColumn("_h", F.xxhash64(text))
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_t") - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_t", i + 1, F.lit(5)), " ")))
+        met = rows.withColumn("_t", words(F.col(text))).select("_h", F.explode(F.array_distinct(runs)).alias("_key")).join(keys.select("_i", F.xxhash64(F.array_join(F.slice("_w", 2, 5), " ")).alias("_key")), "_key")
+        found = met.select("_h", "_i").distinct().join(keys, "_i").join(rows, "_h").filter(F.contains(F.col(text), F.col(item_text))).select(*names)  # texts travel only to what may be inside them
+        out = found if out is None else out.unionByName(found)
+    return texts.crossJoin(keyed).limit(0).select(*names) if out is None else out
+
+
+def count_contained(texts: DataFrame, items: DataFrame, text: str, item_text: str, most_chars: int = 1 << 20) -> DataFrame:
+    """Each distinct text of items that some text contains, and n, the number of rows of texts that contain it. As match_contains, but a task counts what it finds, so no pair leaves it."""
+    keyed = items.filter(F.trim(F.col(item_text)) != "")
+    blocks, large = _blocks(keyed, item_text, most_chars)
+    out = None if large is None else match_contains(texts.select(text), large.select(F.col(item_text).alias("_s")).distinct(), text, "_s", most_chars).select("_s", F.lit(1).cast("long").alias("n"))
+    for held in blocks:
+        found = texts.select(text).mapInPandas(_counter(held), "_s string, n long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return keyed.limit(0).select(item_text, F.lit(0).cast("long").alias("n"))
+    return out.groupBy(F.col("_s").alias(item_text)).agg(F.sum("n").alias("n"))
+
+
+def _blocks(keyed: DataFrame, item_text: str, most_chars: int) -> tuple[list, DataFrame | None]:
+    """Broadcast lists of distinct item texts of about most_chars characters each, and the items of seven words and more where these are too many for one."""
+    distinct = keyed.select(F.col(item_text).alias("_s")).distinct()
+    is_large = F.size(F.split(F.trim(F.col("_s")), r"\s+")) >= 7
+    chars = distinct.agg(F.sum(F.char_length("_s")).alias("n"), F.sum(F.when(is_large, F.char_length("_s"))).alias("large")).first()
+    joined = (chars["large"] or 0) > most_chars
+    distinct, n = distinct.filter(~is_large) if joined else distinct, (chars["n"] or 0) - joined * (chars["large"] or 0)
+    count, sc = -(-n // most_chars), keyed.sparkSession.sparkContext
+    parts = (distinct.filter(F.pmod(F.xxhash64("_s"), F.lit(count)) == k) for k in range(count))
+    return [sc.broadcast([r["_s"] for r in part.collect()]) for part in parts], keyed.filter(F.size(F.split(F.trim(F.col(item_text)), r"\s+")) >= 7) if joined else None
+
+
+def _automaton(held):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for s in held.value:
+        automaton.add_word(s, s)
+    automaton.make_automaton()
+    return automaton if len(automaton) else None
 
 
 def _finder(held):
-    """A column function: the numbers of the broadcast items (text, number) that a text contains, each once."""
+    """A column function: the broadcast texts that a text contains, each once."""
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("array<string>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for s, i in held.value:
-            automaton.add_word(s, i)
-        automaton.make_automaton()
+        automaton = _automaton(held)
         for texts in batches:
-            yield pd.Series([sorted({i for _, i in automaton.iter(t)}) if t else [] for t in texts], dtype="object")
+            yield pd.Series([sorted({s for _, s in automaton.iter(t)}) if automaton and t else [] for t in texts], dtype="object")
 
     return found
+
+
+def _counter(held):
+    """A function over a partition's texts: the broadcast texts and the number of texts that contain each."""
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, n = _automaton(held), Counter()
+        for texts in batches:
+            for t in texts.iloc[:, 0] if automaton else ():
+                if t:
+                    n.update({s for _, s in automaton.iter(t)})
+        yield pd.DataFrame({"_s": pd.Series(list(n), dtype="object"), "n": pd.Series(list(n.values()), dtype="int64")})
+
+    return counts
