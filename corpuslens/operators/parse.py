@@ -9,9 +9,10 @@ import os
 from collections.abc import Callable, Iterator
 from multiprocessing.connection import Connection
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scripts import parse_script
 
@@ -89,13 +90,16 @@ class Watched:
             self.pipe.close()
             self.child = None
 
+    def start(self) -> None:
+        fork = multiprocessing.get_context("fork")
+        self.pipe, far = fork.Pipe()
+        self.child = fork.Process(target=self._serve, args=(far, self.pipe), daemon=True)
+        self.child.start()
+        far.close()
+
     def __call__(self, text: str) -> tuple[list, list, str | None]:
         if self.child is None:
-            fork = multiprocessing.get_context("fork")
-            self.pipe, far = fork.Pipe()
-            self.child = fork.Process(target=self._serve, args=(far, self.pipe), daemon=True)
-            self.child.start()
-            far.close()
+            self.start()
         try:
             self.pipe.send(text)
             if self.pipe.poll(self.seconds):
@@ -110,16 +114,27 @@ class Watched:
 def extract(files: DataFrame, parser: Callable[[str], tuple[list, list, str | None]] = parse_python, seconds: float = BUDGET) -> DataFrame:
     """file_id, symbols, imports, parse_error of each file, by a parser of one text. An error, a crash or a text that takes over `seconds` marks that file alone."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = to_arrow_schema(files.sparkSession.createDataFrame([], PARSED).schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         watched = Watched(parser, seconds)
+        watched.start()  # before any text is held, so that its process has no copy of one
         try:
             for b in batches:
-                got = [(key, *watched(text or "")) for key, text in zip(b["file_id"], b["content"], strict=True)]
-                yield pd.DataFrame(got, columns=["file_id", "symbols", "imports", "parse_error"])
+                for part in slices(b):
+                    got = [(key, *watched(text or "")) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(out)], schema=out)
         finally:
             watched.stop()
 
-    return files.select(F.col("file_id").cast("string"), "content").mapInPandas(rows, PARSED)
+    return files.select(F.col("file_id").cast("string"), "content").mapInArrow(rows, PARSED)
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20, most_rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about most_bytes: what a task holds as Python objects doesn't grow with the batch."""
+    step = max(1, min(most_rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def extract_scripts(files: DataFrame, typed: bool = True, seconds: float = BUDGET) -> DataFrame:
